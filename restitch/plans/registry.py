@@ -4,7 +4,441 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from restitch.functions import lattice, text
+from restitch.operators import dictionary, evaluate, ordered, repair, store
+from restitch.streaming import cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- dictionaries and accuracy
+
+_NEAREST = """
+    terms AS (SELECT DISTINCT p_name AS term FROM part),
+    tokens AS (SELECT DISTINCT translate(p_name, 'lo', '10') AS token FROM part),
+    near AS (
+        SELECT token, term, levenshtein(token, term) / length(term) AS ratio,
+               row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, term) / length(term), term) AS k
+        FROM tokens JOIN terms ON levenshtein(token, term) < 0.25 * length(term)),
+    repaired AS (
+        SELECT p_partkey, p_name AS expected, translate(p_name, 'lo', '10') AS noisy,
+               coalesce(term, translate(p_name, 'lo', '10')) AS repaired, coalesce(ratio, 0.25) AS ratio
+        FROM part LEFT JOIN near ON token = translate(p_name, 'lo', '10') AND k = 1),
+    scored AS (
+        SELECT *, CAST(round_even(100.0::DOUBLE - levenshtein(replace(noisy, ' ', ''), replace(expected, ' ', '')) * 100.0::DOUBLE / length(replace(expected, ' ', '')), 0) AS BIGINT) AS accuracy,
+               CAST(round_even(100.0::DOUBLE - levenshtein(replace(repaired, ' ', ''), replace(expected, ' ', '')) * 100.0::DOUBLE / length(replace(expected, ' ', '')), 0) AS BIGINT) AS accuracy_fixed,
+               length(replace(expected, ' ', '')) AS length
+        FROM repaired)"""
+
+
+def _repaired_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("expected"), F.translate("p_name", "lo", "10").alias("noisy"))
+    terms = part.select(F.col("expected").alias("term"), F.col("expected").alias("ord")).distinct()
+    return dictionary.repair(part, "noisy", terms)
+
+
+@query(f"WITH {_NEAREST} SELECT p_partkey, noisy, repaired, ratio, accuracy_fixed FROM scored")
+def nearest_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluate.score(_repaired_names(spark, sf_dir), "noisy", "repaired", "expected")
+    return scored.select("p_partkey", "noisy", "repaired", "ratio", "accuracy_fixed")
+
+
+@query(f"WITH {_NEAREST} SELECT p_partkey, accuracy, accuracy_fixed, accuracy_fixed - accuracy AS improvement, length FROM scored")
+def accuracy_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluate.score(_repaired_names(spark, sf_dir), "noisy", "repaired", "expected")
+    return scored.select("p_partkey", "accuracy", "accuracy_fixed", "improvement", "length")
+
+
+@query(f"""WITH {_NEAREST}, mean AS (
+        SELECT round_even(sum(accuracy * length)::DOUBLE / sum(length), 2) AS accuracy, round_even(sum(accuracy_fixed * length)::DOUBLE / sum(length), 2) AS accuracy_fixed,
+               sum(length)::BIGINT AS length FROM scored)
+    SELECT accuracy, accuracy_fixed, length, round_even(accuracy_fixed - accuracy, 2) AS improvement FROM mean""")
+def accuracy_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.weighted(evaluate.score(_repaired_names(spark, sf_dir), "noisy", "repaired", "expected"))
+
+
+_WORD = "string_split(p_name, ' ')[1]"
+
+
+@query(f"""
+    WITH tokens AS (SELECT p_partkey, translate({_WORD}, 'aeo', '430') AS token FROM part),
+    vars AS (SELECT DISTINCT {_WORD} AS term FROM part), imports AS (SELECT DISTINCT lower(p_type) AS term FROM part UNION SELECT lower(n_name) FROM nation),
+    v AS (SELECT token, term, r FROM (SELECT token, term, levenshtein(token, term) / length(term) AS r, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, term) / length(term), term) AS k
+          FROM (SELECT DISTINCT token FROM tokens) JOIN vars ON levenshtein(token, term) < 0.25 * length(term)) WHERE k = 1),
+    i AS (SELECT token, term, r FROM (SELECT token, term, levenshtein(token, term) / length(term) AS r, row_number() OVER (PARTITION BY token ORDER BY levenshtein(token, term) / length(term), term) AS k
+          FROM (SELECT DISTINCT token FROM tokens) JOIN imports ON levenshtein(token, term) < 0.25 * length(term)) WHERE k = 1)
+    SELECT p_partkey, t.token, CASE WHEN coalesce(v.r, 0.25) <= coalesce(i.r, 0.25) THEN coalesce(v.term, t.token) ELSE i.term END AS repaired,
+           CASE WHEN coalesce(v.r, 0.25) <= coalesce(i.r, 0.25) THEN 'variable' ELSE 'import' END AS kind, least(coalesce(v.r, 0.25), coalesce(i.r, 0.25)) AS ratio
+    FROM tokens t LEFT JOIN v USING (token) LEFT JOIN i USING (token)""")
+def nearest_dictionary_var_vs_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    word = F.split("p_name", " ")[0]
+    variables = part.select(word.alias("term")).distinct().withColumn("ord", F.col("term"))
+    imports = part.select(F.lower("p_type").alias("term")).union(table(spark, sf_dir, "nation").select(F.lower("n_name"))).distinct().withColumn("ord", F.col("term"))
+    tokens = part.select("p_partkey", F.translate(word, "aeo", "430").alias("token"))
+    return dictionary.repair_as_variable_or_import(tokens, "token", variables, imports).select("p_partkey", "token", "repaired", "kind", "ratio")
+
+
+@query("SELECT 'nation' AS scope, n_name AS term FROM nation UNION ALL SELECT 'region', r_name FROM region")
+def distinct_concat_dicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select(F.lit("nation").alias("scope"), F.col("n_name").alias("term"))
+    return dictionary.concat_dictionaries(nation, table(spark, sf_dir, "region").select(F.lit("region").alias("scope"), F.col("r_name").alias("term")))
+
+
+# ---------------------------------------------------------------- class scores and lattices
+
+
+
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", lattice.softmax(F.col("embedding"), 10.0).alias("p"))
+
+
+def _codepoints() -> Column:
+    """Class i stands for the character with code point 48 + i."""
+    return F.sequence(F.lit(48), F.lit(48 + 127))
+
+
+@query("""
+    WITH scored AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE * 10)) AS e FROM embeddings),
+    places AS (SELECT vec_id, unnest(e) / list_sum(e) AS p, generate_subscripts(e, 1) - 1 AS i FROM scored),
+    likely AS (SELECT vec_id, lower(chr((48 + i)::INTEGER)) AS c, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i DESC) AS k FROM places WHERE p > 0.025),
+    firsts AS (SELECT vec_id, c, min(k) AS k FROM likely GROUP BY vec_id, c)
+    SELECT e.vec_id, coalesce(string_agg(c, ' ' ORDER BY k), '') AS candidates, count(c) AS n_candidates
+    FROM embeddings e LEFT JOIN firsts USING (vec_id) GROUP BY e.vec_id""")
+def char_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _probabilities(spark, sf_dir).select("vec_id", lattice.candidates(F.col("p"), _codepoints()).alias("c"))
+    return told.select("vec_id", F.array_join("c", " ").alias("candidates"), F.size("c").cast("long").alias("n_candidates"))
+
+
+@query("""
+    WITH places AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+    SELECT vec_id, chr((48 + arg_max(i, (x, i)))::INTEGER) AS top FROM places GROUP BY vec_id""")
+def top1_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "embeddings")
+    return scores.select("vec_id", lattice.top_char(F.transform("embedding", lambda x: x.cast("double")), _codepoints()).alias("top"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role || ': ' || text) AS text, count(*) AS n_lines FROM conversations GROUP BY conv_id")
+def ordered_concat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    joined = ordered.ordered_concat(rows, ["conv_id"], ["turn"], "line", "\n")
+    return joined.join(rows.groupBy("conv_id").agg(F.count("line").alias("n_lines")), "conv_id")
+
+
+#: Letters that are easily misread, with what they may be.
+CONFUSIONS = {"l": ["l", "1", "i", "t"], "o": ["o", "0"], "e": ["e", "c", "6"]}
+
+
+@query("""
+    WITH words AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')) AS w FROM documents),
+    counted AS (SELECT doc_id, length(w) - length(translate(w, 'le', '')) AS three, length(w) - length(translate(w, 'o', '')) AS two FROM words),
+    sized AS (SELECT doc_id, three + two AS places, CASE WHEN three * ln(3) + two * ln(2) > 11.1 THEN 65536 ELSE least(65536, round(pow(3, three) * pow(2, two))) END AS n FROM counted)
+    SELECT d.doc_id, coalesce(sum(places), 0)::BIGINT AS ambiguous, coalesce(sum(n), 0)::BIGINT AS readings FROM documents d LEFT JOIN sized USING (doc_id) GROUP BY d.doc_id""")
+def lattice_size_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    lattices = F.transform(words, lambda w: lattice.spell(w, CONFUSIONS))
+    size = lambda x: F.least(lattice.reading_count(x), F.lit(float(lattice.MOST)))
+    told = table(spark, sf_dir, "documents").select("doc_id", lattices.alias("words"))
+    return told.select(
+        "doc_id",
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + lattice.ambiguous_places(w)).alias("ambiguous"),
+        F.aggregate("words", F.lit(0.0), lambda a, w: a + size(w)).cast("long").alias("readings"),
+    )
+
+
+@query(f"""
+    WITH RECURSIVE read AS (
+        SELECT p_partkey, {_WORD} AS word, 0 AS place, '' AS reading, 0::BIGINT AS reading_no, 1::BIGINT AS radix FROM part
+        UNION ALL
+        SELECT p_partkey, word, place + 1, reading || c[d], reading_no + (d - 1) * radix, radix * len(c) FROM (
+            SELECT *, unnest(range(1, len(c) + 1)) AS d FROM (
+                SELECT *, CASE word[place + 1] WHEN 'l' THEN ['l', '1', 'i'] WHEN 'o' THEN ['o', '0'] WHEN 'e' THEN ['e', 'c', '6'] ELSE [word[place + 1]] END AS c FROM read WHERE place < length(word))))
+    SELECT p_partkey, reading_no, reading FROM read WHERE place = length(word)""")
+def permutations_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "part").select("p_partkey", lattice.capped(lattice.spell(F.split("p_name", " ")[0], CONFUSIONS)).alias("cand"))
+    return words.select("p_partkey", F.posexplode(lattice.readings(F.col("cand"))).alias("reading_no", "reading")).withColumn("reading_no", F.col("reading_no").cast("long"))
+
+
+# ---------------------------------------------------------------- rules
+
+#: Rules without groups: template, budget, and how it is written, in the order of their ranks.
+LITERALS = [("else:", 2, "else:"), ("break", 2, "break"), ("continue", 2, "continue"), ("false", 2, "False"), ("pass", 1, "pass"), ("true", 1, "True"), ("none", 1, "None")]
+
+
+@query(f"""
+    WITH tokens AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')), '[^\\x00-\\x7F]', '?', 'g') AS token FROM documents),
+    literals(word, budget, written, rank) AS (VALUES {", ".join(f"('{w}', {b}, '{o}', {k})" for k, (w, b, o) in enumerate(LITERALS))}),
+    near AS (SELECT token, written, levenshtein(token, word) - budget AS score, rank FROM tokens JOIN literals ON abs(length(token) - length(word)) <= budget AND levenshtein(token, word) <= budget),
+    best AS (SELECT token, arg_min(written, (score, rank)) AS written, min(score) AS score FROM near GROUP BY token)
+    SELECT t.token, coalesce(written, t.token) AS written, score FROM tokens t LEFT JOIN best USING (token)""")
+def literal_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
+    tokens = table(spark, sf_dir, "documents").select(words.alias("w")).select(F.regexp_replace("w", r"[^\x00-\x7F]", "?").alias("token")).distinct()
+    each = []
+    for rank, (word, budget, written) in enumerate(LITERALS):
+        d = F.when(F.abs(F.length("token") - len(word)) <= budget, F.levenshtein(F.col("token"), F.lit(word), budget)).otherwise(-1)
+        each.append(F.when(d >= 0, F.struct((d - budget).cast("long").alias("score"), F.lit(rank).alias("rank"), F.lit(written).alias("written"))))
+    best = F.array_min(F.array(*each))
+    return tokens.select("token", best.alias("b")).select("token", F.coalesce("b.written", "token").alias("written"), F.col("b.score").alias("score"))
+
+
+#: Lines of a small program, with a part's words put in.
+PROGRAM = ["import math", "{a} = {n}", "def {b}({a}):", "  return {a} + 1", "for {a} in range({n}):", "  print({a})", "if {a} == {n} and not {b}({a}):", "  {b}({a}, {n})", "math.sqrt({n})", "pass"]
+#: Haskell lines, likewise.
+HASKELL_PROGRAM = ["let {a} = {n}", "{b} x y = x + y", "{a} = {b} 1 2", "main {a}"]
+
+
+def _programs(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
+    """Lines of a program for each part, as lattices read from a text in which some letters are misread."""
+    words = F.split("p_name", " ")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), words[0].alias("a"), F.element_at(words, -1).alias("b"), F.col("p_size").cast("string").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit((len(x) - len(x.lstrip())) // 2).alias("indent"), F.lit(x.strip()).alias("line")) for k, x in enumerate(lines)]))
+    told = part.select("*", each.alias("l")).select("*", "l.*")
+    line = F.col("line")
+    for name in ("a", "b", "n"):
+        line = F.replace(line, F.lit(f"{{{name}}}"), F.col(name))
+    noise = {"l": ["1", "l"], "o": ["0", "o"], "m": ["n", "m"], "u": ["v"]}
+    return told.select("doc_id", "line_no", "indent", line.alias("expected"), lattice.spell(line, noise).alias("cand"))
+
+
+@query()
+def fuzzy_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = repair.classified(_programs(spark, sf_dir, PROGRAM))
+    return matched.select("doc_id", "line_no", "match.rule", "match.template", "match.errors", "match.text")
+
+
+@query()
+def fix_python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_code(_programs(spark, sf_dir, PROGRAM))
+
+
+@query()
+def fix_haskell_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_code(_programs(spark, sf_dir, HASKELL_PROGRAM), "haskell")
+
+
+@query()
+def repaired_code_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _programs(spark, sf_dir, PROGRAM)
+    told = repair.repaired_lines(lines).join(lines.select("doc_id", "line_no", "expected"), ["doc_id", "line_no"])
+    return evaluate.weighted(evaluate.score(told.withColumn("fixed", F.coalesce("fixed", "raw")), "raw", "fixed", "expected"))
+
+
+@query()
+def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
+    args = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit("(a, (b, c)), "), F.col("p_size").cast("string"))
+    told = table(spark, sf_dir, "part").select("p_partkey", args.alias("args"), text.split_args(args).alias("parts"))
+    return told.select("p_partkey", "args", F.size("parts").cast("long").alias("n_args"), F.array_join("parts", "|").alias("parts"))
+
+
+# ---------------------------------------------------------------- ordered state
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, ts, floor(value)::BIGINT % 4 AS indent, event_type = 'signup' AS opens FROM events),
+    runs AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e)
+    SELECT event_id, indent, run > 0 AND min(indent) OVER w >= first_value(indent) OVER w AS in_def FROM runs
+    WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def scope_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.floor("value") % 4).alias("indent"), "event_type")
+    return ordered.in_scope(rows, ["user_id"], ["ts", "event_id"], "indent", F.col("event_type") == "signup", "in_def").select("event_id", "indent", "in_def")
+
+
+@query("""
+    WITH f AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS is_first FROM events)
+    SELECT event_id, event_type, coalesce(sum(is_first::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_visible,
+           NOT is_first AS is_visible FROM f""")
+def running_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return ordered.seen_before(rows, ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type", "n_visible", "is_visible")
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+    s AS (
+        SELECT user_id, event_id, k, [x] AS sums, [1] AS sizes, 0 AS level FROM e WHERE k = 1
+        UNION ALL
+        SELECT user_id, event_id, k,
+               CASE WHEN lv = len(sums) THEN list_append(sums, x) ELSE list_transform(sums, lambda v, i: CASE WHEN i - 1 = lv THEN v + x ELSE v END) END,
+               CASE WHEN lv = len(sums) THEN list_append(sizes, 1) ELSE list_transform(sizes, lambda v, i: CASE WHEN i - 1 = lv THEN v + 1 ELSE v END) END, lv
+        FROM (SELECT *, CASE WHEN x < means[1] - 10 THEN 0 WHEN x > means[-1] + 10 THEN len(means)
+                             ELSE list_position(list_transform(means, lambda m: abs(m - x)), list_min(list_transform(means, lambda m: abs(m - x)))) - 1 END::INTEGER AS lv
+              FROM (SELECT e.user_id, e.event_id, e.k, e.x, s.sums, s.sizes, list_transform(range(1, len(s.sums) + 1), lambda i: s.sums[i] / s.sizes[i]) AS means
+                    FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)))
+    SELECT event_id, level AS indent FROM s""")
+def indent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+    return ordered.indent_levels(rows, ["user_id"], ["ts", "event_id"], "value", 10.0).select("event_id", "indent")
+
+
+# ---------------------------------------------------------------- boxes, errors, diagnostics, tests
+
+
+@query("""
+    SELECT l_returnflag, min(l_extendedprice) AS min_x, min(l_quantity) AS min_y, max(l_extendedprice + l_discount) AS max_x, max(l_quantity + l_tax) AS max_y
+    FROM lineitem GROUP BY l_returnflag""")
+def bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.bounding_box(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"))
+
+
+@query("""
+    SELECT l_orderkey, l_partkey AS line, l_linenumber AS "column", p.p_retailprice AS line_x, p.p_size AS line_y, c.p_retailprice AS char_x, c.p_size AS char_y
+    FROM lineitem LEFT JOIN part p ON p.p_partkey = l_partkey LEFT JOIN part c ON c.p_partkey = l_partkey AND c.p_size + 1 = l_linenumber""")
+def error_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    errors = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("line"), F.col("l_linenumber").alias("column"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), F.col("p_size").alias("column"), F.col("p_retailprice").alias("x"), F.col("p_size").alias("y"))
+    return evaluate.locate_errors(errors, part.drop("column"), part)
+
+
+@query("""
+    WITH told AS (SELECT l_orderkey, l_partkey, 'Main.hs:' || l_orderkey || ':' || l_linenumber || ': error:' || chr(10) || '    part ' || l_partkey || chr(13) || chr(10) ||
+                         'Main.hs:' || l_suppkey || ':1: warning: unused' AS err FROM lineitem)
+    SELECT l_orderkey, l_partkey, unnest(regexp_extract_all(err, 'hs:(\\d+):(\\d+): (\\w+):\\W+([^\\r\\n]+)', 1))::INTEGER AS line, unnest(regexp_extract_all(err, 'hs:(\\d+):(\\d+): (\\w+):\\W+([^\\r\\n]+)', 2))::INTEGER AS "column",
+           unnest(regexp_extract_all(err, 'hs:(\\d+):(\\d+): (\\w+):\\W+([^\\r\\n]+)', 3)) AS type, unnest(regexp_extract_all(err, 'hs:(\\d+):(\\d+): (\\w+):\\W+([^\\r\\n]+)', 4)) AS message FROM told""")
+def diagnostics_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string")
+    err = F.concat(F.lit("Main.hs:"), s("l_orderkey"), F.lit(":"), s("l_linenumber"), F.lit(": error:\n    part "), s("l_partkey"), F.lit("\r\nMain.hs:"), s("l_suppkey"), F.lit(":1: warning: unused"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.inline(text.haskell_reports(err)))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.hint'), '') AS hint FROM events")
+def json_testcases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.from_json("props", "struct<k:string,hint:string>")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(told["k"], F.lit("")).alias("k"), F.coalesce(told["hint"], F.lit("")).alias("hint"))
+
+
+_TURNS = """
+    WITH t AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    r AS (SELECT conv_id, turn, coalesce(length(reply) >= length(text), false) AS passed FROM t WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def _turn_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as cases: one passes where the reply's size is what a reply that is no shorter has."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("reply"))
+    turns = turns.where("role = 'user' and next_role = 'assistant'")
+    cases = turns.select("conv_id", "turn", F.greatest(F.length("text"), F.length("reply")).cast("string").alias("expected"))
+    outputs = turns.select("conv_id", "turn", F.length("reply").cast("string").alias("output"))
+    return evaluate.test_results(cases, outputs, ["conv_id", "turn"])
+
+
+@query(_TURNS + " SELECT conv_id, turn, passed FROM r")
+def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turn_results(spark, sf_dir).select("conv_id", "turn", "passed")
+
+
+@query(_TURNS + " SELECT conv_id, count(*) AS n_cases, count_if(passed)::BIGINT AS n_passed, bool_and(passed) AS all_passed FROM r GROUP BY conv_id")
+def tests_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turn_results(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n_cases"), F.count_if("passed").alias("n_passed"), F.bool_and("passed").alias("all_passed"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("SELECT p_partkey, replace('{}' || chr(10) || 'print(add(1, {1}))', '{}', 'def add(x, y): return {x: ' || p_name || '}') AS code FROM part")
+def template_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit("def add(x, y): return {x: "), "p_name", F.lit("}"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.fill_template(F.lit("{}\nprint(add(1, {1}))"), code).alias("code"))
+
+
+@query("""SELECT page_id, md5(replace(replace(replace(html || ' x = '''' ,, --', '--', '__'), '''''', '"'), ',,', '"')) AS fixed_md5, length(replace(replace(replace(html || ' x = '''' ,, --', '--', '__'), '''''', '"'), ',,', '"')) AS n_chars FROM pages""")
+def naive_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixed = text.naive_fix(F.concat("html", F.lit(" x = '' ,, --")))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(fixed.cast("binary")).alias("fixed_md5"), F.length(fixed).cast("long").alias("n_chars"))
+
+
+@query("""SELECT doc_id, CASE lower(lang) WHEN 'en' THEN 'python3' WHEN 'de' THEN 'haskell' ELSE 'python3' END AS language,
+    CASE WHEN contains(source, 'src1') THEN text ELSE lower(text) END = text AS unchanged FROM documents""")
+def lang_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = evaluate.by_language(F.col("lang"), {"en": F.lit("python3"), "de": F.lit("haskell")}, F.lit("python3"))
+    kept = F.when(F.contains("source", F.lit("src1")), F.col("text")).otherwise(F.lower("text")) == F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", language.alias("language"), kept.alias("unchanged"))
+
+
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN levenshtein(t, 'true') <= 1 THEN 'True' WHEN levenshtein(t, 'false') <= 2 THEN 'False' WHEN levenshtein(t, 'none') <= 1 THEN 'None' ELSE t END AS token,
+           repeat('  ', p_size) || p_name AS line
+    FROM (SELECT p_partkey, p_size, p_name, CASE p_size % 5 WHEN 0 THEN 'tru' WHEN 1 THEN 'fa1se' WHEN 2 THEN 'nome' ELSE p_name END AS t FROM part)""")
+def literals_and_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 5
+    token = F.when(k == 0, "tru").when(k == 1, "fa1se").when(k == 2, "nome").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.restore_literal(token).alias("token"), text.indented(F.col("p_name"), F.col("p_size")).alias("line"))
+
+
+# ---------------------------------------------------------------- storage and cache
+
+
+@query("""SELECT md5(text) AS key, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL AND md5(text) NOT IN (SELECT md5(text) FROM benchmark WHERE text IS NOT NULL) GROUP BY md5(text)""")
+def content_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(store.content_key(F.col("text")).alias("key"), "doc_id")
+    there = table(spark, sf_dir, "benchmark").where("text is not null").select(store.content_key(F.col("text")).alias("key"))
+    return store.insert_if_absent(rows, there, "key", "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def fk_checked_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.with_parent(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def fk_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.without_parent(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+    WITH both AS (SELECT c_custkey AS k, 'customer' AS origin, c_acctbal AS balance, 0 AS version FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_acctbal, 1 FROM supplier)
+    SELECT k, arg_max(origin, version) AS origin, arg_max(balance, version) AS balance FROM both GROUP BY k""".replace("both", "merged"))
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("balance"), F.lit(0).alias("version"))
+    changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"), F.lit("supplier").alias("origin"), F.col("s_acctbal").alias("balance"), F.lit(1).alias("version"))
+    return store.upsert(current, changes, "k", "version").select("k", "origin", "balance")
+
+
+@query("""
+    SELECT o_orderkey, coalesce(c.c_name, n.n_name) AS value, CASE WHEN c.c_name IS NOT NULL THEN 'cache' WHEN n.n_name IS NOT NULL THEN 'blob' END AS found_in
+    FROM orders LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) c ON c_custkey = o_custkey LEFT JOIN nation n ON n_nationkey = o_custkey""")
+def cache_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("key"))
+    cached = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
+    blobs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("value"))
+    return store.read_through(requests, cached, blobs, "key", "value").drop("key")
+
+
+_TTL = """
+    SELECT event_id, user_id, CASE WHEN prev IS NULL THEN 'first' WHEN epoch_us(ts) - epoch_us(prev) <= 1800000000 THEN 'hit' ELSE 'expired' END AS status
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)"""
+
+
+@query(_TTL)
+def ttl_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.cache_status(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", ["event_id"]).select("event_id", "user_id", "status")
+
+
+@query(_TTL)
+def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    told = cache.cache_status(events)
+    return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")
