@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restitch.llm.graph import components
-from restitch.llm.session import cut
+from restitch.llm.session import Scratch
 from restitch.llm.textscan import Scan, U, chunks, mix, windows
 
 GROUPS = 32
@@ -410,36 +410,38 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     are rows of their own; null ids are never the smallest unless a component has no other.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    features = cut(rows.mapInArrow(_features(words), "doc_id long, n long, sid long, counts binary"))
+    features = scratch.table(rows.mapInArrow(_features(words), "doc_id long, n long, sid long, counts binary"))
     nodes = features.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counts").alias("counts"))
-    nodes = cut(nodes)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shipped = rows.select("text").mapInArrow(_ship(words, percent, parts), _SHIP)
-    met = shipped.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_meet, "bucket long, star boolean, members array<long>")
-    met = cut(met.groupBy("bucket", "star").agg(F.first("members").alias("members")))
+    met = shipped.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_meet, "bucket long, star boolean, members array<long>")
+    met = scratch.table(met.groupBy("bucket", "star").agg(F.first("members").alias("members")))
     stars = met.where("star").select(F.col("members")[0].alias("u"), F.explode(F.expr("slice(members, 2, size(members))")).alias("v"))
     near = met.where("not star").select("bucket", F.explode("members").alias("sid")).join(nodes.select("sid", "n", "counts"), "sid")
     near = near.select("bucket", "sid", "n", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), "u long, v long")
-    clusters = components(stars.union(near)).toDF("sid", "cluster")
+    clusters = components(stars.union(near), scratch).toDF("sid", "cluster")
+    scratch.drop(met)
 
-    members = cut(clusters.join(nodes.select("sid", "doc_id", "n"), "sid"))
+    members = scratch.table(clusters.join(nodes.select("sid", "doc_id", "n"), "sid"))
     blocks = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("sid").alias("pivot"))
     blocks = blocks.select("cluster", "pivot", F.expr(f"cast(ceil(greatest(size / {block_sets}, shingles / {BLOCK_SHINGLES})) as int)").alias("blocks"))
-    members = cut(members.join(blocks, "cluster"))
+    members, seen = scratch.counted(members.join(blocks, "cluster"), cut="count_if(blocks > 1)")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = members.select("*", F.explode(F.when(F.col("sid") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
     first = placed.select("cluster", "block", F.lit(0).alias("turn"), "sid", F.lit(0).cast("long").alias("label"), F.lit(True).alias("query"), "doc_id")
-    found = cut(_search(first, rows, words, percent, False))
-
-    if not members.where("blocks > 1").isEmpty():
-        found = found.union(cut(_apart(members, found, rows, words, percent, block_sets)))
-    joined = components(found).toDF("sid", "component")
-    least = joined.join(nodes.select("sid", "doc_id"), "sid").groupBy("component").agg(F.min("doc_id").alias("least"))
-    joined = joined.join(least, "component").select("sid", "least")
+    found = scratch.table(_search(first, rows, words, percent, False))
+
+    if seen["cut"]:
+        found = found.union(scratch.table(_apart(members, found, rows, words, percent, block_sets, scratch)))
+    joined = components(found, scratch).toDF("sid", "component")
+    joined = joined.join(nodes.select("sid", "doc_id"), "sid")
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
+    joined = scratch.table(joined.join(least, "component").select("sid", "least"))
     names = nodes.select("sid", "doc_id").join(joined, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least"))
     return features.select("doc_id", "n", "sid").join(names, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
@@ -453,10 +455,10 @@ def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, search
     return dealt.mapInArrow(_verify(words, percent, searched), "u long, v long")
 
 
-def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int, block_sets: int) -> DataFrame:
+def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int, block_sets: int, scratch: Scratch) -> DataFrame:
     """Links between blocks: sets outside their cluster's largest component, searched for in all its blocks."""
-    label = components(found).toDF("sid", "label")
-    cutup = cut(members.where("blocks > 1").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    label = components(found, scratch).toDF("sid", "label")
+    cutup = scratch.table(members.where("blocks > 1").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     sizes = cutup.groupBy("cluster", "label").count().groupBy("cluster")
     major = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("total"), F.max("count").alias("most"))
     major = major.where("total > most").select("cluster", "major", F.expr(f"cast(ceil((total - most) / {block_sets}) as int)").alias("turns"))

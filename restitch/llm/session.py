@@ -1,24 +1,58 @@
-"""Where lineage is cut: the shared folder that the session names, or a local one where none is named."""
+"""Where lineage is cut: tables in the shared folder that the session names, or a local one where none is named."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.  Where it is unset (tests, a single machine) a new one is set."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="restitch-checkpoint-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="restitch-checkpoint-"))
         current = sc._jsc.sc().getCheckpointDir()
-    return named or current.get()
+    return current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that later jobs don't repeat its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Scratch:
+    """Tables of one operator call under the shared folder.
+
+    A table is written once, as Parquet, so a lost executor costs no more than the stage at hand, and it is
+    counted while it is written.  ``drop`` removes one that no later step reads; those that the operator's
+    result reads stay, in ``folder``, until whoever owns the shared folder clears it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/restitch-{uuid.uuid4().hex}"
+        self._of: dict[int, str] = {}
+        self._no = 0
+
+    def table(self, df: DataFrame, **sums: str) -> DataFrame:
+        """``df``, written and read again."""
+        return self.counted(df, **sums)[0]
+
+    def counted(self, df: DataFrame, **sums: str) -> tuple[DataFrame, dict[str, int]]:
+        """The same, and with it ``rows`` and the given SQL aggregates over the rows written."""
+        self._no += 1
+        path, seen = f"{self.folder}/{self._no}", Observation()
+        asked = [F.count(F.lit(1)).alias("rows"), *[F.expr(e).alias(k) for k, e in sums.items()]]
+        df.observe(seen, *asked).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._of[id(out)] = path
+        return out, {k: v or 0 for k, v in seen.get.items()}
+
+    def drop(self, df: DataFrame) -> None:
+        path = self._of.pop(id(df), None)
+        if path:
+            jvm = self.spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
