@@ -442,7 +442,8 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     joined = joined.join(nodes.select("sid", "doc_id"), "sid")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
     joined = scratch.table(joined.join(least, "component").select("sid", "least"))
-    names = nodes.select("sid", "doc_id").join(joined, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least"))
+    # written, so that the last join has a plain exchange on either side and a hot set can be split
+    names = scratch.table(nodes.select("sid", "doc_id").join(joined, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least")))
     return features.select("doc_id", "n", "sid").join(names, "sid", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
@@ -450,7 +451,8 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
 
 def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, searched: bool) -> DataFrame:
     texts = rows.withColumnRenamed("doc_id", "id")
-    held = placed.join(texts, placed["doc_id"].eqNullSafe(texts["id"])).select("cluster", "block", "turn", "sid", "text", "label", "query")
+    # by merge at any size: the sets in clusters grow with the corpus, and a broadcast of them has no bound
+    held = placed.hint("merge").join(texts, placed["doc_id"].eqNullSafe(texts["id"])).select("cluster", "block", "turn", "sid", "text", "label", "query")
     dealt = held.repartition("cluster", "block", "turn").sortWithinPartitions("cluster", "block", "turn")
     return dealt.mapInArrow(_verify(words, percent, searched), "u long, v long")
 
