@@ -283,7 +283,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[have] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    told = F.pandas_udf(run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]), F.PandasUDFType.SCALAR_ITER)
+    told = F.pandas_udf(run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), told("text").alias("p"))
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
