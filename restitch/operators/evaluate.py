@@ -79,11 +79,3 @@ def by_language(language: Column, choices: dict[str, Column], otherwise: Column
     for name, value in choices.items():
         out = out.when(F.lower(language) == name, value)
     return out.otherwise(otherwise if otherwise is not None else F.raise_error(F.concat(F.lit("unknown language: "), language)))
-
-
-def upload_status(*parts: Column) -> Column:
-    """A (success, error) struct: an upload needs all its parts."""
-    missing = F.lit(False)
-    for p in parts:
-        missing = missing | p.isNull()
-    return F.struct((~missing).alias("success"), F.when(missing, "a file is missing").alias("error"))

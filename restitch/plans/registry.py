@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from restitch.functions import lattice, text
 from restitch.operators import dictionary, evaluate, ordered, repair, store
+from restitch.operators.diagnostics import diagnostics
+from restitch.plans import service
+from restitch.sources.files import predicted_scores
 from restitch.streaming import cache
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,6 +254,43 @@ def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("p_partkey", "args", F.size("parts").cast("long").alias("n_args"), F.array_join("parts", "|").alias("parts"))
 
 
+@query()
+def code_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = repair.repaired_code(_programs(spark, sf_dir, PROGRAM)).select("doc_id", F.col("fixed_code").alias("code"))
+    return diagnostics(code)
+
+
+@query()
+def submitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _programs(spark, sf_dir, PROGRAM)
+    wide = F.size("cand") * 10.0
+    boxes = lines.select("doc_id", "line_no", (F.col("indent") * 20.0).alias("x"), (F.col("line_no") * 30.0).alias("y"), wide.alias("width"), F.lit(25.0).alias("height"))
+    return service.submit(lines, boxes).select("doc_id", "unfixed", "fixed", F.size("errors").alias("n_errors"), "overlay")
+
+
+@query("""SELECT p_partkey, '{"id":"' || CASE WHEN p_size % 3 = 0 THEN '' ELSE md5(p_name) END || '","error":"' || CASE WHEN p_size % 3 = 0 THEN 'Files Missing' ELSE '' END || '","success":' || CASE WHEN p_size % 3 = 0 THEN 'false' ELSE 'true' END || '}' AS response FROM part""")
+def template_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("template"), F.when(F.col("p_size") % 3 != 0, F.lit('[{"input": "1"}]')).alias("cases"))
+    return service.store_template(rows).select("p_partkey", "response")
+
+
+@query()
+def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a network with random weights: vectors of 64, repeated to the size of a picture, stand for pixels."""
+
+    def model():
+        from restitch.functions import convnet
+
+        weights = convnet.random_weights()
+        return lambda pixels: convnet.forward(weights, pixels)
+
+    pixels = F.slice(F.flatten(F.array_repeat("embedding", 13)), 1, 784)
+    tensors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(pixels, lambda v: v.cast("float")).alias("pixels"))
+    scored = predicted_scores(tensors, model)
+    codepoints = F.sequence(F.lit(33), F.lit(126))
+    return scored.select("vec_id", lattice.top_char(F.col("scores"), codepoints).alias("top"), F.array_join(lattice.candidates(F.col("scores"), codepoints), "").alias("candidates"))
+
+
 # ---------------------------------------------------------------- ordered state
 
 
