@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,24 +150,37 @@ def classified(lines: DataFrame, language: str = "python3", modules: list[str] =
     return lines.withColumn("match", F.pandas_udf(run, MATCH)("cand"))
 
 
-def symbols(matched: DataFrame) -> DataFrame:
-    """(doc_id, line_no, kind, terms) that each line of a document binds, in the order of lines.
+def bound_names() -> Column:
+    """What a matched line binds, as a (kind, terms) struct; null where it binds nothing.
 
-    Variables count where they are bound outside any open def or class; ``matched`` has in_def and in_class.
+    Variables count where they are bound outside any open def or class, so the line needs in_def and in_class.
     """
     m = F.col("match")
     at = lambda k: F.get(m["groups"], F.lit(k))
+    told = lambda kind, terms: F.struct(F.lit(kind).alias("kind"), terms.alias("terms"))
     form = m["template"]
     free = ~F.col("in_def") & ~F.col("in_class")
     binds = form.isin(r"for (VARIABLE) in (STATEMENT):", r"for (VARIABLE) in range\((STATEMENT)\):", r"(VARIABLE) = (STATEMENT)")
-    kinds = (
-        F.when(binds & free, F.struct(F.lit("variable").alias("kind"), F.array(at(0)).alias("terms")))
-        .when(form == r"class (VARIABLE):", F.struct(F.lit("class").alias("kind"), F.array(at(0)).alias("terms")))
-        .when(form == r"import (.*)", F.struct(F.lit("import").alias("kind"), F.array(m["module"]).alias("terms")))
-        .when(form == r"import (.*?) as (.*)", F.struct(F.lit("import").alias("kind"), F.array(F.trim(at(1))).alias("terms")))
-        .when(form == r"from (.*?) import (.*)", F.struct(F.lit("import").alias("kind"), F.transform(F.split(at(1), ","), lambda n: F.trim(n)).alias("terms")))
+    return (
+        F.when(binds & free, told("variable", F.array(at(0))))
+        .when(form == r"class (VARIABLE):", told("class", F.array(at(0))))
+        .when(form == r"import (.*)", told("import", F.array(m["module"])))
+        .when(form == r"import (.*?) as (.*)", told("import", F.array(F.trim(at(1)))))
+        .when(form == r"from (.*?) import (.*)", told("import", F.transform(F.split(at(1), ","), lambda n: F.trim(n))))
     )
-    return matched.select("doc_id", "line_no", kinds.alias("s")).where("s is not null").select("doc_id", "line_no", "s.kind", "s.terms")
+
+
+def with_scopes(matched: DataFrame) -> DataFrame:
+    """Matched Python lines with in_def and in_class."""
+    form = F.col("match.template")
+    matched = in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"def (VARIABLE)\((PARAMETERS)\):", F.lit(False)), "in_def")
+    return in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"class (VARIABLE):", F.lit(False)), "in_class")
+
+
+def symbols(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kind, term) for each name that a line of Python code binds."""
+    told = with_scopes(classified(lines)).select("doc_id", "line_no", bound_names().alias("s")).where("s is not null")
+    return told.select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
 
 
 def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[str, list[str]] | None = None) -> DataFrame:
@@ -178,16 +191,12 @@ def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[st
     exports = exports or {}
     matched = classified(lines, language)
     if language == "python3":
-        form = F.col("match.template")
-        matched = in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"def (VARIABLE)\((PARAMETERS)\):", F.lit(False)), "in_def")
-        matched = in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"class (VARIABLE):", F.lit(False)), "in_class")
-        bound = symbols(matched)
-        kept = lambda kind: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("line_no", "terms")))), lambda s: s["terms"]))
-        of_doc = bound.groupBy("doc_id").agg(kept("variable").alias("variables"), kept("class").alias("classes"))
-        earlier = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-        imports = bound.where("kind = 'import'").select("doc_id", "line_no", "terms")
-        matched = matched.join(imports, ["doc_id", "line_no"], "left").withColumn("imports", F.flatten(F.collect_list("terms").over(earlier))).drop("terms")
-        matched = matched.join(of_doc, "doc_id", "left")
+        matched = with_scopes(matched).withColumn("s", bound_names())
+        of = lambda kind: F.when(F.col("s.kind") == kind, F.col("s.terms"))
+        w = Window.partitionBy("doc_id").orderBy("line_no")
+        whole, earlier = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
+        seen = lambda kind, frame: F.flatten(F.collect_list(of(kind)).over(frame))
+        matched = matched.select("*", seen("variable", whole).alias("variables"), seen("class", whole).alias("classes"), seen("import", earlier).alias("imports"))
     else:
         matched = matched.withColumns({c: F.array().cast("array<string>") for c in ("variables", "classes", "imports")})
 

@@ -215,6 +215,8 @@ def _programs(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
     """Lines of a program for each part, as lattices read from a text in which some letters are misread."""
     words = F.split("p_name", " ")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), words[0].alias("a"), F.element_at(words, -1).alias("b"), F.col("p_size").cast("string").alias("n"))
+    # a small file makes many lines of heavy work: dealt out while the rows are small
+    part = part.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit((len(x) - len(x.lstrip())) // 2).alias("indent"), F.lit(x.strip()).alias("line")) for k, x in enumerate(lines)]))
     told = part.select("*", each.alias("l")).select("*", "l.*")
     line = F.col("line")
