@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,10 +232,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words by language, and texts of each language as the empty word."""
     for b in batches:
         count: dict[tuple[str, bytes], int] = {}
         for lang, text in zip(b.column(0).to_pylist(), _lowered(b.column(1)), strict=True):
-            for w in text.split():
+            for w in [b"", *text.split()]:
                 count[lang, w] = count.get((lang, w), 0) + 1
         if count:
             lang, word = zip(*count, strict=True)
@@ -247,21 +248,19 @@ def train(docs: DataFrame, vocabulary_path: str, max_texts: int = MAX_TEXTS, max
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts)
     rows = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return None
     counts = rows.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    langs = sorted(sizes)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("word") > 0, F.desc("n"), "word"))
+    top = counts.withColumn("place", place).where(F.col("place") <= max_words + 1).select("lang", "word", "n").toPandas()
+    texts = {r.lang: r.n for r in top.itertuples() if not len(r.word)}
+    if not texts:
+        return None
+    langs = sorted(texts)
+    seen = top[top["word"].map(len) > 0].sort_values(["lang", "n", "word"], ascending=[True, False, True], kind="stable")
     words: dict[bytes, int] = {}
-    cells = []
-    for c, lang in enumerate(langs):
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(max_words).select("word", "n").toPandas()
-        for w, n in zip(top["word"], top["n"], strict=True):
-            cells.append((words.setdefault(bytes(w), len(words)), c, n))
+    at = [words.setdefault(bytes(w), len(words)) for w in seen["word"]]
     weights = np.zeros((len(words), len(langs)))
-    for r, c, n in cells:
-        weights[r, c] = n
-    return Model.fit(vocabulary_path, list(words), weights, langs, np.array([sizes[x] for x in langs], float))
+    weights[at, [langs.index(x) for x in seen["lang"]]] = seen["n"]
+    return Model.fit(vocabulary_path, list(words), weights, langs, np.array([texts[x] for x in langs], float))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
