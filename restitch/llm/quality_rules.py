@@ -185,9 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> lis
     named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s")).select("doc_id", "quality", "s.*")
-    rows = rows.where(~base_failed())
-    got = rows.select("doc_id", "quality", *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).toPandas()
-    got = got.sort_values(["doc_id", *FEATURES], kind="stable")
+    got = rows.select("doc_id", "quality", base_failed().alias("failed"), *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).toPandas()
+    # not a filter in Spark: that would be pushed below the join, and statistics made of every document
+    got = got[~got["failed"].astype(bool)].sort_values(["doc_id", *FEATURES], kind="stable")
     return learn({k: got[k].to_numpy() for k in FEATURES}, got["quality"].to_numpy() == 0)
 
 
