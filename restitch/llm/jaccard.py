@@ -3,8 +3,9 @@
 Texts become sets of word shingles; equal sets become one node.  Two sets can link only if few shingles tell
 them apart, so when shingles are hashed into more groups than that, at least one group is the same in both: the
 contents of a group are a key of an equi-join.  Sets that meet under a key are points of an R-tree: shingles are
-hashed into GROUPS counts, a pair's overlap is at most the sum of its coordinate minima, a box's at most the sum
-of minima with its upper corner.  Pairs whose bound suffices are joined into candidate clusters, and in each
+hashed into groups and counted, a pair's overlap is at most the sum of its coordinate minima, a box's at most the
+sum of minima with its upper corner.  The number of groups grows with the set (unrelated sets of n shingles in g
+groups look about sqrt(n * g) apart, and a link may be n / 5 apart), and vectors are folded to a common number.  Pairs whose bound suffices are joined into candidate clusters, and in each
 cluster an R-tree over its points finds the pairs to verify on the shingles themselves.
 
 Nothing emits all pairs of a group: trees search only for partners in other components, so a family of n near
@@ -25,7 +26,8 @@ from restitch.llm.graph import components
 from restitch.llm.session import Scratch
 from restitch.llm.textscan import Scan, U, chunks, mix, windows
 
-GROUPS = 32
+#: Shingles to a group of a vector that is shuffled, at most; and of one in a block, at the median size.
+PER_GROUP, PER_BLOCK_GROUP = 8, 2
 LEAF = 32
 #: Sets of a key that are searched pairwise by the tree; a key with more joins all its sets into one cluster.
 KEY_SETS = 1000
@@ -60,8 +62,32 @@ def set_id(s: np.ndarray) -> int:
         return int((h[0] ^ h[1] * U(3)).view(np.int64))
 
 
-def counts(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> U(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int64)
+def counts(s: np.ndarray, groups: int) -> np.ndarray:
+    """How many shingles each group has; ``groups`` is a power of two."""
+    return np.bincount(((s >> U(24)) & U(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def point(s: np.ndarray) -> bytes:
+    """The counts of a set, a byte each, over the least power of two of groups that is fine enough."""
+    groups = 8
+    while groups * PER_GROUP < len(s):
+        groups *= 2
+    while (c := counts(s, groups)).max() > 255:
+        groups *= 2
+    return c.astype(np.uint8).tobytes()
+
+
+def folded(points: list[bytes]) -> np.ndarray:
+    """Points over the least number of groups that any of them has."""
+    groups = min(map(len, points))
+    return np.stack([np.frombuffer(p, np.uint8).reshape(-1, groups).sum(0, dtype=np.int32) for p in points])
+
+
+def block_points(sets: list[np.ndarray]) -> np.ndarray:
+    groups = 64
+    while groups < 1024 and groups * PER_BLOCK_GROUP < np.median([len(s) for s in sets]):
+        groups *= 2
+    return np.stack([counts(s, groups) for s in sets])
 
 
 def bands(percent: int) -> Callable[[int], list[tuple[int, int, int, int]]]:
@@ -184,7 +210,7 @@ def _features(k: int):
             for s in shingle_sets(b.column(1).to_pylist(), k):
                 n.append(len(s))
                 sid.append(set_id(s))
-                vec.append(counts(s).astype("<u4").tobytes())
+                vec.append(point(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(vec, pa.binary())], names=["doc_id", "n", "sid", "counts"])
 
     return run
@@ -356,7 +382,7 @@ def _candidates(percent: int):
         seen: set[tuple[int, int]] = set()
         for rows in _grouped(batches, 1):
             _, sid, n, vec = zip(*rows, strict=True)
-            points = np.frombuffer(b"".join(vec), "<u4").reshape(-1, GROUPS).astype(np.int64)
+            points = folded(vec)
             if len(seen) > 200_000:
                 seen.clear()
             for i, j in links(np.array(n, np.int64), points, percent):
@@ -386,7 +412,7 @@ def _verify(k: int, percent: int, searched: bool):
             if len(sets) < 2:
                 continue
             sizes = np.array([len(s) for s in sets], np.int64)
-            points = np.stack([counts(s) for s in sets])
+            points = block_points(sets)
             if searched:
                 label = np.unique(np.array([label[i] for i in keep]), return_inverse=True)[1]
                 found = links(sizes, points, percent, sets, label, np.array([query[i] for i in keep]))
