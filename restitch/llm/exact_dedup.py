@@ -189,7 +189,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger doc_id repeats (columns as they were).
 
-    Of rows that repeat an id and a text, all stay: nothing tells which one is meant.
+    Of rows that repeat an id and a text, all stay or all go: nothing tells which one is meant.  Rows that repeat
+    an id with other texts are judged by their own text.
     """
-    dropped = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    own = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
+    # instr, not "=": as an equality the digest would be a join key, and made of every row instead of the few that match
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.instr(own, gone["_sha"]) == 1), "left_anti")

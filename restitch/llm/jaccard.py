@@ -502,7 +502,10 @@ def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, pe
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with their columns."""
+    """The rows of ``docs`` whose id is their component's smallest, with their columns.
+
+    Rows without an id stay; rows that repeat an id go only if all of them do.
+    """
     groups = near_groups(docs, words, percent)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
