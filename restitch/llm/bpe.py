@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from restitch.llm.textscan import values
+
 _M64 = (1 << 64) - 1
 #: Pre-tokens whose ids a worker keeps; beyond, the older half goes and is worked out again when met.
 CACHE = 300_000
@@ -162,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
         own = codec(ranks_path, pattern)
         for b in batches:
             n, ids_sha, text_sha, kept = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for (text,) in values(b.column(1)):
                 ids = own.encode(text)
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())

@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from restitch.llm.textscan import settle, texts_of, values
+
 MEMORY_BYTES = 48 << 20
 FANOUT = 16
 _GROUP = "h long, content binary, keep_id long, group_size long"
@@ -144,27 +146,29 @@ def _batches(rows: Iterable[tuple], names: list[str], types: list[pa.DataType],
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records():
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in values(*b.columns):
                 t = t.lower()  # bytes: A-Z only
                 yield xxhash.xxh3_64_intdigest(t), t, i, 1
 
     rows = ((_signed(h), t, k, n) for h, t, k, n in grace(records()))
     yield from _batches(rows, ["h", "content", "keep_id", "group_size"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()], 1)
+    settle()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def records():
         for b in batches:
-            for h, t, k, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for h, t, k, n in values(*b.columns):
                 yield h & (1 << 64) - 1, t, k, n
 
     rows = ((hashlib.sha256(t).digest(), k, n) for _, t, k, n in grace(records()))
     yield from _batches(rows, ["sha", "keep_id", "group_size"], [pa.binary(), pa.int64(), pa.int64()])
+    settle()
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sha = [hashlib.sha256(t.lower()).digest() for t in b.column(1).to_pylist()]
+        sha = [hashlib.sha256(t.lower()).digest() for t in texts_of(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], names=["doc_id", "sha"])
 
 

@@ -15,7 +15,7 @@ blocks of bounded size; sets of a cut cluster that are still apart are then sear
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from restitch.llm.graph import components
 from restitch.llm.session import Scratch
-from restitch.llm.textscan import Scan, U, chunks, mix, windows
+from restitch.llm.textscan import Scan, U, chunks, mix, settle, texts_of, values, windows
 
 #: Shingles to a group of a vector that is shuffled, at most; and of one in a block, at the median size.
 PER_GROUP, PER_BLOCK_GROUP = 8, 2
@@ -34,13 +34,13 @@ KEY_SETS = 1000
 #: Sets, and shingles, of a block of a cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 22
 #: Keys and sets that a task gathers before it ships them; more than LOCAL_HOT sets under a key are joined there.
-SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 3_000_000, 60_000, 512
+SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 1_000_000, 60_000, 512
 
 
 # ---------------------------------------------------------------- sets
 
 
-def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes], k: int) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles (of all its words, if it has fewer)."""
     for run in chunks(texts):
         s = Scan(run, lower=True)
@@ -207,11 +207,12 @@ def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sid, vec = [], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), k):
+            for s in shingle_sets(texts_of(b.column(1)), k):
                 n.append(len(s))
                 sid.append(set_id(s))
                 vec.append(point(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(vec, pa.binary())], names=["doc_id", "n", "sid", "counts"])
+        settle()
 
     return run
 
@@ -254,7 +255,7 @@ def _ship(k: int, percent: int, parts: int):
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         found, sids, seen, n = [], [], set(), 0
         for b in batches:
-            for s in shingle_sets(b.column(0).to_pylist(), k):
+            for s in shingle_sets(texts_of(b.column(0)), k):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
@@ -280,6 +281,7 @@ def _ship(k: int, percent: int, parts: int):
                 held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+        settle()
 
     return run
 
@@ -330,7 +332,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[tuple]:
         at, rows = None, []
         for b in batches:
-            for p, *r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, *r in values(*b.columns):
                 if p != at and rows:
                     yield from part(rows)
                     rows = []
@@ -349,13 +351,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, size = [], 0
     if held:
         yield out(held)
+    settle()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[list[tuple]]:
     """Rows of each run of equal first ``by`` columns."""
     at, rows = None, []
     for b in batches:
-        for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for r in values(*b.columns):
             if r[:by] != at and rows:
                 yield rows
                 rows = []
@@ -375,6 +378,7 @@ def _edges(pairs: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             held = []
     if held:
         yield out()
+    settle()
 
 
 def _candidates(percent: int):

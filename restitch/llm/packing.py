@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from restitch.llm.textscan import values
+
 TIERS = (128, 256, 512, 1024)
 #: Tokens of open tails that a task holds before it packs them.
 WINDOW_TOKENS = 1 << 21
@@ -197,7 +199,7 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(json_path, ranks_path)
         base = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
-        rows = ((i, encode(t)) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((i, encode(t)) for b in batches for i, t in values(*b.columns))
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kinds = [pa.int32() if c.endswith("int") else pa.int64() for c in SCHEMA.split(", ")]
         held: list[tuple] = []

@@ -7,12 +7,14 @@ polynomial sum over the chunk gives the hash of any span by a subtraction and a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _M = 0x9E3779B97F4A7C15
 
 
@@ -47,6 +49,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow, _inv
 
 
+def values(*columns: pa.Array, rows: int = 256) -> Iterator[tuple]:
+    """Rows of Python values, converted a few at a time, so that texts of a batch are never all held twice."""
+    for at in range(0, len(columns[0]), rows):
+        yield from zip(*(c.slice(at, rows).to_pylist() for c in columns), strict=True)
+
+
+def texts_of(column: pa.Array) -> Iterator[bytes]:
+    return (t for (t,) in values(column))
+
+
+def settle() -> None:
+    """Give freed memory back, as idle Python workers keep theirs beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def chunks(texts: Iterable[bytes], limit: int = CHUNK_BYTES) -> Iterator[list[bytes]]:
     """Runs of whole texts of about ``limit`` bytes; a longer text makes a run of its own."""
     out: list[bytes] = []
