@@ -9,8 +9,11 @@ groups look about sqrt(n * g) apart, and a link may be n / 5 apart), and vectors
 cluster an R-tree over its points finds the pairs to verify on the shingles themselves.
 
 Nothing emits all pairs of a group: trees search only for partners in other components, so a family of n near
-copies takes about n verifications.  A key with many sets, and a cluster too large for a task, are cut into
-blocks of bounded size; sets of a cut cluster that are still apart are then searched for in all its blocks.
+copies takes about n verifications.  Keys are made of the shingles that a sample does not find common, so that a
+passage of very many texts makes no key; only sets with too few others are keyed by all of theirs as well.  Sets that
+link share more keys than they must, so a key that still has very many sets is left out for a set with few of that
+kind; sets that have only such keys (those of one large family) are joined into one cluster.  A cluster too large for a task is cut into
+blocks of bounded size, and its sets that are still apart are then searched for in all blocks.
 """
 
 from __future__ import annotations
@@ -29,12 +32,15 @@ from restitch.llm.textscan import Scan, U, chunks, mix, settle, texts_of, values
 #: Shingles to a group of a vector that is shuffled, at most; and of one in a block, at the median size.
 PER_GROUP, PER_BLOCK_GROUP = 8, 2
 LEAF = 32
-#: Sets of a key that are searched pairwise by the tree; a key with more joins all its sets into one cluster.
+#: Sets of a key that a tree searches at once; a key with more is large.
 KEY_SETS = 1000
+#: Shingles count as common that at least COMMON_IN of SAMPLE sampled texts have, the MOST_COMMON most frequent of
+#: them.  The choice sets the cost alone: whichever shingles are common, all links are found.
+SAMPLE, COMMON_IN, MOST_COMMON = 4000, 8, 100_000
 #: Sets, and shingles, of a block of a cluster.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 22
 #: Keys and sets that a task gathers before it ships them; more than LOCAL_HOT sets under a key are joined there.
-SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 1_000_000, 60_000, 512
+SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 1_000_000, 15_000, 512
 
 
 # ---------------------------------------------------------------- sets
@@ -90,49 +96,81 @@ def block_points(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([counts(s, groups) for s in sets])
 
 
-def bands(percent: int) -> Callable[[int], list[tuple[int, int, int, int]]]:
-    """Of a set size: (band, differing shingles at most, groups, empty groups that don't count) of its bands.
+def bands(percent: int) -> Callable[[int], list[tuple[int, int, int]]]:
+    """Of a set size: (band, groups, room) of its bands: of the groups, two sets that link have more than room equal.
 
     Bands of sizes grow by a half.  A set is keyed in its own band and in any above that a partner can be in.
     """
-    table: dict[int, list[tuple[int, int, int, int]]] = {}
+    table: dict[int, list[tuple[int, int, int]]] = {}
     edges = [1]
+    differ = lambda a, b: (a + b) * (100 - percent) // (100 + percent)  # noqa: E731  shingles that are in one of two sets only
 
-    def of(n: int) -> list[tuple[int, int, int, int]]:
+    def of(n: int) -> list[tuple[int, int, int]]:
         if n not in table:
-            while edges[-1] <= 100 * n // percent + 1:
+            most = 100 * n // percent
+            while edges[-1] <= most + 1:
                 edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
             out = []
             for i, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
-                if high > n and low <= 100 * n // percent:
-                    differ = 2 * (high - 1) * (100 - percent) // (100 + percent)
-                    slack = 3 + differ // 20 if differ else 0
-                    out.append((i, differ, differ + 1 + slack, slack))
+                if high > n and low <= most:
+                    widest = differ(high - 1, high - 1)
+                    groups = widest + 1 + (3 + widest // 20 if widest else 0)
+                    out.append((i, groups, groups - differ(n, min(most, high - 1)) - 1))
             table[n] = out
         return table[n]
 
     return of
 
 
-def keys(s: np.ndarray, of: Callable) -> np.ndarray:
-    """The join keys of a set: sets that link share one.
+def _group_keys(s: np.ndarray, groups: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for the content of each group that isn't empty, and one for each that is."""
+    g = ((s >> U(8)) % U(groups)).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))[: len(g)])
+    content = np.add.reduceat(mix(s[order] ^ U(0xA0761D6478BD642F)), first) if len(g) else np.empty(0, U)
+    empty = np.ones(groups, bool)
+    empty[g[first]] = False
+    return mix(content ^ mix(g[first].astype(U) + U(tag << 40))), mix(mix(np.flatnonzero(empty).astype(U) + U(tag << 40)) + U(1))
 
-    Of a band's groups at least ``1 + slack`` are equal in two sets that link.  Empty groups are keys only where
-    a set has more of them than the slack: if only one of two sets has, a group with shingles is equal too.
+
+def keys(s: np.ndarray, of: Callable, common: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """For each band of a set (keys, how many of them it can do without, which kind of keys: 0 to 3).
+
+    Of a band's groups more than ``room`` are equal in two sets that link, with or without the common shingles.
+    Kinds 0 and 1 (the band above) leave common shingles out.  A set whose empty groups then fill the room is
+    keyed by all its shingles as well, kinds 2 and 3; if only one of two sets is, the other has a group that
+    isn't empty to share.  The same holds for empty groups among all shingles, which are keys for such a set.
+    Of the room that empty groups leave, a set can do without as many keys, whichever they are.
     """
+    at = np.searchsorted(common, s)
+    rare = s[(at == len(common)) | (common[np.minimum(at, len(common) - 1)] != s)] if len(common) else s
     out = []
-    for band, _, groups, slack in of(len(s)):
-        g = ((s >> U(8)) % U(groups)).astype(np.int64)
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        content = np.add.reduceat(mix(s[order] ^ U(0xA0761D6478BD642F)), first)
-        at = g[first].astype(U) + U((band + 1) << 40)
-        out.append(mix(content ^ mix(at)))
-        if groups - len(first) > slack:
-            empty = np.setdiff1d(np.arange(groups), g[first]).astype(U) + U((band + 1) << 40)
-            out.append(mix(mix(empty) + U(1)))
-    return np.concatenate(out)
+    for upper, (band, groups, room) in enumerate(of(len(s))):
+        full, empty = _group_keys(rare, groups, 2 * band + 2)
+        spare = room - len(empty)
+        out.append((full, spare, upper))
+        if spare < 0:
+            full, empty = _group_keys(s, groups, 2 * band + 3)
+            spare = room - len(empty)
+            out.append((full if spare >= 0 else np.concatenate((full, empty)), spare, 2 + upper))
+    return out
+
+
+def _common(rows: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many texts of a bounded sample have: the rows with the least hash of their id."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = list(shingle_sets(texts_of(b.column(0)), k))
+            s, n = np.unique(np.concatenate(found) if found else np.empty(0, U), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
+        settle()
+
+    chosen = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = rows.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(count, "s long, n long")
+    often = sample.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "s").limit(MOST_COMMON)
+    return np.sort(often.toPandas()["s"].to_numpy(np.int64).view(U))
 
 
 # ---------------------------------------------------------------- the tree
@@ -217,15 +255,17 @@ def _features(k: int):
     return run
 
 
-_SHIP = "part int, kind int, sids binary, at binary, low binary, high binary"
+_SHIP = "part int, kind int, sids binary, spare binary, at binary, low binary, high binary"
+#: Keys that a set can do without, counted up to this, go with their kind in 16 bits.
+_SPARE = 100
 
 
-def _ship(k: int, percent: int, parts: int):
+def _ship(k: int, percent: int, parts: int, common: np.ndarray):
     """Keys by part, as packed arrays.  kind 0: keys; 1: keys that are hot here, with one set; 2: the sets of a hot key."""
     of = bands(percent)
 
-    def flush(found: list[np.ndarray], sids: list[int]) -> Iterator[tuple]:
-        table = np.array(sids, np.int64)
+    def flush(found: list[np.ndarray], sids: list[int], spare: list[int]) -> Iterator[tuple]:
+        table, spares = np.array(sids, np.int64), np.array(spare, "<u2")
         at = np.repeat(np.arange(len(sids), dtype="<u2"), [len(x) for x in found])
         key = np.concatenate(found)
         order = np.argsort(key, kind="stable")
@@ -239,7 +279,7 @@ def _ship(k: int, percent: int, parts: int):
             members = table[at[a:b]]
             if (h := hash(members.tobytes())) not in seen:
                 seen.add(h)
-                yield int(key[a] % U(parts)), 2, members.tobytes(), b"", b"", b""
+                yield int(key[a] % U(parts)), 2, members.tobytes(), b"", b"", b"", b""
             kind[a], gone[a + 1 : b] = 1, True
         key, at, kind = key[~gone], at[~gone], kind[~gone]
         part, rest = (key % U(parts)).astype(np.int32), key // U(parts)
@@ -250,26 +290,29 @@ def _ship(k: int, percent: int, parts: int):
             for p in range(parts):
                 if len(own := rows[ends[p] : ends[p + 1]]):
                     used, where = np.unique(at[own], return_inverse=True)
-                    yield p, hot, table[used].tobytes(), where.astype("<u2").tobytes(), (rest[own] & U(0xFFFFFFFF)).astype("<u4").tobytes(), ((rest[own] >> U(32)) & U(0xFFFF)).astype("<u2").tobytes()
+                    low, high = (rest[own] & U(0xFFFFFFFF)).astype("<u4"), ((rest[own] >> U(32)) & U(0xFFFF)).astype("<u2")
+                    yield p, hot, table[used].tobytes(), spares[used].tobytes(), where.astype("<u2").tobytes(), low.tobytes(), high.tobytes()
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        found, sids, seen, n = [], [], set(), 0
+        found, sids, spare, seen, n = [], [], [], set(), 0
         for b in batches:
             for s in shingle_sets(texts_of(b.column(0)), k):
                 if not len(s) or (sid := set_id(s)) in seen:
                     continue
                 seen.add(sid)
-                sids.append(sid)
-                found.append(keys(s, of))
-                n += len(found[-1])
-                if n > SHIP_KEYS or len(sids) == SHIP_SETS:
-                    yield from flush(found, sids)
-                    found, sids, seen, n = [], [], set(), 0
+                for own, free, kind in keys(s, of, common):
+                    sids.append(sid)
+                    spare.append(4 * (max(min(free, _SPARE), -1) + 1) + kind)
+                    found.append(own)
+                    n += len(own)
+                if n > SHIP_KEYS or len(seen) == SHIP_SETS:
+                    yield from flush(found, sids, spare)
+                    found, sids, spare, seen, n = [], [], [], set(), 0
         if sids:
-            yield from flush(found, sids)
+            yield from flush(found, sids, spare)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         names = [c.split()[0] for c in _SHIP.split(", ")]
         held: list[tuple] = []
         size = 0
@@ -286,60 +329,77 @@ def _ship(k: int, percent: int, parts: int):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each key with two sets or more the sets, once for keys with the same sets: (bucket, star, members)."""
+_MEET = "bucket long, kind int, members array<long>, spare array<int>"
 
+
+def _meet(parts: int):
+    """Of each key with two sets or more the sets.
+
+    kind 0: sets to search, under a number that keys with the same sets share; 1: sets to join; 2: sets of a
+    large key, under its own number, with what they can spare.
+    """
+    return lambda batches: _met(batches, parts)
+
+
+def _met(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        b, s, m = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(s, pa.bool_()), pa.array(m, pa.list_(pa.int64()))], names=["bucket", "star", "members"])
+        b, k, m, s = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int32()), pa.array(m, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.int32()))], names=["bucket", "kind", "members", "spare"])
 
     def star(members: np.ndarray) -> Iterator[tuple]:
         for a in range(1, len(members), 4096):
             m = np.concatenate((members[:1], members[a : a + 4096]))
-            yield int(mix(m.view(U)).sum(dtype=U).view(np.int64)), True, m
+            yield int(mix(m.view(U)).sum(dtype=U).view(np.int64)), 1, m, None
 
-    def part(rows: list[tuple]) -> Iterator[tuple]:
-        sid, key, hot = [], [], []
-        for kind, sids, at, low, high in rows:
+    def part(p: int, rows: list[tuple]) -> Iterator[tuple]:
+        sid, spare, key, hot = [], [], [], []
+        for kind, sids, spares, at, low, high in rows:
             sids = np.frombuffer(sids, np.int64)
             if kind == 2:
                 yield from star(sids)
                 continue
-            sid.append(sids[np.frombuffer(at, "<u2")])
+            at = np.frombuffer(at, "<u2")
+            sid.append(sids[at])
+            spare.append(np.frombuffer(spares, "<u2")[at])
             key.append(np.frombuffer(low, "<u4").astype(U) | np.frombuffer(high, "<u2").astype(U) << U(32))
-            hot.append(np.full(len(key[-1]), kind == 1))
+            hot.append(np.full(len(at), kind == 1))
         if not key:
             return
-        sid, key, hot = map(np.concatenate, (sid, key, hot))
+        sid, spare, key, hot = map(np.concatenate, (sid, spare, key, hot))
         order = np.lexsort((sid, key))
-        sid, key, hot = sid[order], key[order], hot[order]
+        sid, spare, key, hot = sid[order], spare[order], key[order], hot[order]
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         hot = np.logical_or.reduceat(hot, np.flatnonzero(new_key))
         fresh = new_key | np.concatenate(([True], sid[1:] != sid[:-1]))
-        sid, new_key = sid[fresh], new_key[fresh]
+        sid, spare, key, new_key = sid[fresh], spare[fresh], key[fresh], new_key[fresh]
         first = np.flatnonzero(new_key)
         size = np.diff(np.append(first, len(sid)))
         bucket = np.add.reduceat(mix(sid.view(U)), first).view(np.int64)
-        many = np.flatnonzero(size > 1)
+        for g in np.flatnonzero((size > KEY_SETS) & ~hot).tolist():
+            own = int(mix(key[first[g] : first[g] + 1] * U(n_parts) + U(p)).view(np.int64)[0])
+            for a in range(first[g], first[g] + size[g], 4096):
+                b = min(a + 4096, first[g] + size[g])
+                yield own, 2, sid[a:b], spare[a:b].astype(np.int32)
+        many = np.flatnonzero((size > 1) & ((size <= KEY_SETS) | hot))
         _, pick = np.unique(bucket[many] ^ hot[many], return_index=True)
         for g in many[pick].tolist():
             m = sid[first[g] : first[g] + size[g]]
-            if hot[g] or size[g] > KEY_SETS:
+            if hot[g]:
                 yield from star(m)
             else:
-                yield int(bucket[g]), False, m
+                yield int(bucket[g]), 0, m, None
 
     def parts() -> Iterator[tuple]:
         at, rows = None, []
         for b in batches:
             for p, *r in values(*b.columns):
                 if p != at and rows:
-                    yield from part(rows)
+                    yield from part(at, rows)
                     rows = []
                 at = p
                 rows.append(r)
         if rows:
-            yield from part(rows)
+            yield from part(at, rows)
 
     held: list[tuple] = []
     size = 0
@@ -447,11 +507,14 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     nodes = features.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counts").alias("counts"))
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shipped = rows.select("text").mapInArrow(_ship(words, percent, parts), _SHIP)
-    met = shipped.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_meet, "bucket long, star boolean, members array<long>")
-    met = scratch.table(met.groupBy("bucket", "star").agg(F.first("members").alias("members")))
-    stars = met.where("star").select(F.col("members")[0].alias("u"), F.explode(F.expr("slice(members, 2, size(members))")).alias("v"))
-    near = met.where("not star").select("bucket", F.explode("members").alias("sid")).join(nodes.select("sid", "n", "counts"), "sid")
+    shipped = rows.select("text").mapInArrow(_ship(words, percent, parts, _common(rows, words)), _SHIP)
+    met = shipped.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_meet(parts), _MEET)
+    met, seen = scratch.counted(met, large="count_if(kind = 2)")
+    stars = met.where("kind = 1").select(F.col("members")[0].alias("u"), F.explode(F.expr("slice(members, 2, size(members))")).alias("v"))
+    if seen["large"]:
+        stars = stars.union(_of_large_keys(met))
+    near = met.where("kind = 0").groupBy("bucket").agg(F.first("members").alias("members"))
+    near = near.select("bucket", F.explode("members").alias("sid")).join(nodes.select("sid", "n", "counts"), "sid")
     near = near.select("bucket", "sid", "n", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), "u long, v long")
     clusters = components(stars.union(near), scratch).toDF("sid", "cluster")
     scratch.drop(met)
@@ -479,6 +542,19 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     )
 
 
+def _of_large_keys(met: DataFrame) -> DataFrame:
+    """Edges that join the sets of a large key which have more such keys than they can spare.
+
+    Of two sets that link, if either can spare its large keys, they share another key.
+    """
+    large = met.where("kind = 2").select("bucket", F.inline(F.arrays_zip(F.col("members").alias("sid"), F.col("spare"))))
+    large = large.select("bucket", "sid", (F.col("spare") % 4).alias("kind"), (F.floor(F.col("spare") / 4) - 1).alias("free"))
+    bound = large.groupBy("sid", "kind").agg(F.count("*").alias("n"), F.max("free").alias("free")).where("n > free").select("sid", "kind")
+    large = large.join(bound, ["sid", "kind"]).select("bucket", "sid")
+    least = large.groupBy("bucket").agg(F.min("sid").alias("u"))
+    return large.join(least, "bucket").where("u <> sid").select("u", F.col("sid").alias("v"))
+
+
 def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, searched: bool) -> DataFrame:
     texts = rows.withColumnRenamed("doc_id", "id")
     # by merge at any size: the sets in clusters grow with the corpus, and a broadcast of them has no bound

@@ -8,7 +8,9 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from restitch.llm import exact_dedup, jaccard, packing, quality_rules, secrets
 from restitch.llm.textscan import Scan, windows
@@ -81,6 +83,11 @@ def test_drop_exact_keeps_columns(spark):
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [2, 4]
 
 
+def test_drop_exact_judges_rows_by_their_own_text(spark):
+    df = frame(spark, [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "b"), (None, "d")])
+    assert sorted((tuple(r)[:2] for r in exact_dedup.drop_exact(df).collect()), key=repr) == [(1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "d")]
+
+
 # ------------------------------------------------ Jaccard join
 
 
@@ -128,22 +135,87 @@ def test_near_groups_in_small_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_large_keys(spark, monkeypatch, known):
+    """Families, and texts that share a passage, with keys that count as large: the links are those of brute force."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [t for s in range(4) for t in family(s, 70, 14, 10**6)]
+    texts += [f"{passage} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(30)) for _ in range(60)] + [texts[-1] + " end"] + [passage + f" {i}" for i in range(8)]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(jaccard, "KEY_SETS", 5)
+    met = spark.createDataFrame([(1, 2, [7, 8, 9], [4, 4, 8]), (2, 2, [7, 8], [4, 4]), (3, 2, [9, 10], [8, 17])], jaccard._MEET)
+    assert sorted(tuple(r) for r in jaccard._of_large_keys(met).collect()) == [(7, 8), (7, 8), (7, 9)]
+    common = np.sort(next(jaccard.shingle_sets([passage.encode()], 4))) if known else np.empty(0, np.uint64)
+    if known:
+        found = jaccard._common(frame(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text")), 4)
+        assert np.isin(common, found).all()
+    monkeypatch.setattr(jaccard, "COMMON_IN", 8 if known else 10**6)
+    got = sorted(tuple(r) for r in jaccard.near_groups(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+    out = []
+    shipped = jaccard._ship(4, 85, 3, common)(iter([pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])]))
+    table = pa.Table.from_batches(list(shipped)).sort_by("part")
+    for b in jaccard._meet(3)(iter(table.to_batches())):
+        out += b.to_pylist()
+    found = [r for r in out if r["kind"] == 2]
+    assert found and all(len(r["members"]) > 5 for r in found) and all(2 <= len(r["members"]) <= 5 for r in out if r["kind"] == 0)
+    sets = list(jaccard.shingle_sets([t.encode() for t in texts], 4))
+    sid = [jaccard.set_id(s) for s in sets]
+    large: dict = {}
+    for r in found:
+        for m, s in zip(r["members"], r["spare"], strict=True):
+            large.setdefault((m, s % 4), [0, s // 4 - 1])[0] += 1
+    bound = {k for k, (n, free) in large.items() if n > free}
+    pairs = {frozenset((x, y)) for r in out if r["kind"] < 2 for x in r["members"] for y in r["members"] if x != y}
+    for r in found:
+        own = [m for m, s in zip(r["members"], r["spare"], strict=True) if (m, s % 4) in bound]
+        pairs |= {frozenset((x, y)) for x in own for y in own if x != y}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * jaccard.overlap(a, sets[j]) >= 85 * len(np.union1d(a, sets[j])) and sid[i] != sid[j]:
+                assert frozenset((sid[i], sid[j])) in pairs
+    assert len(pairs) < len(set(sid)) ** 2 / 6
+
+
+def test_near_groups_of_odd_ids(spark):
+    a, b = family(1, 60, 2)[0], family(2, 60, 2)[0]
+    rows = [(1, a), (1, a), (2, a + " end"), (2, b), (3, b), (None, a), (None, "alone here")]
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_groups(frame(spark, rows)).collect()), key=repr)
+    assert got == [(1, 1), (1, 1), (2, 1), (2, 2), (3, 2), (None, 1), (None, None)]
+    kept = jaccard.drop_near(frame(spark, rows))
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted([(1, a), (1, a), (2, a + " end"), (2, b), (None, a), (None, "alone here")], key=repr)
+
+
+def test_points_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 60, 700, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**63, n, dtype=np.uint64))))
+        points = jaccard.folded([jaccard.point(a), jaccard.point(b)])
+        assert points.sum(1).tolist() == [len(a), len(b)] and np.minimum(*points).sum() >= jaccard.overlap(a, b)
+
+
 def test_near_groups_of_nothing(spark):
     assert jaccard.near_groups(frame(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.near_groups(frame(spark, [(5, None)])).collect()] == [(5, 0, 5)]
 
 
 def test_keys_meet_for_every_link():
+    """Whichever shingles are common, and whichever keys a set does without."""
     rng = np.random.default_rng(3)
     for percent in (80, 85):
         of = jaccard.bands(percent)
         for n in [1, 2, 3, 5, 6, 7, 8, 11, 13, 14, 19, 20, 40, 77, 150, 400]:
-            for _ in range(30):
+            for turn in range(40):
                 a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
                 most = len(a) * (100 - percent) // (100 + percent)
                 b = np.unique(np.concatenate((a[rng.integers(0, most + 1) :], rng.integers(0, 2**63, rng.integers(0, 2 * most + 1), dtype=np.uint64))))
+                common = np.sort(rng.permutation(np.union1d(a, b))[: int(len(a) * turn / 39)])
                 if 100 * jaccard.overlap(a, b) >= percent * len(np.union1d(a, b)):
-                    assert np.isin(jaccard.keys(a, of), jaccard.keys(b, of)).any()
+                    one, two = jaccard.keys(a, of, common), jaccard.keys(b, of, common)
+                    told = [(len(np.intersect1d(x, y)), max(f, g, 0)) for x, f, i in one for y, g, j in two if i // 2 == j // 2]
+                    assert any(n > f for n, f in told)
 
 
 # ------------------------------------------------ quality rules
