@@ -69,5 +69,7 @@ HASKELL_REPORT = r"hs:(\d+):(\d+): (\w+):\W+([^\r\n]+)"
 def haskell_reports(stderr: Column) -> Column:
     """An array of (line, column, type, message) of compiler output."""
     got = [F.regexp_extract_all(stderr, F.lit(HASKELL_REPORT), F.lit(k)) for k in range(1, 5)]
-    each = F.transform(F.sequence(F.lit(0), F.size(got[0]) - 1), lambda i: F.struct(F.get(got[0], i).cast("int").alias("line"), F.get(got[1], i).cast("int").alias("column"), F.get(got[2], i).alias("type"), F.get(got[3], i).alias("message")))
-    return F.when(F.size(got[0]) > 0, each).otherwise(F.array().cast("array<struct<line:int,column:int,type:string,message:string>>"))
+    # zipped, so that each pattern is applied once and not for every match
+    return F.transform(
+        F.arrays_zip(*got), lambda s: F.struct(s["0"].cast("int").alias("line"), s["1"].cast("int").alias("column"), s["2"].alias("type"), s["3"].alias("message"))
+    )
