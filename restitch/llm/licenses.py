@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sentences of public licences and the usual ways to name one, normalised.
+#: Sentences of public licences and the usual ways to name one, normalised and cut as the splitter cuts.
 SENTENCES = {
     "apache_ref": ["licensed under the apache license version 2 0", "released under the apache license version 2 0", "distributed under the apache license version 2 0", "this work is licensed under the apache license version 2 0"],
     "apache_head": ["licensed under the apache license version 2 0 the license"],
     "apache_use": ["you may not use this file except in compliance with the license"],
-    "apache_copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0"],
+    "apache_copy": ["you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
     "apache_asis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "mit_ref": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license", "distributed under the mit license"],
     "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
@@ -29,16 +29,20 @@ SENTENCES = {
     "bsd3_ref": ["licensed under the bsd 3 clause license", "released under the bsd 3 clause license"],
     "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "isc_ref": ["licensed under the isc license", "released under the isc license"],
-    "gpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl2_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
-    "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl_terms": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "gpl_later": ["either version 3 of the license or at your option any later version"],
+    "gpl2_later": ["either version 2 of the license or at your option any later version"],
+    "gpl_free": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2_free": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl_implied": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl_copy": ["you should have received a copy of the gnu general public license along with this program"],
     "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3", "licensed under the gpl version 3"],
     "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
     "lgpl_ref": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
     "agpl_ref": ["licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3"],
-    "mpl_form": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "mpl_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "mpl_form": ["this source code form is subject to the terms of the mozilla public license v", "this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "mpl_copy": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"],
     "ccby_ref": ["licensed under cc by 4 0", "this work is licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
     "ccbysa_ref": ["licensed under cc by sa 4 0", "this work is licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
     "ccbync_ref": ["licensed under cc by nc 4 0", "this work is licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
@@ -53,8 +57,10 @@ RULES = [
     ("BSD-3-Clause", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
     ("BSD-2-Clause", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("ISC", ["isc_grant"]),
-    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope"]),
-    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope"]),
+    ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_implied"]),
+    ("GPL-3.0-or-later", ["gpl_terms", "gpl_later", "gpl_hope", "gpl_implied"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_implied"]),
+    ("GPL-2.0-or-later", ["gpl_terms", "gpl2_later", "gpl_hope", "gpl_implied"]),
     ("MPL-2.0", ["mpl_form"]),
     ("Unlicense", ["unlicense"]),
     ("Apache-2.0", ["apache_ref"]),
@@ -72,13 +78,16 @@ RULES = [
     ("CC0-1.0", ["cc0_ref"]),
     ("All-Rights-Reserved", ["reserved"]),
 ]
-#: Every known sentence holds one of these, so a text without any has no sentence to look up.
-STEMS = ["licen", "permission", "redistribut", "copyright", "warrant", "public domain", "rights reserved", "mpl", "cc0"]
+#: Every known sentence holds one of these, which are single words as a line may end between two, so a text without any has no sentence to look up.
+STEMS = ["licen", "permission", "redistribut", "copyright", "warrant", "domain", "reserved", "mpl", "cc0"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What ends a sentence once white space is single blanks; a full stop inside 2.0 or a host name does not.
 SPDX = "spdx-license-identifier:"  # its colon ends no sentence
 SENTENCE_END = r"[.!?;:]+( |$)"
+#: A line without a letter or digit parts paragraphs, whatever marks of a comment it has.
+PARAGRAPH = r"(?>\r\n?|\n)[^\p{L}\p{N}\r\n]*[\r\n]"
+ADDRESS = r"(https?://\S+)"
 
 
 def known() -> dict[str, str]:
@@ -109,23 +118,28 @@ def _sequence(text: Column, ends: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sentence_ids, license, licenses of each row of ``docs``.
 
-    Sentences are told apart twice, by sentence ends with lines run together (as licence texts are wrapped) and
-    by lines as well (as a reference may stand in a line between others); a rule may hold in either sequence.
-    ``sentence_ids`` is the second sequence, or the first where that knows more sentences.  ``license`` is the
+    Sentences are told apart three times: by sentence ends with lines run together (as licence texts are wrapped),
+    by lines as well (as a reference may stand in a line between others), and as the first with an end after each
+    paragraph and address (as a header follows a copyright line); a rule may hold in any sequence.
+    ``sentence_ids`` is the second sequence, or the first and then the third where that knows more.  ``license`` is the
     first rule's that holds, ``licenses`` are all, in the order of the rules; a text without a licence, an empty
     or a null text has null and "".  Repeated rows are scanned alike; an empty table gives no rows.
     """
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(low.rlike("|".join(STEMS)), F.replace(low, F.lit(SPDX), F.lit(SPDX[:-1]))).otherwise("").alias("low"))
+    parts = F.regexp_replace(F.regexp_replace("low", PARAGRAPH, " . "), ADDRESS, "$1. ")
     runs = rows.select(
         "doc_id",
         _sequence(F.regexp_replace("low", r"\s+", " "), SENTENCE_END).alias("wrapped"),
         _sequence(F.col("low"), rf"[\r\n]+|{SENTENCE_END}").alias("lined"),
+        _sequence(F.regexp_replace(parts, r"\s+", " "), SENTENCE_END).alias("parted"),
     )
     told = lambda c: F.concat(F.lit(","), F.array_join(c, ","), F.lit(","))
     more = F.when(F.size("wrapped") > F.size("lined"), F.col("wrapped")).otherwise(F.col("lined"))
-    runs = runs.select("doc_id", more.alias("ids"), told("wrapped").alias("wrapped"), told("lined").alias("lined"))
-    shown = [F.when(F.col("wrapped").rlike(p) | F.col("lined").rlike(p), F.lit(name)) for name, ids in RULES for p in [rule_pattern(ids)]]
+    more = F.when(F.size("parted") > F.greatest(F.size("wrapped"), F.size("lined")), F.col("parted")).otherwise(more)
+    runs = runs.select("doc_id", more.alias("ids"), told("wrapped").alias("wrapped"), told("lined").alias("lined"), told("parted").alias("parted"))
+    holds = lambda p: F.col("wrapped").rlike(p) | F.col("lined").rlike(p) | F.col("parted").rlike(p)
+    shown = [F.when(holds(rule_pattern(ids)), F.lit(name)) for name, ids in RULES]
     runs = runs.select("doc_id", "ids", F.array_distinct(F.array_compact(F.array(*shown))).alias("found"))
     return runs.select(
         "doc_id",

@@ -100,3 +100,82 @@ def test_every_known_sentence_has_a_stem():
 def test_license_plan_has_no_python(spark, sf_dir):
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "MIT": MIT.replace("# ", "").replace("#", ""),
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Unlicense": """This is free and unencumbered software released into the public
+domain.
+""",
+}
+HEADERS["BSD-2-Clause"] = HEADERS["BSD-3-Clause"].split("3. Neither")[0]
+
+
+def test_real_headers(spark):
+    assert set(HEADERS) == {name for name, ids in licenses.RULES if len(ids) > 1} | {"ISC", "MPL-2.0", "Unlicense"}
+    rows, want = [], []
+    for name, header in HEADERS.items():
+        wrapped = "Copyright (C) 2020 Some Body\n\n" + header
+        unwrapped = "\n\n".join(" ".join(p.split()) for p in wrapped.split("\n\n"))
+        single = " ".join(header.split())
+        commented = "".join(f" * {line}".rstrip() + "\n" for line in wrapped.split("\n"))
+        close = header.replace("\n\n", "\n")
+        for t in (header, wrapped, unwrapped, single, commented, close, commented.replace("\n", "\r\n")):
+            rows.append((len(rows), t))
+            want.append(name)
+    got = {r.doc_id: r.license for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == want
