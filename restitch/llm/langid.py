@@ -8,6 +8,7 @@ Probabilities are fitted by expectation maximisation on word counts of a bounded
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +27,14 @@ from restitch.llm.textscan import Scan, U, chunks
 #: At most so many labelled texts (those with the least hash of their id), and of each language so many of their
 #: most frequent words, fit the probabilities.
 MAX_TEXTS, MAX_WORDS, ROUNDS = 4000, 20_000, 3
-#: Longest piece used; a longer word is scored in runs of RUN bytes.
-PIECE, RUN = 12, 24
-#: Probabilities are scaled by this for each byte, which keeps products of a run within a double.
+#: Every piece of the vocabulary is used and every word is scored whole: bounds that nothing reaches.
+PIECE, RUN = sys.maxsize, sys.maxsize
+#: Probabilities are scaled by this for each byte.
 _SCALE = 8.0
-_BLOCK = 16_384
+#: Words side by side (fewer for more than eight languages), and places of their bytes held at a time.
+_BLOCK, _PLACES = 16_384, 1 << 18
+#: Longer pieces are looked up only where their first bytes are those of one.
+_SHORT = 12
 _KNOWN = 600_000
 
 
@@ -38,27 +42,51 @@ class Vocabulary:
     """Pieces by length, as sorted hashes with their numbers."""
 
     def __init__(self, path: str):
-        pieces = sorted(t for t in read_ranks(path) if len(t) <= PIECE)
+        pieces = sorted(read_ranks(path))
         self.n = len(pieces)
         self.lengths = np.array([len(t) for t in pieces])
         hashed = _Hashes(np.frombuffer(b"".join(pieces), np.uint8))
         ends = np.cumsum(self.lengths)
         h = hashed.span(ends - self.lengths, ends)
-        self.by_length = []
-        for k in range(1, PIECE + 1):
+        self.longest = int(self.lengths.max())
+        self.by_length = {}
+        for k in np.unique(self.lengths):
             own = np.flatnonzero(self.lengths == k)
             own = own[np.argsort(h[own])]
-            self.by_length.append((h[own], own))
+            self.by_length[int(k)] = (h[own], own)
+        at = (ends - self.lengths)[self.lengths > _SHORT]
+        self.heads = np.unique(hashed.span(at, at + _SHORT))
 
     def find(self, k: int, h: np.ndarray) -> np.ndarray:
         """The number of the piece of length k with each hash, or n where there is none."""
-        table, number = self.by_length[k - 1]
-        if not len(table):
+        if k not in self.by_length:
             return np.full(len(h), self.n)
+        table, number = self.by_length[k]
         at = np.searchsorted(table, h)
         at[at == len(table)] = 0
         return np.where(table[at] == h, number[at], self.n)
 
+    def matches(self, hashes: _Hashes, start: np.ndarray, least: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All (number in ``start``, length, piece) of pieces that begin at ``start`` and are of ``least`` to ``room`` bytes."""
+        out = []
+        near = np.arange(len(start))
+        for k, (table, _) in self.by_length.items():
+            if k > _SHORT and len(self.heads):
+                if out and out[-1][3] <= _SHORT:  # the first of the long ones
+                    near = near[room[near] >= _SHORT]
+                    head = hashes.span(start[near], start[near] + _SHORT)
+                    near = near[self.heads[np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)] == head]
+            near = near[room[near] >= k]
+            if not len(near):
+                break
+            fits = near[least[near] <= k]
+            piece = self.find(k, hashes.span(start[fits], start[fits] + k))
+            have = np.flatnonzero(piece < self.n)
+            out.append((fits[have], np.full(len(have), k), piece[have], k))
+        if not out:
+            return (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(c) for c in list(zip(*out, strict=True))[:3])
+
 
 class _Hashes:
     def __init__(self, buf: np.ndarray):
@@ -76,7 +104,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Runs:
-    """Words, each with a blank before it, cut into runs of at most RUN bytes."""
+    """Words, each with a blank before it."""
 
     def __init__(self, words: list[bytes] | tuple[np.ndarray, np.ndarray, np.ndarray]):
         if isinstance(words, list):
@@ -86,78 +114,139 @@ class Runs:
         else:
             source, starts, ends = words
             lens = ends - starts
-        n = len(lens)
-        offset = np.cumsum(lens + 1) - lens - 1
         buf = np.full(int((lens + 1).sum()), 32, np.uint8)
+        self.size = lens + 1
+        self.start = np.cumsum(self.size) - self.size
         inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        buf[inner + np.repeat(offset + 1, lens)] = source[inner + np.repeat(starts, lens)]
+        buf[inner + np.repeat(self.start + 1, lens)] = source[inner + np.repeat(starts, lens)]
         self.hashes = _Hashes(buf)
-        per = -(-(lens + 1) // RUN)
-        self.word = np.repeat(np.arange(n), per)
-        k = np.arange(len(self.word)) - np.repeat(np.cumsum(per) - per, per)
-        self.start = offset[self.word] + k * RUN
-        self.size = np.minimum(RUN, (offset + lens + 1)[self.word] - self.start)
-        self.n = n
-
-    def blocks(self) -> Iterator[np.ndarray]:
-        """Numbers of runs, a block at a time, the longest first."""
+        self.n = len(lens)
+
+    def blocks(self, langs: int) -> Iterator[np.ndarray]:
+        """Numbers of words, a block at a time, the longest first."""
         order = np.argsort(-self.size, kind="stable")
-        for a in range(0, len(order), _BLOCK):
-            yield order[a : a + _BLOCK]
-
-
-def _forward(v: Vocabulary, runs: Runs, own: np.ndarray, p: np.ndarray) -> tuple[list, dict]:
-    """Scaled sums over all segmentations of the first t bytes, for each t; and the pieces that end there."""
-    start, size = runs.start[own], runs.size[own]
-    alpha, found = [np.ones((len(own), p.shape[1]))], {}
-    for t in range(1, int(size[0]) + 1):
-        n = int((size >= t).sum())
-        at = np.zeros((n, p.shape[1]))
-        for k in range(1, min(t, PIECE) + 1):
-            a = start[:n] + (t - k)
-            piece = v.find(k, runs.hashes.span(a, a + k))
-            have = np.flatnonzero(piece < v.n)
-            if len(have):
-                piece = piece[have]
-                at[have] += alpha[t - k][have] * p[piece]
-                found[t, k] = (have, piece)
-        alpha.append(at)
-    return alpha, found
+        step, a = max(256, _BLOCK * 8 // max(8, langs)), 0
+        while a < len(order):
+            n = step if self.size[order[a]] <= 64 else step // 8  # long ones have more places to carry on
+            yield order[a : a + n]
+            a += n
+
+
+class _Part:
+    """The places after a + 1 to b bytes of a block's words, by number of bytes and then by word, and the
+    pieces that end there.  Places of the last bytes up to a that a piece can reach back to lie before them."""
+
+    def __init__(self, v: Vocabulary, runs: Runs, own: np.ndarray, many: np.ndarray, a: int, b: int):
+        self.a, self.b, self.low = a, b, max(0, a + 1 - v.longest)
+        self.many = many[self.low : b + 1]  # words that have so many bytes
+        self.at = np.concatenate(([0], np.cumsum(self.many)))
+        t = np.repeat(np.arange(self.low, b), self.many[:-1])  # a piece begins here
+        word = np.arange(len(t)) - np.repeat(self.at[:-2], self.many[:-1])
+        first, k, piece = v.matches(runs.hashes, runs.start[own[word]] + t, a + 1 - t, np.minimum(runs.size[own[word]], b) - t)
+        end = self.at[t[first] + k - self.low] + word[first]
+        order = np.argsort(end, kind="stable")
+        self.first, self.end, self.piece = first[order], end[order], piece[order]
+        self.bounds = np.searchsorted(self.end, self.at)
+
+    def places(self, t: int) -> slice:
+        return slice(self.at[t - self.low], self.at[t - self.low + 1])
+
+    def ending(self, t: int) -> slice:
+        """Of the pieces, those that end after t bytes."""
+        return slice(self.bounds[t - self.low], self.bounds[t - self.low + 1])
+
+    def forward(self, carried: np.ndarray, logp: np.ndarray) -> np.ndarray:
+        """Logs of the sums over all segmentations of the bytes before each place; ``carried``: those up to a."""
+        out = np.full((self.at[-1], logp.shape[1]), -np.inf)
+        out[: len(carried)] = carried
+        for t in range(self.a + 1, self.b + 1):
+            e = self.ending(t)
+            if e.start == e.stop:
+                continue
+            x = out[self.first[e]] + logp[self.piece[e]]
+            end = self.end[e]
+            heads = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+            top = np.maximum.reduceat(x, heads)
+            top[np.isneginf(top)] = 0
+            x = np.exp(x - np.repeat(top, np.diff(np.append(heads, len(end))), axis=0))
+            with np.errstate(divide="ignore"):
+                out[end[heads]] = top + np.log(np.add.reduceat(x, heads))
+        return out
+
+    def carry(self, v: Vocabulary, alpha: np.ndarray) -> np.ndarray:
+        """What the next part needs of this one's."""
+        return alpha[self.at[max(0, self.b + 1 - v.longest) - self.low] :]
+
+
+def _parts(runs: Runs, own: np.ndarray, langs: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many of a block's words have at least t bytes, for each t; and (a, b] of t with a bounded number of places."""
+    size = runs.size[own]
+    many = len(own) - np.searchsorted(size[::-1], np.arange(int(size[0]) + 1))
+    total, limit, cuts = np.cumsum(many), _PLACES * 8 // max(8, langs), [0]
+    while cuts[-1] < size[0]:
+        a = cuts[-1]
+        cuts.append(max(a + 1, int(np.searchsorted(total, total[a] + limit, "right")) - 1))
+    return many, list(zip(cuts, cuts[1:], strict=False))
 
 
 def word_scores(v: Vocabulary, runs: Runs, p: np.ndarray) -> np.ndarray:
     """Log probability of each word in each language; ``p`` has scaled probabilities, a row a piece."""
-    out = np.zeros((runs.n, p.shape[1]))
-    for own in runs.blocks():
-        alpha, _ = _forward(v, runs, own, p)
+    out = np.empty((runs.n, p.shape[1]))
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    for own in runs.blocks(p.shape[1]):
         size = runs.size[own]
-        last = np.empty((len(own), p.shape[1]))
-        for t in np.unique(size):
-            rows = np.flatnonzero(size == t)
-            last[rows] = alpha[t][rows]
-        np.add.at(out, runs.word[own], np.log(np.maximum(last, 1e-300)) - (size * np.log(_SCALE))[:, None])
-    return out
+        many, parts = _parts(runs, own, p.shape[1])
+        carried = np.zeros((len(own), p.shape[1]))
+        for a, b in parts:
+            part = _Part(v, runs, own, many, a, b)
+            alpha = part.forward(carried, logp)
+            done = np.flatnonzero((size > a) & (size <= b))
+            out[own[done]] = alpha[part.at[size[done] - part.low] + done]
+            carried = part.carry(v, alpha)
+    return out - (runs.size * np.log(_SCALE))[:, None]
 
 
 def expected(v: Vocabulary, runs: Runs, weights: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """How often each piece is expected in words seen ``weights`` times, a column a language."""
-    out = np.zeros((v.n, p.shape[1]))
-    for own in runs.blocks():
-        alpha, found = _forward(v, runs, own, p)
-        size, w = runs.size[own], weights[runs.word[own]]
-        beta = [np.zeros_like(a) for a in alpha]
-        for t in range(len(alpha) - 1, 0, -1):
-            whole = np.flatnonzero(size[: len(beta[t])] == t)
-            total = alpha[t][whole]
-            beta[t][whole] = np.where(total > 0, w[whole] / np.maximum(total, 1e-300), 0)
-            for k in range(1, min(t, PIECE) + 1):
-                if (t, k) in found:
-                    have, piece = found[t, k]
-                    back = beta[t][have] * p[piece]
-                    count = alpha[t - k][have] * back
-                    for c in range(p.shape[1]):
-                        out[:, c] += np.bincount(piece, count[:, c], v.n)
-                    beta[t - k][have] += back
+    """How often each piece is expected in words seen ``weights`` times, a column a language.
+
+    Of the segmentations that pass a place, the share that comes to it by each piece follows from the forward
+    sums alone; the weight of a word flows back from its end by these shares.  Parts are made anew on the way back.
+    """
+    langs = p.shape[1]
+    out = np.zeros((v.n, langs))
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    for own in runs.blocks(langs):
+        size = runs.size[own]
+        many, parts = _parts(runs, own, langs)
+        carried, last = [np.zeros((len(own), langs))], None
+        for a, b in parts:
+            last = _Part(v, runs, own, many, a, b)
+            alpha = last.forward(carried[-1], logp)
+            carried.append(last.carry(v, alpha))
+        back = np.zeros((0, langs))
+        for (a, b), before in zip(parts[::-1], carried[-2::-1], strict=True):
+            part = last
+            if b < parts[-1][1]:
+                part = _Part(v, runs, own, many, a, b)
+                alpha = part.forward(before, logp)
+            mass = np.zeros_like(alpha)
+            mass[len(mass) - len(back) :] = back
+            done = np.flatnonzero((size > a) & (size <= b))
+            end = part.at[size[done] - part.low] + done
+            mass[end] += np.where(np.isneginf(alpha[end]), 0, weights[own[done]])
+            flows = np.zeros((len(part.piece), langs))
+            for t in range(b, a, -1):
+                e = part.ending(t)
+                first, end = part.first[e], part.end[e]
+                total = alpha[end]
+                share = np.exp(alpha[first] + logp[part.piece[e]] - np.where(np.isneginf(total), 0, total))
+                flows[e] = mass[end] * share
+                mass[first] += flows[e]
+            for c in range(langs):
+                out[:, c] += np.bincount(part.piece, flows[:, c], v.n)
+            back = mass[: len(before)]
     return out
 
 

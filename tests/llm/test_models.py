@@ -109,3 +109,45 @@ def test_quality_without_labels(spark):
     got = {r.doc_id: r.score for r in quality_knn.classify(frame(spark, [(2, "good words"), (7, ""), (None, None)]), one).collect()}
     assert set(got.values()) == {1.0}
     assert quality_knn.classify(frame(spark, []), one).count() == 0
+
+
+def whole_score(word: bytes, pieces: dict[bytes, float]) -> float:
+    """The log of the sum over all segmentations of a word with a blank before it; nothing is cut or left out."""
+    word, longest = b" " + word, max(map(len, pieces))
+    alpha = [0.0]
+    for t in range(1, len(word) + 1):
+        x = [alpha[t - k] + math.log(pieces[word[t - k : t]]) for k in range(1, min(t, longest) + 1) if word[t - k : t] in pieces]
+        alpha.append(max(x) + math.log(sum(math.exp(y - max(x)) for y in x)))
+    return alpha[-1]
+
+
+LONG = [b"the", b"internationalization", "превосходительство".encode(), "これは日本語の文章です".encode() * 40, b"=" * 300, b"ab" * 3000, b"-" * 64, b"a"]
+
+
+def test_long_words_and_pieces_are_scored_whole(monkeypatch):
+    v = langid.vocabulary(RANKS)
+    assert v.n == len(langid.read_ranks(RANKS)) and v.longest == 128
+    p = np.random.default_rng(3).random((v.n, 2)) ** 4 + 1e-9
+    p /= p.sum(0)
+    want = [[whole_score(w, dict(zip(sorted(langid.read_ranks(RANKS)), p[:, c], strict=True))) for c in range(2)] for w in LONG]
+    scaled = p * langid._SCALE ** v.lengths[:, None]
+    assert np.allclose(langid.word_scores(v, langid.Runs(LONG), scaled), want, rtol=1e-9)
+    weights = np.arange(1.0, 2 * len(LONG) + 1).reshape(-1, 2)
+    count = langid.expected(v, langid.Runs(LONG), weights, scaled)
+    assert np.allclose((count * v.lengths[:, None]).sum(0), [sum(w[c] * (len(x) + 1) for w, x in zip(weights, LONG, strict=True)) for c in range(2)])
+    monkeypatch.setattr(langid, "_PLACES", 150)
+    assert np.allclose(langid.word_scores(v, langid.Runs(LONG), scaled), want, rtol=1e-9)
+    assert np.allclose(langid.expected(v, langid.Runs(LONG), weights, scaled), count)
+
+
+def test_expected_counts_like_the_change_of_the_sum():
+    v = langid.vocabulary(RANKS)
+    numbers = {t: i for i, t in enumerate(sorted(langid.read_ranks(RANKS)))}
+    p = np.random.default_rng(4).random((v.n, 1)) * langid._SCALE ** v.lengths[:, None]
+    runs = langid.Runs([b"international" * 3, b"information"])
+    count = langid.expected(v, runs, np.ones((2, 1)), p)
+    for t in (b"international", b" inter", b"information", b"a"):
+        more = p.copy()
+        more[numbers[t]] *= 1 + 1e-6
+        change = (langid.word_scores(v, runs, more) - langid.word_scores(v, runs, p)).sum() / 1e-6
+        assert np.isclose(count[numbers[t], 0], change, rtol=1e-3, atol=1e-6)
