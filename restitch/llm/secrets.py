@@ -161,9 +161,9 @@ def _value(text: str, at: int, constants: dict, sign: str) -> tuple[list[tuple[i
 
 
 def lexed_spans(text: str, taken: list[Span], threshold: float = THRESHOLD) -> list[Span]:
-    """Literals that reach sensitive names and lie outside the spans found before."""
+    """Literals that reach sensitive names and don't lie within a span found before."""
     low = text.lower()
-    if not (":" in text or "=" in text or "</" in text) or not any(s in low for s in _STEMS):
+    if not any(s in text for s in (":", "=", "->", "</")) or not any(s in low for s in _STEMS):
         return []
     found: dict[tuple[int, int], float] = {}
     for name, literals in pairs(text):
@@ -173,7 +173,7 @@ def lexed_spans(text: str, taken: list[Span], threshold: float = THRESHOLD) -> l
             for a, b, _ in literals:
                 if b > a:
                     found[a, b] = max(found.get((a, b), 0), score)
-    return [(a, b, "literal") for (a, b), s in found.items() if s >= threshold and not any(x < b and a < y for x, y, _ in taken)]
+    return [(a, b, "literal") for (a, b), s in found.items() if s >= threshold and not any(x <= a and b <= y for x, y, _ in taken)]
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:

@@ -386,3 +386,16 @@ def test_scan_words_and_hashes():
     h = s.word_hash()
     assert h[0] == h[2] == h[4] == h[5] and len(set(h.tolist())) == 3
     assert windows(h[:3], 4).size == 0 and windows(h, 2).size == 5
+
+
+def test_literals_that_a_base_span_only_touches():
+    for value, line in (
+        ("Xk9dkw02!pQ7$zzLm", 'password = "Xk9dkw02!pQ7$zzLm"'),
+        ("Zz-0123456789abcdef0123456789abcdef-Qx7!", 'signing_key = "Zz-0123456789abcdef0123456789abcdef-Qx7!"'),
+        ("Zx9#kLm2pQ!7", 'db_password -> "Zx9#kLm2pQ!7"'),
+    ):
+        at = line.index(value)
+        assert (at, at + len(value), "literal") in secrets.all_spans(line)[1]
+        told = secrets.redact_text(f"x {line} y")
+        assert told.count("[SECRET]") == 1 and told.endswith('[SECRET]" y')
+    assert [k for *_, k in secrets.all_spans('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')[1]] == ["assign", "hex"]
