@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -317,11 +318,109 @@ def test_lexed_literals():
     assert lexed("The secret: nobody knows. Keys = words, token: the.") == []
 
 
+V = "Zx9#kLm2pQ!s"
+FORMS = [
+    "passphrase: str = '%s'", 'passphrase = x = "%s"', 'passphrase = ("%s")', 'passphrase = f"%s"', 'passphrase = prefix + "%s"', 'var passphrase string = "%s"', 'passphrase, y = "%s", 2',
+    'y, passphrase = 2, "%s"', 'passphrase = os.getenv("P", "%s")', 'db_pass = "%s"', 'passphrase          = "%s"', '"' + "k" * 500 + '_passphrase": "%s"', 'let passphrase: &str = "%s";',
+    'passphrase?: string = "%s"', 'const char *passphrase = "%s";', 'passphrase = x or "%s"', 'passphrase = c ? "b" : "%s"', 'passphrase: Optional[str] = "%s"', 'passphrase = (\n "%s"\n)',
+    "It's the passphrase: '%s'", "passphrase: %s", 'PASSPHRASE := `%s`', 'x = {"a": {"passphrase": "%s"}}', 'passphrase = String.valueOf("%s")', 'd = dict(a=1, passphrase="%s", b=2)', ':( \npassphrase = "%s"\nfoo = "b"',
+]
+
+
+def test_forms_of_assignment():
+    for form in FORMS:
+        assert lexed(form % V) == [V], form
+    assert lexed(f'passphrase = "ab" "{V}"') == ["ab", V]
+    for none in ('passphrase = os.getenv("DB_PASSPHRASE")', 'passphrase = os.getenv("DB_PASSPHRASE", "")', f'x, passphrase = "{V}", 2', f'f(passphrase, y="{V}")', f'if passphrase == "{V}": pass'):
+        assert lexed(none) == [], none
+
+
+def plain_weight(value, quoted):
+    """The weight of a whole literal, from the literal itself."""
+    low = value.lower()
+    held = ("changeme", "change_me", "example", "placeholder", "your_", "your-", "dummy", "redacted", "todo", "none", "null", "undefined", "true", "false")
+    if len(value) < 6 or re.fullmatch(r"(?is)x+|\*+|<.*>|\$.*|%.*%|\{\{.*\}\}", value) or any(w in low for w in held):
+        return -1.0
+    if any(map(str.isspace, value)):
+        return -0.3
+    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    entropy = -sum(value.count(c) / len(value) * np.log2(value.count(c) / len(value)) for c in set(value))
+    return 0.1 * (len(value) >= 8) + 0.1 * (classes >= 2) + 0.1 * (classes >= 3) + 0.1 * (entropy >= 2.5) + 0.1 * (entropy >= 3.3) - (0 if quoted else 0.15)
+
+
+def test_random_assignments_like_a_plain_version():
+    """Constants are copied as texts, and every value scored whole."""
+    rng = random.Random(11)
+    names = ["a", "b", "db_password", "auth_token", "colour", "api_key"]
+    words = ["Zx9#", "kLm2pQ!s", "abc", "DEF7", "change", "me", "xxx", "a b", "$", "{{", "}}", "%", "q" * 9, "tr", "ue", "Ab1_"]
+    hits = 0
+    for _ in range(1500):
+        text, known, want = "", {}, set()
+        for _ in range(rng.randrange(1, 9)):
+            name, spans, whole = rng.choice(names), [], ""
+            line = f"{name} = "
+            for k in range(rng.randrange(1, 4)):
+                if rng.random() < 0.5:
+                    w = rng.choice(words)
+                    at = len(text) + len(line) + (3 if k else 0) + 1
+                    spans.append((at, at + len(w)))
+                    whole += w
+                    term = f'"{w}"'
+                else:
+                    term = rng.choice([*known, "a" if k else "b"]) if known else '"q"'
+                    if term in known:
+                        spans += known[term][0]
+                        whole += known[term][1]
+                    elif term == '"q"':
+                        at = len(text) + len(line) + (3 if k else 0) + 1
+                        spans.append((at, at + 1))
+                        whole += "q"
+                    else:
+                        term = rng.choice(list(known))
+                        spans += known[term][0]
+                        whole += known[term][1]
+                line += (" + " if k else "") + term
+            text += line + "\n"
+            known[name] = (spans, whole)
+            weight = secrets.name_weight(name)
+            if weight and weight + plain_weight(whole, True) >= secrets.THRESHOLD:
+                want |= {s for s in spans if s[1] > s[0]}
+        base = secrets.base_spans(text)
+        want = {(a, b) for a, b in want if not any(x <= a and b <= y for x, y, _ in base)}
+        got = {(a, b) for a, b, k in secrets.all_spans(text)[1] if k == "literal"}
+        assert got == want, text
+        hits += len(want)
+    assert hits > 500
+
+
+def test_profiles_of_joined_texts():
+    rng = random.Random(12)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("abXY19#xX<>%{}$ *é日trufalsechngm_") for _ in range(rng.randrange(12))) for _ in "ab")
+        assert (secrets.Profile.of(a) + secrets.Profile.of(b)) == secrets.Profile.of(a + b) or any(w in (a + b).lower() for w in secrets._HOLD_WORDS)
+        assert secrets.Profile.of(a + b).weight(True) == (secrets.Profile.of(a) + secrets.Profile.of(b)).weight(True)
+
+
+def test_scans_in_proportion_to_the_text():
+    for text in (
+        'key_a = "abcd"\n' + "key_a = key_a + key_a\n" * 2000 + "password = key_a\n", 's = s + "x"\n' * 5000 + "password = s\n", "password, " * 10_000 + "= 1", "password = " + "(" * 10_000,
+        'password = "' + r"\"" * 10_000, 'password = "Zx9#kLm2pQ!s"; token=abcdefghijk1234567\n' * 4000,
+    ):
+        at = time.process_time()
+        secrets.all_spans(text)
+        assert time.process_time() - at < 5
+
+
 def test_redact(spark):
     df = frame(spark, [(1, 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y'), (2, None), (3, "clean")])
     got = {r.doc_id: r for r in secrets.redact(df).collect()}
     assert got[1].text == 'x [SECRET]" y' and got[1].n_chars == len(got[1].text) and got[2].text is None and got[3].text == "clean"
     assert secrets.redact(df).columns == df.columns
+    named = df.select("*", F.lit("mine").alias("_text"), F.lit(7).alias("a.b"), F.lit("k").alias("span"))
+    out = secrets.redact(named)
+    assert out.columns == named.columns and {(r["_text"], r["a.b"], r["span"]) for r in out.collect()} == {("mine", 7, "k")}
+    assert {r.doc_id: r.text for r in out.collect()} == {i: r.text for i, r in got.items()}
+    assert secrets.scan(named).count() == 3
 
 
 # ------------------------------------------------ packing
