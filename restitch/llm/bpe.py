@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding.
 
-A text is split by the tokenizer's pattern.  A pre-token that is in the vocabulary is resolved whole by a
+A text is split by the tokenizer's pattern, with the tokenizer library's own classes of characters.  A pre-token that is in the vocabulary is resolved whole by a
 minimal perfect hash; any other is merged by a heap of pair ranks over a linked list of its bytes, in
 O(n log n) for n bytes.  Results are kept per pre-token in a bounded cache of the worker.
 """
@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,9 +75,59 @@ class PerfectHash:
         return self.values[s] if self.keys[s] == key else None
 
 
+_CLASSES = (r"\p{L}", r"\p{N}", r"\s")
+
+
+@lru_cache(maxsize=1)
+def _library_classes() -> dict[str, str]:
+    """The characters of each class of patterns, as the tokenizer library tells them."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = {}
+    for c in _CLASSES:
+        library = tiktoken.Encoding("class", pat_str=f"{c}+", mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        out[c] = library.decode_bytes(library.encode_ordinary(every)).decode()
+    return out
+
+
+def _ranges(chars: set[str]) -> str:
+    """The inside of a character set."""
+    runs: list[list[int]] = []
+    for p in sorted(map(ord, chars)):
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+@lru_cache(maxsize=2)
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """Finds the matches of a pattern as the tokenizer library does.
+
+    The two libraries at hand know different versions of Unicode: a text with a character whose class they don't
+    agree on is split by a pattern with the library's own classes written out, any other by the pattern as it is.
+    """
+    told = _library_classes()
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    differ = set().union(*(set(told[c]) ^ set(regex.findall(c, every)) for c in _CLASSES))
+    plain = regex.compile(pattern).findall
+    if not differ:
+        return plain
+    sets = {c: _ranges(set(told[c])) for c in _CLASSES}
+    out, inside = [], False
+    for m in re.finditer(r"\\p\{[LN]\}|\\.|.", pattern):
+        t = m[0]
+        inside = (inside or t == "[") and t != "]"
+        out.append((sets[t] if inside else f"[{sets[t]}]") if t in sets else f"[^{sets[_CLASSES[2]]}]" if t == r"\S" else t)
+    whole = re.compile("".join(out)).findall
+    beyond = re.compile(f"[{min(differ)}-\U0010ffff]").search
+    disputed = re.compile(f"[{_ranges(differ)}]").search
+    return lambda text: whole(text) if beyond(text) and disputed(text) else plain(text)
+
+
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.hash, self.split = ranks, PerfectHash(ranks), regex.compile(pattern).findall
+        self.ranks, self.hash, self.split = ranks, PerfectHash(ranks), splitter(pattern)
         self.longest = max(map(len, ranks))
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -156,7 +208,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, as an array of long) of each row of ``docs``.
 
     Ids are those of the rank file, each match of the pattern merged by itself; no special tokens.  A null text
-    is an empty one, with no ids.  Repeated rows are encoded alike; an empty table gives no rows.
+    is an empty one, with no ids; a very long one is encoded whole, in O(n log n).  Repeated rows and ids are encoded
+    alike; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if keep_ids else "")
 

@@ -45,6 +45,18 @@ def test_encode_like_the_library(codec, library):
         assert codec.decode(ids) == t.encode()
 
 
+def test_every_code_point_is_split_like_the_library(codec, library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        for form in ("{?'d", " ?1", "a? ?"):
+            text = "\n".join(form.replace("?", chr(c)) for c in points[at : at + 4096])
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice([chr(rng.choice(points)), " ", "'s", "ab", "\n", "\u0558", "12"]) for _ in range(rng.randrange(80)))
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_encode_with_a_small_cache(library, monkeypatch):
     own = bpe.Codec(bpe.read_ranks(RANKS), public_tokenizers.PATTERN)
     monkeypatch.setattr(bpe, "CACHE", 10)
