@@ -8,7 +8,6 @@ Probabilities are fitted by expectation maximisation on word counts of a bounded
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,19 +15,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restitch.llm import textscan
 from restitch.llm.bpe import read_ranks
+from restitch.llm.sample import least_hashes
+from restitch.llm.session import Scratch
 from restitch.llm.textscan import Scan, U, chunks
 
-#: At most so many labelled texts (those with the least hash of their id), and of each language so many of their
-#: most frequent words, fit the probabilities.
-MAX_TEXTS, MAX_WORDS, ROUNDS = 4000, 20_000, 3
-#: Every piece of the vocabulary is used and every word is scored whole: bounds that nothing reaches.
-PIECE, RUN = sys.maxsize, sys.maxsize
+#: So many labelled texts of each language (those with the least hash of their id), with all their words, fit the
+#: probabilities, in so many rounds.
+MAX_TEXTS, ROUNDS = 1500, 3
 #: Probabilities are scaled by this for each byte.
 _SCALE = 8.0
 #: Words side by side (fewer for more than eight languages), and places of their bytes held at a time.
@@ -256,19 +255,27 @@ class Model:
     def __init__(self, path: str, langs: list[str], prior: np.ndarray, p: np.ndarray):
         self.path, self.langs, self.prior, self.p = path, langs, prior, p
 
+    @staticmethod
+    def fresh(path: str, langs: list[str], texts: np.ndarray) -> Model:
+        """All pieces alike; ``texts``: labelled texts of each language."""
+        v = vocabulary(path)
+        p = np.full((v.n, len(langs)), 1 / v.n) * _SCALE ** v.lengths[:, None]
+        return Model(path, langs, np.log((texts + 1) / (texts + 1).sum()), p)
+
+    def learned(self, count: np.ndarray) -> Model:
+        """The M step, from expected counts of pieces; a fiftieth of the mass follows all languages together."""
+        every = count.sum(1, keepdims=True) + 0.1
+        own = count / np.maximum(count.sum(0), 1e-9)
+        p = (0.98 * own + 0.02 * every / every.sum()) * _SCALE ** vocabulary(self.path).lengths[:, None]
+        return Model(self.path, self.langs, self.prior, p)
+
     @staticmethod
     def fit(path: str, words: list[bytes], weights: np.ndarray, langs: list[str], texts: np.ndarray, rounds: int = ROUNDS) -> Model:
         """``weights``: how often each word was seen in each language; ``texts``: labelled texts of each."""
-        v = vocabulary(path)
-        scale = _SCALE ** v.lengths[:, None]
-        p = np.full((v.n, len(langs)), 1 / v.n) * scale
-        runs = Runs(words)
+        model, v, runs = Model.fresh(path, langs, texts), vocabulary(path), Runs(words)
         for _ in range(rounds if words else 0):
-            count = expected(v, runs, weights, p)
-            every = count.sum(1, keepdims=True) + 0.1
-            own = count / np.maximum(count.sum(0), 1e-9)
-            p = (0.98 * own + 0.02 * every / every.sum()) * scale
-        return Model(path, langs, np.log((texts + 1) / (texts + 1).sum()), p)
+            model = model.learned(expected(v, runs, weights, model.p))
+        return model
 
 
 def _lowered(column: pa.Array) -> list[bytes]:
@@ -332,31 +339,66 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
 
 
-def train(docs: DataFrame, vocabulary_path: str, max_texts: int = MAX_TEXTS, max_words: int = MAX_WORDS) -> Model | None:
-    """Fit on rows with text and lang that aren't held out; None where there are none."""
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_texts)
-    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+_COUNTS = "piece int, lang int, n long"
+#: Expected counts are summed as multiples of this, so that sums don't depend on their order.
+_UNIT = 2.0**-32
+
+
+def _expected(path: str, langs: list[str], shared):
+    """The E step over a share of the words: how often each piece is expected in each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, p, at = vocabulary(path), shared.value, {x: i for i, x in enumerate(langs)}
+        total = np.zeros((v.n, len(langs)))
+        for b in batches:
+            words, inverse = np.unique(np.array(b.column(1).to_pylist(), object), return_inverse=True)
+            weights = np.zeros((len(words), len(langs)))
+            np.add.at(weights, (inverse, [at[x] for x in b.column(0).to_pylist()]), b.column(2).to_numpy())
+            total += expected(v, Runs(list(words)), weights, p)
+        n = np.round(total / _UNIT).astype(np.int64)
+        piece, lang = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(n[piece, lang], pa.int64())], names=["piece", "lang", "n"])
+
+    return run
+
+
+def train(docs: DataFrame, vocabulary_path: str, max_texts: int = MAX_TEXTS, rounds: int = ROUNDS) -> Model | None:
+    """Fit on rows with text and lang that aren't held out; None where there are none.
+
+    Of each language the ``max_texts`` ids with the least hashes are used, each once (of several rows the least
+    text).  All words of these texts count; they stay in Spark, and a round of expectation maximisation brings a
+    number for each piece and language to the driver, whatever the number of texts and words.
+    """
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = least_hashes(rows, max_texts, "lang")
+    rows = rows.where("text is not null").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     counts = rows.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.length("word") > 0, F.desc("n"), "word"))
-    top = counts.withColumn("place", place).where(F.col("place") <= max_words + 1).select("lang", "word", "n").toPandas()
-    texts = {r.lang: r.n for r in top.itertuples() if not len(r.word)}
+    scratch, mark = Scratch(docs.sparkSession), Scratch.mark() - 1
+    counts = scratch.table(counts.sortWithinPartitions("word", "lang"))
+    texts = {r["lang"]: r["n"] for r in counts.where("word = X''").collect()}  # a row a language
     if not texts:
+        Scratch.release(mark)
         return None
     langs = sorted(texts)
-    seen = top[top["word"].map(len) > 0].sort_values(["lang", "n", "word"], ascending=[True, False, True], kind="stable")
-    words: dict[bytes, int] = {}
-    at = [words.setdefault(bytes(w), len(words)) for w in seen["word"]]
-    weights = np.zeros((len(words), len(langs)))
-    weights[at, [langs.index(x) for x in seen["lang"]]] = seen["n"]
-    return Model.fit(vocabulary_path, list(words), weights, langs, np.array([texts[x] for x in langs], float))
+    words = counts.where("word <> X''")
+    model = Model.fresh(vocabulary_path, langs, np.array([texts[x] for x in langs], float))
+    for _ in range(rounds):
+        shared = docs.sparkSession.sparkContext.broadcast(model.p)
+        found = words.mapInArrow(_expected(vocabulary_path, langs, shared), _COUNTS).groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
+        count = np.zeros_like(model.p)
+        count[found["piece"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy() * _UNIT
+        model = model.learned(count)
+        shared.destroy()
+    Scratch.release(mark)
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the posterior) of each row of ``docs``.
 
     A null text, or one without a letter, is und with score 0, and so is every text without a model.  Ties go to
-    the first language by name.  Only the text is read; a null id isn't held out; repeated rows score alike.
+    the first language by name.  Only the text is read, whatever other columns there are, and a very long one whole; a
+    null id isn't held out; repeated rows and ids score by their own text; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

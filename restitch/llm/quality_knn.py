@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restitch.llm.sample import least_hashes
 from restitch.llm.textscan import Scan, U, chunks, mix
 
-#: At most so many labelled texts (those with the least hash of their id) are voters; their vectors take
+#: At most so many labelled ids (those with the least hash) are voters; their vectors take
 #: MAX_VOTERS * DIMENSIONS * 4 bytes, whatever the size of the corpus.
 MAX_VOTERS = 4096
 WORDS, SHAPES, EXTRA = 2048, 256, 32
@@ -101,9 +102,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_voters: int = MAX_VOTERS) -> Model | None:
-    """Fit on labelled rows that aren't held out; None where there are none."""
+    """Fit on labelled rows that aren't held out; None where there are none.
+
+    An id is one voter, with its largest label and, of several rows, the least text.
+    """
     named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    named = named.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_voters)
+    named = named.join(F.broadcast(least_hashes(named, max_voters)), "doc_id").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, max_voters: int = MAX_VOTERS) -> M
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "at": [i.astype(np.int32) for i, _ in sparse], "value": [v for _, v in sparse]})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(named), "doc_id")
-    got = rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text").mapInPandas(vectors, "doc_id long, quality int, at array<int>, value array<float>").toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    got = rows.mapInPandas(vectors, "doc_id long, quality int, at array<int>, value array<float>").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     x = np.zeros((len(got), WIDTH), np.float32)
@@ -126,8 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, max_voters: int = MAX_VOTERS) -> M
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``.
 
-    A null or empty text scores the share of label 1 among the voters; without labelled rows every text scores
-    0.5.  Only the text is read; repeated rows score alike; a null id isn't held out.
+    A null or empty text scores the share of label 1 among the voters, a very long one by all its words; without
+    labelled rows every text scores 0.5.  Only the text is read, whatever other columns there are; repeated rows and
+    ids score by their own text; a null id isn't held out; an empty table gives no rows.
     """
 
     @F.pandas_udf(T.DoubleType())

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restitch.llm.sample import least_hashes
+from restitch.llm.session import quoted
 from restitch.llm.textscan import Scan, chunks, mix, windows
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_upper", "n_digits", "n_stops", "n_bars", "n_bangs"]
@@ -179,12 +181,13 @@ def _prune(rule: Rule, x: dict, bad: np.ndarray, rows: np.ndarray) -> Rule:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
     """The decision list for ``labels.quality`` (1 keeps, 0 rejects; nulls are ignored).
 
-    ``max_train`` bounds the labelled rows used: they are those with the least hash of their id.  Their
-    features (ten numbers a row) are all that reaches the driver.
+    ``max_train`` bounds the labelled ids used: they are those with the least hash.  An id counts once, with its
+    largest label and, of several rows, the least text.  Features (ten numbers an id) are all that reaches the driver.
     """
-    named = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    named = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").select("doc_id", "quality", stats(F.col("text")).alias("s")).select("doc_id", "quality", "s.*")
+    labels = labels.where("doc_id is not null and quality is not null").select("doc_id", "quality")
+    named = labels.join(F.broadcast(least_hashes(labels, max_train)), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = rows.select("doc_id", "quality", stats(F.col("text")).alias("s")).select("doc_id", "quality", "s.*")
     got = rows.select("doc_id", "quality", base_failed().alias("failed"), *[F.expr(e).cast("double").alias(k) for k, e in FEATURES.items()]).toPandas()
     # not a filter in Spark: that would be pushed below the join, and statistics made of every document
     got = got[~got["failed"].astype(bool)].sort_values(["doc_id", *FEATURES], kind="stable")
@@ -202,8 +205,9 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """doc_id, STATS, base_failed and kept for every row of ``docs``.
 
-    A null or empty text has no words and fails the base.  Repeated rows are judged alike; without labels, or
-    with labels of one class only, the list is empty and the base alone decides.
+    A null or empty text has no words and fails the base; a very long one is measured whole.  Repeated rows and ids
+    are judged by their own text; without labels, or with labels of one class only, the list is empty and the base
+    alone decides.  Other columns, whatever their names, are ignored.
     """
     rules = train(docs, labels, max_train)
     rows = docs.select("doc_id", stats(F.col("text")).alias("s")).select("doc_id", "s.*")
@@ -211,7 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Dat
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns."""
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever their names."""
     rules = train(docs, labels, max_train)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), stats(F.col("text")).alias("s")).select("row", "s.*")
+    rows = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), stats(F.col("text")).alias("s")).select("row", "s.*")
     return rows.where(~base_failed() & verdict(rules)).select("row.*")

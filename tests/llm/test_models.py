@@ -9,36 +9,33 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from restitch.llm import langid, quality_knn
+from restitch.llm import langid, quality_knn, sample
 from tests.llm.test_core import frame, odd_texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
 
 
-def brute_score(word: bytes, pieces: dict[bytes, float]) -> float:
-    """The sum over all segmentations, run by run."""
-    total, word = 0.0, b" " + word
-    for at in range(0, len(word), langid.RUN):
-        run = word[at : at + langid.RUN]
-        alpha = [1.0] + [0.0] * len(run)
-        for t in range(1, len(run) + 1):
-            for k in range(1, min(t, langid.PIECE) + 1):
-                alpha[t] += alpha[t - k] * pieces.get(run[t - k : t], 0.0)
-        total += math.log(alpha[-1])
-    return total
+def whole_score(word: bytes, pieces: dict[bytes, float]) -> float:
+    """The log of the sum over all segmentations of a word with a blank before it; nothing is cut or left out."""
+    word, longest = b" " + word, max(map(len, pieces))
+    alpha = [0.0]
+    for t in range(1, len(word) + 1):
+        x = [alpha[t - k] + math.log(pieces[word[t - k : t]]) for k in range(1, min(t, longest) + 1) if word[t - k : t] in pieces]
+        alpha.append(max(x) + math.log(sum(math.exp(y - max(x)) for y in x)))
+    return alpha[-1]
 
 
 def test_forward_sums_all_segmentations():
     v = langid.vocabulary(RANKS)
-    pieces = sorted(t for t in langid.read_ranks(RANKS) if len(t) <= langid.PIECE)
+    pieces = sorted(langid.read_ranks(RANKS))
     p = np.random.default_rng(0).random((v.n, 2))
     p /= p.sum(0)
     words = [b"the", b"a", "über".encode(), b"x" * 60, b"information", b"\xff\xfe", b"of"]
     got = langid.word_scores(v, langid.Runs(words), p * langid._SCALE ** v.lengths[:, None])
     for c in range(2):
         own = dict(zip(pieces, p[:, c], strict=True))
-        assert np.allclose(got[:, c], [brute_score(w, own) for w in words])
+        assert np.allclose(got[:, c], [whole_score(w, own) for w in words])
 
 
 def test_expected_counts_are_those_of_all_segmentations():
@@ -66,6 +63,33 @@ def test_languages_held_out(spark):
     assert len(out) > 200 and np.mean(out) > 0.97
 
 
+def test_trained_in_spark_as_in_memory(spark):
+    """All words of the sampled texts count, however rare; an id counts once."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"{'xy'[i % 2]}{rng.integers(3000)}" for _ in range(40)) for i in range(60)]
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts)] + [(0, texts[0] + " z", "a")] * 5 + [(70, None, "a"), (None, "x1", "a"), (71, "x1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    used = [r for r in rows[:60] if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    words = sorted({w for _, t, _ in used for w in t.split()})
+    weights = np.array([[sum(t.split().count(w) for _, t, x in used if x == lang) for lang in "ab"] for w in words], float)
+    want = langid.Model.fit(RANKS, [w.encode() for w in words], weights, ["a", "b"], np.array([sum(x == lang for *_, x in used) for lang in "ab"], float))
+    got = langid.train(docs, RANKS)
+    assert got.langs == want.langs and np.allclose(got.p, want.p, rtol=1e-4, atol=1e-9) and np.allclose(got.prior, want.prior)
+    few = langid.train(docs, RANKS, max_texts=5)
+    assert np.allclose(np.exp(few.prior), [0.5, 0.5])
+
+
+def test_samples(spark):
+    rows = spark.range(20_000).selectExpr("case when id % 3 = 0 then 7 else id end as doc_id", "case when id < 300 then 'rare' else 'often' end as lang")
+    got = sample.least_hashes(rows, 500)
+    again = sample.least_hashes(rows.repartition(7), 500)
+    assert got.count() == 500 == got.distinct().count() and got.exceptAll(again).count() == 0
+    by = {r["lang"]: r["count"] for r in sample.least_hashes(rows, 400, "lang").groupBy("lang").count().collect()}
+    assert by["often"] == 400 and by["rare"] == 200
+    nothing = spark.createDataFrame([(None, None)], "doc_id long, lang string")
+    assert sample.least_hashes(nothing, 5).count() == 0 == sample.least_hashes(nothing, 5, "lang").count()
+
+
 def test_odd_texts_and_no_languages(spark):
     rows = list(enumerate([*odd_texts(), "123 456 !", "١٢", "½ ² Ⅷ"]))
     docs = frame(spark, rows)
@@ -111,16 +135,6 @@ def test_quality_without_labels(spark):
     assert quality_knn.classify(frame(spark, []), one).count() == 0
 
 
-def whole_score(word: bytes, pieces: dict[bytes, float]) -> float:
-    """The log of the sum over all segmentations of a word with a blank before it; nothing is cut or left out."""
-    word, longest = b" " + word, max(map(len, pieces))
-    alpha = [0.0]
-    for t in range(1, len(word) + 1):
-        x = [alpha[t - k] + math.log(pieces[word[t - k : t]]) for k in range(1, min(t, longest) + 1) if word[t - k : t] in pieces]
-        alpha.append(max(x) + math.log(sum(math.exp(y - max(x)) for y in x)))
-    return alpha[-1]
-
-
 LONG = [b"the", b"internationalization", "превосходительство".encode(), "これは日本語の文章です".encode() * 40, b"=" * 300, b"ab" * 3000, b"-" * 64, b"a"]
 
 
