@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restitch.llm.textscan import settle, texts_of, values
@@ -168,20 +168,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sha = [hashlib.sha256(t.lower()).digest() for t in texts_of(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary())], names=["doc_id", "sha"])
+        sha = [hashlib.sha256(t.lower()).digest() for t in texts_of(b.column(2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sha, pa.binary())], names=["doc_id", "at", "sha"])
+
+
+def _row_hash(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), F.coalesce(text, F.lit("")))
+
+
+def _judged(rows: DataFrame, at: Column) -> DataFrame:
+    """doc_id, at, sha, keep_id and group_size of each of ``rows`` (doc_id, content)."""
+    groups = rows.select("doc_id", "content").mapInArrow(_local, _GROUP).repartition(F.col("h")).mapInArrow(_merge, "sha binary, keep_id long, group_size long")
+    return rows.select("doc_id", at.alias("at"), "content").mapInArrow(_digest, "doc_id long, at long, sha binary").join(groups, "sha")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after lower-casing A-Z; a null text equals an empty one.  The row with the
-    largest id of a group stays.  Rows that repeat an id and a text are all kept if that id is the largest; a
-    null id is never larger than another.  An empty table gives an empty result; further columns are ignored.
+    Texts are equal when identical after lower-casing A-Z, however long; a null text equals an empty one.  The row
+    with the largest id of a group stays.  Rows that repeat an id and a text are all kept if that id is the largest; a
+    null id is never larger than another.  An empty table gives an empty result; other columns, whatever their
+    names, are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("content"))
-    groups = rows.mapInArrow(_local, _GROUP).repartition(F.col("h")).mapInArrow(_merge, "sha binary, keep_id long, group_size long")
-    return rows.mapInArrow(_digest, "doc_id long, sha binary").join(groups, "sha").select(
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("content"))
+    return _judged(rows, F.lit(0).cast("long")).select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -191,12 +201,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger doc_id repeats (columns as they were).
+    """``docs`` without the rows whose text another row with a larger doc_id repeats (columns as they were, whatever their names).
 
     Of rows that repeat an id and a text, all stay or all go: nothing tells which one is meant.  Rows that repeat
-    an id with other texts are judged by their own text.
+    an id, or have none, with other texts are judged by their own text.
     """
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("content"), _row_hash(F.col("doc_id"), F.col("text")).alias("at"))
+    gone = _judged(rows, F.col("at")).where("not (doc_id <=> keep_id)").select(F.col("doc_id").alias("_gone"), F.col("at").alias("_at"), F.lower(F.hex("sha")).alias("_sha")).distinct()
     own = F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)
-    # instr, not "=": as an equality the digest would be a join key, and made of every row instead of the few that match
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.instr(own, gone["_sha"]) == 1), "left_anti")
+    # joined by a hash of id and text, so that rows that share an id, or have none, don't all meet; the few that meet
+    # are compared by instr, not "=": as an equality the digest would be a join key, and made of every row
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (F.instr(own, gone["_sha"]) == 1)
+    return docs.join(gone, (_row_hash(docs["doc_id"], docs["text"]) == gone["_at"]) & same, "left_anti")

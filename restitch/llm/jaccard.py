@@ -19,6 +19,7 @@ blocks of bounded size, and its sets that are still apart are then searched for
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restitch.llm.graph import components
+from restitch.llm.sample import least_hashes
 from restitch.llm.session import Scratch
 from restitch.llm.textscan import Scan, U, chunks, mix, settle, texts_of, values, windows
 
@@ -41,6 +43,8 @@ SAMPLE, COMMON_IN, MOST_COMMON = 4000, 8, 100_000
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 22
 #: Keys and sets that a task gathers before it ships them; more than LOCAL_HOT sets under a key are joined there.
 SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 1_000_000, 15_000, 512
+#: Keys that are met at once, about: the key space is cut into as many parts as that takes.
+PART_KEYS = 4_000_000
 
 
 # ---------------------------------------------------------------- sets
@@ -60,11 +64,20 @@ def shingle_sets(texts: Iterable[bytes], k: int) -> Iterator[np.ndarray]:
 
 
 def set_id(s: np.ndarray) -> int:
-    """64 bits that stand for a set; n sets collide with a chance of n * n / 2 ** 65."""
+    """64 bits that stand for a set where candidates are searched; ``set_check`` tells sets with the same apart."""
+    return _told(s, 0xC2B2AE3D27D4EB4F, 0x9E3779B97F4A7C15)
+
+
+def set_check(s: np.ndarray) -> int:
+    """64 further bits: n sets agree in both by chance of n * n / 2 ** 129."""
+    return _told(s, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+
+
+def _told(s: np.ndarray, a: int, b: int) -> int:
     if not len(s):
         return 0
     with np.errstate(over="ignore"):  # arithmetic is modulo 2 ** 64
-        h = mix(np.array([mix(s).sum(dtype=U) ^ mix(s * U(0xC2B2AE3D27D4EB4F)).sum(dtype=U) * U(0x9E3779B97F4A7C15), len(s)], U))
+        h = mix(np.array([mix(s ^ U(b)).sum(dtype=U) ^ mix(s * U(a)).sum(dtype=U) * U(b), len(s)], U))
         return int((h[0] ^ h[1] * U(3)).view(np.int64))
 
 
@@ -167,8 +180,8 @@ def _common(rows: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n, pa.int64())], names=["s", "n"])
         settle()
 
-    chosen = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(count, "s long, n long")
+    sample = rows.join(F.broadcast(least_hashes(rows, SAMPLE)), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = sample.select("text").mapInArrow(count, "s long, n long")
     often = sample.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_IN).orderBy(F.desc("n"), "s").limit(MOST_COMMON)
     return np.sort(often.toPandas()["s"].to_numpy(np.int64).view(U))
 
@@ -244,12 +257,14 @@ def links(sizes: np.ndarray, points: np.ndarray, percent: int, sets: list[np.nda
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sid, vec = [], [], []
-            for s in shingle_sets(texts_of(b.column(1)), k):
+            n, sid, chk, vec = [], [], [], []
+            for s in shingle_sets(texts_of(b.column(2)), k):
                 n.append(len(s))
                 sid.append(set_id(s))
+                chk.append(set_check(s))
                 vec.append(point(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(vec, pa.binary())], names=["doc_id", "n", "sid", "counts"])
+            columns = [b.column(0), b.column(1), *[pa.array(c, pa.int64()) for c in (n, sid, chk)], pa.array(vec, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "n", "sid", "chk", "counts"])
         settle()
 
     return run
@@ -286,12 +301,10 @@ def _ship(k: int, percent: int, parts: int, common: np.ndarray):
         for hot in (0, 1):
             rows = np.flatnonzero(kind == hot)
             rows = rows[np.argsort(part[rows], kind="stable")]
-            ends = np.searchsorted(part[rows], np.arange(parts + 1))
-            for p in range(parts):
-                if len(own := rows[ends[p] : ends[p + 1]]):
-                    used, where = np.unique(at[own], return_inverse=True)
-                    low, high = (rest[own] & U(0xFFFFFFFF)).astype("<u4"), ((rest[own] >> U(32)) & U(0xFFFF)).astype("<u2")
-                    yield p, hot, table[used].tobytes(), spares[used].tobytes(), where.astype("<u2").tobytes(), low.tobytes(), high.tobytes()
+            for own in np.split(rows, np.flatnonzero(np.diff(part[rows])) + 1) if len(rows) else []:
+                used, where = np.unique(at[own], return_inverse=True)
+                low, high = (rest[own] & U(0xFFFFFFFF)).astype("<u4"), ((rest[own] >> U(32)) & U(0xFFFF)).astype("<u2")
+                yield int(part[own[0]]), hot, table[used].tobytes(), spares[used].tobytes(), where.astype("<u2").tobytes(), low.tobytes(), high.tobytes()
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         found, sids, spare, seen, n = [], [], [], set(), 0
@@ -351,55 +364,70 @@ def _met(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordB
             m = np.concatenate((members[:1], members[a : a + 4096]))
             yield int(mix(m.view(U)).sum(dtype=U).view(np.int64)), 1, m, None
 
-    def part(p: int, rows: list[tuple]) -> Iterator[tuple]:
-        sid, spare, key, hot = [], [], [], []
-        for kind, sids, spares, at, low, high in rows:
+    def merged(columns: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        """(key, set, what it can spare) in order, each key's sets once."""
+        key, sid, spare = map(np.concatenate, zip(*columns, strict=True))
+        order = np.lexsort((sid, key))
+        key, sid, spare = key[order], sid[order], spare[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))[: len(key)]
+        return key[fresh], sid[fresh], spare[fresh]
+
+    def part(p: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """Rows come with kind 2 first, then 1, then 0; the sets of a key are held only until it proves large or hot."""
+        columns: list[tuple[np.ndarray, ...]] = []
+        hot = large = np.empty(0, U)
+        n = floor = 0
+        for _, kind, sids, spares, at, low, high in rows:
             sids = np.frombuffer(sids, np.int64)
             if kind == 2:
                 yield from star(sids)
                 continue
             at = np.frombuffer(at, "<u2")
-            sid.append(sids[at])
-            spare.append(np.frombuffer(spares, "<u2")[at])
-            key.append(np.frombuffer(low, "<u4").astype(U) | np.frombuffer(high, "<u2").astype(U) << U(32))
-            hot.append(np.full(len(at), kind == 1))
-        if not key:
+            key = np.frombuffer(low, "<u4").astype(U) | np.frombuffer(high, "<u2").astype(U) << U(32)
+            if kind == 1:
+                hot = np.union1d(hot, key)
+            columns.append((key, sids[at], np.frombuffer(spares, "<u2")[at]))
+            n += len(at)
+            if n - floor > max(PART_KEYS // 4, floor):
+                kept = merged(columns)
+                large = yield from shed(p, kept, hot, large, columns)
+                n = floor = len(columns[0][0])
+        if not columns:
             return
-        sid, spare, key, hot = map(np.concatenate, (sid, spare, key, hot))
-        order = np.lexsort((sid, key))
-        sid, spare, key, hot = sid[order], spare[order], key[order], hot[order]
-        new_key = np.concatenate(([True], key[1:] != key[:-1]))
-        hot = np.logical_or.reduceat(hot, np.flatnonzero(new_key))
-        fresh = new_key | np.concatenate(([True], sid[1:] != sid[:-1]))
-        sid, spare, key, new_key = sid[fresh], spare[fresh], key[fresh], new_key[fresh]
-        first = np.flatnonzero(new_key)
-        size = np.diff(np.append(first, len(sid)))
-        bucket = np.add.reduceat(mix(sid.view(U)), first).view(np.int64)
-        for g in np.flatnonzero((size > KEY_SETS) & ~hot).tolist():
+        yield from shed(p, merged(columns), hot, large, columns)
+        key, sid, _ = columns[0]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        size = np.diff(np.append(first, len(key)))
+        many = np.flatnonzero(size > 1)
+        bucket = np.add.reduceat(mix(sid.view(U)), first).view(np.int64) if len(first) else first
+        _, pick = np.unique(bucket[many], return_index=True)
+        for g in many[pick].tolist():
+            yield int(bucket[g]), 0, sid[first[g] : first[g] + size[g]], None
+
+    def shed(p: int, kept: tuple[np.ndarray, ...], hot: np.ndarray, large: np.ndarray, columns: list) -> Iterator[tuple]:
+        """Give out the sets of hot keys (but one) and of large ones; ``columns`` are then what is left."""
+        key, sid, spare = kept
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))[: len(key)])
+        size = np.diff(np.append(first, len(key)))
+        is_hot = np.isin(key[first], hot)
+        is_large = ~is_hot & ((size > KEY_SETS) | np.isin(key[first], large))
+        gone = np.zeros(len(key), bool)
+        for g in np.flatnonzero(is_hot).tolist():
+            a, b = first[g], first[g] + size[g]
+            yield from star(sid[a:b])
+            gone[a + 1 : b] = True
+        for g in np.flatnonzero(is_large).tolist():
             own = int(mix(key[first[g] : first[g] + 1] * U(n_parts) + U(p)).view(np.int64)[0])
             for a in range(first[g], first[g] + size[g], 4096):
                 b = min(a + 4096, first[g] + size[g])
                 yield own, 2, sid[a:b], spare[a:b].astype(np.int32)
-        many = np.flatnonzero((size > 1) & ((size <= KEY_SETS) | hot))
-        _, pick = np.unique(bucket[many] ^ hot[many], return_index=True)
-        for g in many[pick].tolist():
-            m = sid[first[g] : first[g] + size[g]]
-            if hot[g]:
-                yield from star(m)
-            else:
-                yield int(bucket[g]), 0, m, None
+            gone[first[g] : first[g] + size[g]] = True
+        columns[:] = [(key[~gone], sid[~gone], spare[~gone])]
+        return np.union1d(large, key[first[is_large]])
 
     def parts() -> Iterator[tuple]:
-        at, rows = None, []
-        for b in batches:
-            for p, *r in values(*b.columns):
-                if p != at and rows:
-                    yield from part(at, rows)
-                    rows = []
-                at = p
-                rows.append(r)
-        if rows:
-            yield from part(at, rows)
+        for p, rows in groupby((r for b in batches for r in values(*b.columns)), key=lambda r: r[0]):
+            yield from part(p, rows)
 
     held: list[tuple] = []
     size = 0
@@ -463,11 +491,11 @@ def _verify(k: int, percent: int, searched: bool):
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         for rows in _grouped(batches, 3):
-            *_, sid, text, label, query = zip(*rows, strict=True)
+            *_, sid, chk, text, label, query = zip(*rows, strict=True)
             sets, keep, seen = [], [], {}
             for i, s in enumerate(shingle_sets(list(text), k)):
-                if set_id(s) != sid[i]:
-                    continue  # another row with the same id
+                if set_check(s) != chk[i]:
+                    continue  # another row whose id and text have the same hash
                 if sid[i] in seen:
                     continue
                 seen[sid[i]] = True
@@ -496,52 +524,78 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
 
     Two rows link when their sets of ``words``-word shingles (A-Z lower-cased) have a Jaccard similarity of
     ``percent`` / 100 or more; component_id is the smallest doc_id reachable by links.  A row without words (an
-    empty or null text) is linked with nothing and is its own component.  Rows that repeat a text, an id or both
-    are rows of their own; null ids are never the smallest unless a component has no other.
+    empty or null text) is linked with nothing and is its own component; a very long text is taken whole.  Rows that
+    repeat a text, an id or both are rows of their own; null ids are never the smallest unless a component has no
+    other.  An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    features = scratch.table(rows.mapInArrow(_features(words), "doc_id long, n long, sid long, counts binary"))
-    nodes = features.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("counts").alias("counts"))
+    # ``at`` finds a row's text again: rows with the same are the same but by chance, whatever their ids
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("at"), "text")
+    features, seen = scratch.counted(rows.mapInArrow(_features(words), "doc_id long, at long, n long, sid long, chk long, counts binary"), n="sum(n)")
+    nodes, clash = _nodes(features, scratch)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = shuffled * -(-(seen["n"] + 20 * seen["rows"]) // (shuffled * PART_KEYS) or -1)  # a set of n shingles has about n keys
     shipped = rows.select("text").mapInArrow(_ship(words, percent, parts, _common(rows, words)), _SHIP)
-    met = shipped.repartitionById(parts, F.col("part")).sortWithinPartitions("part").mapInArrow(_meet(parts), _MEET)
+    met = shipped.repartitionById(shuffled, F.col("part") % shuffled).sortWithinPartitions("part", F.desc("kind")).mapInArrow(_meet(parts), _MEET)
     met, seen = scratch.counted(met, large="count_if(kind = 2)")
     stars = met.where("kind = 1").select(F.col("members")[0].alias("u"), F.explode(F.expr("slice(members, 2, size(members))")).alias("v"))
     if seen["large"]:
         stars = stars.union(_of_large_keys(met))
+    if clash:
+        stars = stars.union(nodes.where("node <> sid").select("sid", "node"))
     near = met.where("kind = 0").groupBy("bucket").agg(F.first("members").alias("members"))
-    near = near.select("bucket", F.explode("members").alias("sid")).join(nodes.select("sid", "n", "counts"), "sid")
-    near = near.select("bucket", "sid", "n", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), "u long, v long")
-    clusters = components(stars.union(near), scratch).toDF("sid", "cluster")
+    near = near.select("bucket", F.explode("members").alias("sid")).join(nodes.select("sid", "node", "n", "counts"), "sid")
+    near = near.select("bucket", "node", "n", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent), "u long, v long")
+    clusters = components(stars.union(near), scratch).toDF("node", "cluster")
     scratch.drop(met)
 
-    members = scratch.table(clusters.join(nodes.select("sid", "doc_id", "n"), "sid"))
-    blocks = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("sid").alias("pivot"))
+    members = scratch.table(clusters.join(nodes.select("node", "chk", "at", "n"), "node"))
+    blocks = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("node").alias("pivot"))
     blocks = blocks.select("cluster", "pivot", F.expr(f"cast(ceil(greatest(size / {block_sets}, shingles / {BLOCK_SHINGLES})) as int)").alias("blocks"))
     members, seen = scratch.counted(members.join(blocks, "cluster"), cut="count_if(blocks > 1)")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = members.select("*", F.explode(F.when(F.col("sid") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
-    first = placed.select("cluster", "block", F.lit(0).alias("turn"), "sid", F.lit(0).cast("long").alias("label"), F.lit(True).alias("query"), "doc_id")
+    placed = members.select("*", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
+    first = placed.select("cluster", "block", F.lit(0).alias("turn"), "node", "chk", "at", F.lit(0).cast("long").alias("label"), F.lit(True).alias("query"))
     found = scratch.table(_search(first, rows, words, percent, False))
 
     if seen["cut"]:
         found = found.union(scratch.table(_apart(members, found, rows, words, percent, block_sets, scratch)))
-    joined = components(found, scratch).toDF("sid", "component")
-    joined = joined.join(nodes.select("sid", "doc_id"), "sid")
+    joined = components(found, scratch).toDF("node", "component")
+    joined = joined.join(nodes.select("node", "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
-    joined = scratch.table(joined.join(least, "component").select("sid", "least"))
+    joined = scratch.table(joined.join(least, "component").select("node", "least"))
     # written, so that the last join has a plain exchange on either side and a hot set can be split
-    names = scratch.table(nodes.select("sid", "doc_id").join(joined, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("least")))
-    return features.select("doc_id", "n", "sid").join(names, "sid", "left").select(
+    names = nodes.join(joined, "node", "left").select("sid", "chk", F.coalesce("least", "doc_id").alias("least"))
+    names = scratch.table(names)
+    scratch.drop_others(features, names)
+    return features.select("doc_id", "n", "sid", "chk").join(names, ["sid", "chk"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
     )
 
 
+def _nodes(features: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """A row per set: sid, chk, node (its number), doc_id (the least), at (of one row that has it), n, counts.
+
+    ``node`` is ``sid`` but where different sets have that in common (then, but for one of them, a hash of both).
+    The second result says whether there are such sets.
+    """
+    told = [F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.max("n").alias("n"), F.max("counts").alias("counts")]
+    full = features.where("n > 0")
+    nodes, seen = scratch.counted(full.groupBy("sid").agg(*told, F.min("chk").alias("chk"), F.max("chk").alias("other")), clash="count_if(chk <> other)")
+    names = ["sid", "chk", "node", "doc_id", "at", "n", "counts"]
+    if not seen["clash"]:
+        return nodes.withColumn("node", F.col("sid")).select(names), False
+    mixed = nodes.where("chk <> other").select("sid", F.col("chk").alias("_first"))
+    apart = full.join(mixed, "sid").groupBy("sid", "chk", "_first").agg(*told)
+    apart = apart.withColumn("node", F.when(F.col("chk") == F.col("_first"), F.col("sid")).otherwise(F.xxhash64("sid", "chk")))
+    return scratch.table(nodes.where("chk = other").withColumn("node", F.col("sid")).select(names).union(apart.select(names))), True
+
+
 def _of_large_keys(met: DataFrame) -> DataFrame:
     """Edges that join the sets of a large key which have more such keys than they can spare.
 
@@ -556,36 +610,37 @@ def _of_large_keys(met: DataFrame) -> DataFrame:
 
 
 def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, searched: bool) -> DataFrame:
-    texts = rows.withColumnRenamed("doc_id", "id")
+    """Links among the sets of each (cluster, block, turn); texts are read again, each once however often it repeats."""
+    texts = rows.groupBy("at").agg(F.first("text").alias("text"))
     # by merge at any size: the sets in clusters grow with the corpus, and a broadcast of them has no bound
-    held = placed.hint("merge").join(texts, placed["doc_id"].eqNullSafe(texts["id"])).select("cluster", "block", "turn", "sid", "text", "label", "query")
+    held = placed.hint("merge").join(texts, "at").select("cluster", "block", "turn", "node", "chk", "text", "label", "query")
     dealt = held.repartition("cluster", "block", "turn").sortWithinPartitions("cluster", "block", "turn")
     return dealt.mapInArrow(_verify(words, percent, searched), "u long, v long")
 
 
 def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int, block_sets: int, scratch: Scratch) -> DataFrame:
     """Links between blocks: sets outside their cluster's largest component, searched for in all its blocks."""
-    label = components(found, scratch).toDF("sid", "label")
-    cutup = scratch.table(members.where("blocks > 1").join(label, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+    label = components(found, scratch).toDF("node", "label")
+    cutup = scratch.table(members.where("blocks > 1").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     sizes = cutup.groupBy("cluster", "label").count().groupBy("cluster")
     major = sizes.agg(F.max_by("label", F.struct("count", "label")).alias("major"), F.sum("count").alias("total"), F.max("count").alias("most"))
     major = major.where("total > most").select("cluster", "major", F.expr(f"cast(ceil((total - most) / {block_sets}) as int)").alias("turns"))
     cutup = cutup.join(major, "cluster")
-    block = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    shared = lambda at, turn, query: [F.col("cluster"), at.alias("block"), turn.alias("turn"), "sid", "label", F.lit(query).alias("query"), "doc_id"]
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    shared = lambda at, turn, query: [F.col("cluster"), at.alias("block"), turn.alias("turn"), "node", "chk", "at", "label", F.lit(query).alias("query")]
     turns = cutup.select("*", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("t"))
     index = turns.select(*shared(block, F.col("t"), False))
     asked = cutup.where("label <> major").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    asked = asked.select(*shared(F.col("b"), F.pmod(F.xxhash64("sid", F.lit(1)), F.col("turns")).cast("int"), True))
-    both = asked.unionByName(index).groupBy("cluster", "block", "turn", "sid").agg(F.first("label").alias("label"), F.max("query").alias("query"), F.first("doc_id").alias("doc_id"))
-    return _search(both.select("cluster", "block", "turn", "sid", "label", "query", "doc_id"), rows, words, percent, True)
+    asked = asked.select(*shared(F.col("b"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int"), True))
+    both = asked.unionByName(index).groupBy("cluster", "block", "turn", "node").agg(*[F.first(c).alias(c) for c in ("chk", "at", "label")], F.max("query").alias("query"))
+    return _search(both, rows, words, percent, True)
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with their columns.
+    """The rows of ``docs`` whose id is their component's smallest, with their columns, whatever their names.
 
     Rows without an id stay; rows that repeat an id go only if all of them do.
     """
     groups = near_groups(docs, words, percent)
-    dropped = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

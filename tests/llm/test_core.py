@@ -188,6 +188,96 @@ def test_near_groups_of_odd_ids(spark):
     assert sorted((tuple(r)[:2] for r in kept.collect()), key=repr) == sorted([(1, a), (1, a), (2, a + " end"), (2, b), (None, a), (None, "alone here")], key=repr)
 
 
+def test_sets_with_the_same_number(spark, monkeypatch):
+    """Where 64 bits are the same for different sets, the sets are told apart."""
+    texts = [t for s in range(6) for t in family(s, 40 + 9 * s, 4)] + ["one two", "three four", "one two"]
+    rows = list(enumerate(texts))
+    whole = jaccard.set_check
+    monkeypatch.setattr(jaccard, "set_id", lambda s: whole(s) % 7 if len(s) else 0)
+    got = sorted(tuple(r) for r in jaccard.near_groups(frame(spark, rows)).collect())
+    assert got == brute_components(rows)
+
+
+def test_keys_met_in_pieces(monkeypatch):
+    """However few keys are held at a time, no pair of sets that share a key is lost."""
+    rng = random.Random(4)
+    texts = [t for s in range(5) for t in family(s, 200, 14)] + [t for _ in range(6) for t in family(50, 240, 8)]
+    rng.shuffle(texts)
+    monkeypatch.setattr(jaccard, "LOCAL_HOT", 9)
+    monkeypatch.setattr(jaccard, "KEY_SETS", 12)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts[a : a + 17]], pa.binary())], names=["text"]) for a in range(0, len(texts), 17)]
+    shipped = [b for one in batches for b in jaccard._ship(4, 85, 3, np.empty(0, np.uint64))(iter([one]))]
+    table = pa.Table.from_batches(shipped).sort_by([("part", "ascending"), ("kind", "descending")])
+
+    def pairs(out):
+        """Sets that some step compares: searched together, joined, or under one large key."""
+        joined, alike = {}, set()
+        for r in out:
+            if r["kind"] == 0:
+                alike |= {frozenset((x, y)) for x in r["members"] for y in r["members"] if x != y}
+            else:
+                joined.setdefault((r["kind"], r["bucket"]) if r["kind"] == 2 else ("star", r["members"][0]), set()).update(r["members"])
+        return alike | {frozenset((x, y)) for m in joined.values() for x in m for y in m if x != y}
+
+    want = pairs(r for b in jaccard._meet(3)(iter(table.to_batches())) for r in b.to_pylist())
+    monkeypatch.setattr(jaccard, "PART_KEYS", 200)
+    got = pairs(r for b in jaccard._meet(3)(iter(table.to_batches(max_chunksize=2))) for r in b.to_pylist())
+    sets = {jaccard.set_id(s): s for s in jaccard.shingle_sets([t.encode() for t in texts], 4)}
+    linked = {frozenset((a, b)) for a in sets for b in sets if a < b and 100 * jaccard.overlap(sets[a], sets[b]) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert len(linked) > 50 and linked <= want | _reach(want) and linked <= got | _reach(got)
+
+
+def _reach(pairs):
+    """Pairs of sets that pairs connect."""
+    at: dict = {}
+    for x, y in map(tuple, pairs):
+        a, b = at.setdefault(x, {x}), at.setdefault(y, {y})
+        if a is not b:
+            a |= b
+            for z in b:
+                at[z] = a
+    return {frozenset((x, y)) for g in at.values() for x in g for y in g if x != y}
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows that share an id, or have none, don't all meet: the time is that of rows with ids of their own."""
+    texts = [f"text number {i} " + " ".join(f"w{i * 7 + j}" for j in range(8)) for i in range(3000)]
+    took = []
+    for none in (False, True):
+        rows = [(None if none else i, t) for i, t in enumerate(texts + texts)]
+        at = time.time()
+        kept = exact_dedup.drop_exact(frame(spark, rows)).count()
+        groups = jaccard.near_groups(frame(spark, rows)).groupBy("component_id").count().collect()
+        took.append(time.time() - at)
+        assert (kept, len(groups)) == ((6000, 1) if none else (3000, 3000))
+    assert took[1] < 3 * took[0] + 5
+    rows = [(1, t + " " + t.upper()) for t in texts]
+    assert exact_dedup.drop_exact(frame(spark, rows + [(2, rows[0][1])])).count() == 3000
+    near = jaccard.near_groups(frame(spark, [(1, t) for t in family(1, 80, 30)] + rows)).where("component_id <> 1 or n_shingles = 0").count()
+    assert near == 0
+
+
+NAMED = ["row", "s", "at", "sha", "h", "content", "keep_id", "_gone", "_at", "_sha", "kept", "n", "node", "_text", "a.b", "a`b", "n_words", "text_sha256"]
+
+
+def clashing(df):
+    """A table with further columns that have the names of columns inside the operators."""
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in NAMED])
+
+
+def test_clashing_columns(spark, sf_dir):
+    texts = [*family(1, 80, 4), "short", None, "Short", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', *family(2, 90, 2)]
+    plain = frame(spark, list(enumerate(texts)))
+    df, labels = clashing(plain), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for keep in (exact_dedup.drop_exact, jaccard.drop_near, secrets.redact, lambda d: quality_rules.keep_good(d, labels)):
+        got = keep(df)
+        assert got.columns == df.columns
+        assert all(r[c] == f"own {c}" for r in got.collect() for c in NAMED)
+        assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["text"]) == sorted((r.doc_id, r.text) for r in keep(plain).collect() if r.text)
+    for whole in (exact_dedup.exact_groups, jaccard.near_groups, secrets.scan, lambda d: quality_rules.judge(d, labels)):
+        assert whole(df).exceptAll(whole(plain)).count() == 0
+
+
 def test_points_bound_the_overlap():
     rng = np.random.default_rng(5)
     for n in (1, 5, 60, 700, 5000):
