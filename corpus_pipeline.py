@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from restitch.llm import exact_dedup, jaccard, packing, quality_rules, secrets
-from restitch.llm.session import shared_dir
+from restitch.llm.session import Scratch, remove, shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +47,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each written as Parquet in the shared folder and reread."""
+    """The stages one after the other over ``documents``, each written as Parquet in the shared folder and reread.
+
+    What a stage leaves there goes once its rows are written, and its rows once the next ones are.
+    """
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
+        mark = Scratch.mark()
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        Scratch.release(mark)
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
