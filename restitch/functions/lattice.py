@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The least probability of a candidate, candidates kept of an ambiguous place, and readings of a line.
@@ -47,6 +49,21 @@ def spell(text: Column, confusions: dict[str, list[str]]) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(table, c), F.array(c)))
 
 
+def with_char(rows: DataFrame, idx: str, class_map: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the character of a class, by a table of classes (class_idx, codepoint); null for one that it lacks."""
+    known = class_map.select(F.col("class_idx").alias("_class"), F.chr(F.col("codepoint")).alias(out))
+    return rows.join(F.broadcast(known), F.col(idx) == F.col("_class"), "left").drop("_class")  # a row for each of the classifier's classes
+
+
+def readings_of_text(text: Column, confusions: dict[str, list[str]]) -> tuple[Column, Column]:
+    """(reading count capped at MOST, ambiguous places) of ``spell``'s lattice of a text, from its letters' counts."""
+    many = {c: min(len(o), KEPT) for c, o in confusions.items() if len(o) > 1}
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    places = reduce(Column.__add__, [count(c) for c in many])
+    product = reduce(Column.__mul__, [F.pow(F.lit(float(n)), count(c)) for c, n in many.items()])
+    return F.least(product, F.lit(float(MOST))), places
+
+
 def join_words(words: Column) -> Column:
     """The lattice of a line from those of its words, with a blank between words."""
     gap = F.array(F.array(F.lit(" ")))

@@ -44,18 +44,30 @@ def restore_literal(token: Column) -> Column:
 
 
 def split_args(args: Column) -> Column:
-    """Arguments at top-level commas (parentheses nest), trimmed; none of a blank string.  A trailing comma adds an empty one."""
-    chars = F.filter(F.split(args, ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("depth"), F.array(F.lit("")).alias("parts"))
-
-    def step(acc: Column, c: Column) -> Column:
-        parts, depth = acc["parts"], acc["depth"]
-        cut = (c == ",") & (depth == 0)
-        grown = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(F.element_at(parts, -1), c)))
-        return F.struct((depth + F.when(c == "(", 1).when(c == ")", -1).otherwise(0)).alias("depth"), F.when(cut, F.concat(parts, F.array(F.lit("")))).otherwise(grown).alias("parts"))
-
-    parts = F.aggregate(chars, start, step)["parts"]
-    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(parts, lambda p: F.trim(p)))
+    """Arguments at top-level commas (parentheses nest), trimmed; none of a blank string.  A trailing comma adds an empty one.
+
+    The text is cut at every comma, and a piece goes on with the next while more parentheses are open than closed.
+    """
+    pieces = F.split(args, ",", -1)
+    count = lambda p, c: F.length(p) - F.length(F.replace(p, F.lit(c), F.lit("")))
+    open_after = running_sum(F.transform(pieces, lambda p: count(p, "(") - count(p, ")")))
+    marked = F.array_join(F.zip_with(pieces, open_after, lambda p, d: F.concat(p, F.when(d == 0, F.lit("\1")).otherwise(F.lit(",")))), "")
+    whole = F.split(F.substr(marked, F.lit(1), F.length(marked) - 1), "\1", -1)
+    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(whole, lambda p: F.trim(p)))
+
+
+def running_sum(numbers: Column) -> Column:
+    """The sums of an array of int up to each place."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit("").alias("told"))
+    told = F.aggregate(numbers, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["told"], (a["sum"] + x).cast("string"), F.lit(",")).alias("told")))
+    return F.transform(F.split(F.rtrim(told["told"], F.lit(",")), ","), lambda x: x.cast("int"))
+
+
+def trimmed(text: Column, start: Column) -> Column:
+    """(text, start, end) of a text that begins at ``start``, without blanks at its ends."""
+    inner = F.trim(text)
+    first = start + F.length(text) - F.length(F.ltrim(text))
+    return F.struct(inner.alias("text"), first.alias("start"), (first + F.length(inner)).alias("end"))
 
 
 def comma_names(names: Column) -> Column:

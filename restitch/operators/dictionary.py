@@ -8,9 +8,12 @@ k + 1 pieces one is untouched, and stands in the token shifted by k at most.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from restitch.operators import rules
+
 #: Fixed value: the ratio of edits to a term's length must be less.
 TOLERANCE = 0.25
 #: Dictionaries of at most so many terms are joined by length; others by pieces.
@@ -67,6 +70,32 @@ def repair(rows: DataFrame, token: str, terms: DataFrame, term_out: str = "repai
     return out.withColumns({term_out: F.coalesce("_term", token), ratio_out: F.coalesce("_ratio", F.lit(TOLERANCE))}).drop("_token", "_term", "_ratio")
 
 
+def nearest_readings(rows: DataFrame, cand: str, terms: DataFrame) -> DataFrame:
+    """``rows`` with ``term`` and ``ratio``: the nearest term of any reading of a lattice, else its first reading and 0.25.
+
+    Each distinct lattice meets the terms of a length that can match (a dictionary of checked size is broadcast once
+    for each length, a larger one is shuffled by it).  A small function tells the distance and reading of one lattice and
+    one term; of equal ratios the lower reading wins, then the term with the least ord.
+    """
+    terms = terms.groupBy("term").agg(F.min("ord").alias("ord")).withColumn("k", edits_allowed(F.length("term")))
+    small = terms.limit(SMALL + 1).count() <= SMALL
+    reach = terms.withColumn("n", F.explode(F.sequence(F.greatest(F.length("term") - F.col("k"), F.lit(0)), F.length("term") + F.col("k"))))
+    lattices = rows.select(F.col(cand).alias("_cand")).where(F.col("_cand").isNotNull()).distinct()
+    pairs = lattices.withColumn("n", F.size("_cand")).join(F.broadcast(reach) if small else reach, "n")
+
+    @F.pandas_udf("struct<edits:int,reading:long>")
+    def fit(cands: pd.Series, words: pd.Series) -> pd.DataFrame:
+        got = [rules.distance([list(c) for c in cand], w) for cand, w in zip(cands, words, strict=True)]
+        return pd.DataFrame(got, columns=["edits", "reading"]).astype({"edits": "Int32", "reading": "Int64"})
+
+    found = pairs.select("_cand", "term", "ord", fit("_cand", "term").alias("d")).where(F.col("d.edits").isNotNull())
+    found = found.withColumn("ratio", F.col("d.edits") / F.greatest(F.length("term"), F.lit(1)))
+    best = found.groupBy("_cand").agg(F.min_by(F.struct("term", "ratio"), F.struct("ratio", "d.reading", "ord")).alias("_b"))
+    out = rows.join(best.withColumnRenamed("_cand", "_of"), F.col(cand) == F.col("_of"), "left")
+    first = F.array_join(F.transform(cand, lambda c: F.get(c, F.lit(0))), "")
+    return out.withColumns({"term": F.coalesce("_b.term", first), "ratio": F.coalesce("_b.ratio", F.lit(TOLERANCE))}).drop("_of", "_b")
+
+
 def repair_as_variable_or_import(rows: DataFrame, token: str, variables: DataFrame, imports: DataFrame) -> DataFrame:
     """``rows`` with ``repaired``, ``ratio`` and ``kind``: the nearer of a variable and an import, a variable if alike."""
     out = repair(repair(rows, token, variables, "_v", "_dv"), token, imports, "_i", "_di")

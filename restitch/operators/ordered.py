@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ordered_concat(rows: DataFrame, by: list[str], order: list[str], text: str, separator: str, out: str = "text") -> DataFrame:
@@ -35,36 +39,53 @@ def seen_before(rows: DataFrame, by: list[str], order: list[str], name: str) ->
     return rows.withColumn("n_visible", F.coalesce(F.sum(F.col("_first").cast("long")).over(w), F.lit(0))).withColumn("is_visible", ~F.col("_first")).drop("_first")
 
 
-def cluster_positions(xs: Column, threshold: float) -> Column:
-    """The indentation level of each x of an ordered array, by clustering on line.
+class Levels:
+    """Indentation levels of the positions of one group, clustered as they come.
 
     The first x opens level 0.  An x below the mean of level 0 by more than the threshold joins level 0; one
     above the mean of the last level by more opens the next; any other joins the level of the nearest mean, the
-    first of equals.
+    first of equals.  A position that isn't known has no level.
     """
-    state = "struct<sums:array<double>,sizes:array<bigint>,levels:array<int>>"
-    start = F.struct(F.array().cast("array<double>").alias("sums"), F.array().cast("array<bigint>").alias("sizes"), F.array().cast("array<int>").alias("levels")).cast(state)
-
-    def step(s: Column, x: Column) -> Column:
-        n = F.size(s["sums"])
-        means = F.zip_with(s["sums"], s["sizes"], lambda a, b: a / b)
-        nearest = F.array_min(F.transform(means, lambda m, i: F.struct(F.abs(m - x).alias("d"), i.alias("i"))))["i"]
-        level = (
-            F.when(n == 0, F.lit(0))
-            .when(x < F.get(means, F.lit(0)) - threshold, F.lit(0))
-            .when(x > F.get(means, n - 1) + threshold, n)
-            .otherwise(nearest)
-        )
-        grown = lambda arr, by, zero: F.transform(F.concat(arr, F.when(level == n, F.array(zero)).otherwise(F.array().cast(f"array<{'double' if by is x else 'bigint'}>"))), lambda v, i: F.when(i == level, v + by).otherwise(v))
-        return F.struct(grown(s["sums"], x, F.lit(0.0)).alias("sums"), grown(s["sizes"], F.lit(1).cast("long"), F.lit(0).cast("long")).alias("sizes"), F.concat(s["levels"], F.array(level)).alias("levels")).cast(state)
 
-    return F.aggregate(xs, start, step)["levels"]
+    def __init__(self, threshold: float):
+        self.threshold, self.sums, self.sizes = threshold, [], []
+
+    def add(self, x: float) -> int | None:
+        if x is None or x != x:
+            return None
+        mean = lambda i: self.sums[i] / self.sizes[i]
+        n = len(self.sums)
+        if not n or x > mean(n - 1) + self.threshold:
+            level = n
+        elif x < mean(0) - self.threshold:
+            level = 0
+        else:
+            level = min(range(n), key=lambda i: abs(mean(i) - x))
+        if level == n:
+            self.sums.append(0.0)
+            self.sizes.append(0)
+        self.sums[level] += x
+        self.sizes[level] += 1
+        return level
 
 
 def indent_levels(rows: DataFrame, by: list[str], order: list[str], x: str, threshold: float, out: str = "indent") -> DataFrame:
-    """``by``, ``order`` and the indentation level of each row."""
-    told = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(x).cast("double").alias("_x"))))
-    lists = rows.groupBy(*by).agg(told.alias("_rows"))
-    levels = cluster_positions(F.transform("_rows", lambda r: r["_x"]), threshold)
-    each = lists.select(*by, F.explode(F.arrays_zip(F.col("_rows").alias("r"), levels.alias("level"))).alias("e"))
-    return each.select(*by, *[F.col(f"e.r.{c}").alias(c) for c in order], F.col("e.level").alias(out))
+    """``by``, ``order`` and the indentation level of each row.
+
+    Rows are read in order, and of the group at hand a task holds a sum and a size for each level, however many rows it has.
+    """
+    keys = [*by, *order]
+    told = rows.select(*keys, F.col(x).cast("double").alias("_x")).repartition(*by).sortWithinPartitions(*keys)
+    schema = T.StructType([*told.schema.fields[:-1], T.StructField(out, T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, levels = object(), None
+        for b in batches:
+            got = []
+            for *key, v in zip(*(b.column(i).to_pylist() for i in (*range(len(by)), b.num_columns - 1)), strict=True):
+                if key != at:
+                    at, levels = key, Levels(threshold)
+                got.append(levels.add(v))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.int32())], names=[*keys, out])
+
+    return told.mapInArrow(run, schema)

@@ -18,13 +18,15 @@ from pyspark.sql import types as T
 
 from restitch.functions.text import indented, naive_fix
 from restitch.operators.ordered import in_scope
-from restitch.operators.rules import Lattice, Match, classify, nearest, rules
+from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, table
 
 #: The built-in functions that a call may mean.
-BUILTINS = """abs all any ascii bin bool bytearray bytes callable chr classmethod compile complex copyright credits delattr dict dir
-divmod enumerate eval exec exit filter float format frozenset getattr globals hasattr hash help hex id input int isinstance
-issubclass iter len license list locals map max memoryview min next object oct open ord pow print property quit range repr
-reversed round set setattr slice sorted staticmethod str sum super tuple type vars zip""".split()
+BUILTINS = [
+    "abs", "all", "any", "ascii", "bin", "bool", "bytearray", "bytes", "callable", "chr", "classmethod", "compile", "complex", "copyright", "credits", "delattr", "dict", "dir",
+    "divmod", "enumerate", "eval", "exec", "exit", "filter", "float", "format", "frozenset", "getattr", "globals", "hasattr", "hash", "help", "hex", "id", "input", "int", "isinstance",
+    "issubclass", "iter", "len", "license", "list", "locals", "map", "max", "memoryview", "min", "next", "object", "oct", "open", "ord", "pow", "print", "property", "quit", "range", "repr",
+    "reversed", "round", "set", "setattr", "slice", "sorted", "staticmethod", "str", "sum", "super", "tuple", "type", "vars", "zip",
+]
 MODULES = sorted(sys.stdlib_module_names)
 
 
@@ -66,8 +68,8 @@ def arguments(text: str) -> list[tuple[int, int]]:
 class Writer:
     """Writes matched lines again with the names in sight."""
 
-    def __init__(self, language: str, names: Names):
-        self.expressions, self.names = rules(language, "expr"), names
+    def __init__(self, expressions: tuple[Rule, ...], names: Names):
+        self.expressions, self.names = expressions, names
 
     def line(self, match: Match, lattice: Lattice) -> str:
         said: dict[str, str] = {}  # what an owner was taken for
@@ -114,6 +116,7 @@ MATCH = T.StructType(
     [
         T.StructField("rule", T.IntegerType()), T.StructField("template", T.StringType()), T.StructField("errors", T.IntegerType()), T.StructField("reading", T.LongType()),
         T.StructField("text", T.StringType()), T.StructField("groups", T.ArrayType(T.StringType())), T.StructField("module", T.StringType()),
+        T.StructField("spans", T.ArrayType(T.IntegerType())),
     ]
 )
 
@@ -128,8 +131,10 @@ def classified(lines: DataFrame, language: str = "python3", modules: list[str] =
     An empty place makes a line unreadable: its match is null.  Equal lattices are matched once a batch.
     """
 
+    told = table(language)
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, seen = rules(language), {}
+        own, seen = compiled(told), {}
         for cands in batches:
             if len(seen) > 50_000:
                 seen.clear()
@@ -140,10 +145,10 @@ def classified(lines: DataFrame, language: str = "python3", modules: list[str] =
                 if key not in seen:
                     m = classify(lattice, own) if all(lattice) else None
                     if m is None:
-                        seen[key] = (None,) * 7
+                        seen[key] = (None,) * len(MATCH.names)
                     else:
                         module = nearest(_slice(lattice, m.text, m.spans[0])[1], modules)[0] if "{1:module}" in m.rule.form else None
-                        seen[key] = (m.rule.number, m.rule.template, m.errors, m.number, m.text, [m.group(k + 1) for k in range(len(m.spans))], module)
+                        seen[key] = (m.rule.number, m.rule.template, m.errors, m.number, m.text, [m.group(k + 1) for k in range(len(m.spans))], module, [x for span in m.spans for x in span])
                 out.append(seen[key])
             yield pd.DataFrame(out, columns=MATCH.names)
 
@@ -183,44 +188,65 @@ def symbols(lines: DataFrame) -> DataFrame:
     return told.select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
 
 
+_LINES = "doc_id {}, line_no int, indent int, raw string, fixed string"
+
+
 def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, line_no, indent, raw and fixed of each line (doc_id, line_no, indent, cand).
 
-    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.
+    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Each line is classified once; a
+    document's rows are then read in order, first the names that its lines bind, then the lines, so that a task holds
+    the names of one document and nothing is repeated for every line.
     """
     exports = exports or {}
     matched = classified(lines, language)
-    if language == "python3":
-        matched = with_scopes(matched).withColumn("s", bound_names())
-        of = lambda kind: F.when(F.col("s.kind") == kind, F.col("s.terms"))
-        w = Window.partitionBy("doc_id").orderBy("line_no")
-        whole, earlier = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, -1)
-        seen = lambda kind, frame: F.flatten(F.collect_list(of(kind)).over(frame))
-        matched = matched.select("*", seen("variable", whole).alias("variables"), seen("class", whole).alias("classes"), seen("import", earlier).alias("imports"))
-    else:
-        matched = matched.withColumns({c: F.array().cast("array<string>") for c in ("variables", "classes", "imports")})
-
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        own, seen = rules(language), {}
-        listed = lambda x: [] if x is None else list(x)
-        for cands, variables, classes, imports in batches:
-            if len(seen) > 50_000:
-                seen.clear()
+    matched = with_scopes(matched).withColumn("s", bound_names()) if language == "python3" else matched.withColumn("s", F.lit(None).cast("struct<kind:string,terms:array<string>>"))
+    line = F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("terms"), "cand", "match")
+    name = F.struct(F.lit(0).alias("turn"), F.col("s.kind").alias("kind"), F.col("s.terms").alias("terms"), F.lit(None).cast(lines.schema["cand"].dataType).alias("cand"), F.lit(None).cast(MATCH).alias("match"))
+    rows = matched.select("doc_id", "line_no", "indent", F.explode(F.when(F.col("s").isNull(), F.array(line)).otherwise(F.array(line, name))).alias("r")).select("doc_id", "line_no", "indent", "r.*")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "turn", "line_no")
+    told = table(language), table(language, "expr")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, expressions = {r.number: r for r in compiled(told[0])}, compiled(told[1])
+        at, bound, written = object(), {}, {}
+        known: dict[tuple, int] = {}  # each different set of names by number
+        for b in batches:
             out = []
-            for cand, *told in zip(cands, variables, classes, imports, strict=True):
-                lattice = _lists(cand) if cand is not None else [[]]
-                key = (tuple(map(tuple, lattice)), *(tuple(listed(x)) for x in told))
-                if key not in seen:
-                    m = classify(lattice, own) if all(lattice) else None
-                    names = Names(*map(listed, told), exports=exports)
-                    seen[key] = None if m is None else Writer(language, names).line(m, lattice)
-                out.append(seen[key])
-            yield pd.Series(out, dtype=object)
-
-    write = F.pandas_udf(run, T.StringType())
-    fixed = write("cand", "variables", "classes", "imports")
-    raw = F.array_join(F.transform("cand", lambda c: F.get(c, F.lit(0))), "")
-    return matched.select("doc_id", "line_no", "indent", raw.alias("raw"), (naive_fix(fixed) if language == "python3" else fixed).alias("fixed"))
+            for doc, no, indent, turn, kind, terms, cand, match in b.itertuples(index=False):
+                if doc != at:
+                    at, names, imports, place, number = doc, Names(exports=exports), [], 0, None
+                    bound = {"variable": names.variables, "class": names.classes}
+                if turn == 0:
+                    if kind == "import":
+                        imports.append((no, list(terms)))
+                    else:
+                        bound[kind] += list(terms)
+                    continue
+                while place < len(imports) and imports[place][0] < no:
+                    names.imports += imports[place][1]
+                    place, number = place + 1, None
+                lattice = _lists(cand) if cand is not None else []
+                fixed = None
+                if match is not None and match["rule"] is not None:
+                    if number is None:
+                        if len(known) > 50_000:
+                            known.clear()
+                            written.clear()
+                        number = known.setdefault((tuple(names.variables), tuple(names.classes), tuple(names.imports)), len(known))
+                    key = (number, tuple(map(tuple, lattice)))
+                    if key not in written:
+                        if len(written) > 200_000:
+                            written.clear()
+                        spans = [int(x) for x in match["spans"]]
+                        m = Match(own[match["rule"]], match["errors"], match["reading"], match["text"], tuple(zip(spans[::2], spans[1::2], strict=True)))
+                        written[key] = Writer(expressions, names).line(m, lattice)
+                    fixed = written[key]
+                out.append((doc, no, indent, "".join(c[0] if c else "" for c in lattice), fixed))
+            yield pd.DataFrame(out, columns=["doc_id", "line_no", "indent", "raw", "fixed"])
+
+    out = rows.mapInPandas(run, _LINES.format(lines.schema["doc_id"].dataType.simpleString()))
+    return out.withColumn("fixed", naive_fix(F.col("fixed"))) if language == "python3" else out
 
 
 def repaired_code(lines: DataFrame, language: str = "python3", exports: dict[str, list[str]] | None = None) -> DataFrame:

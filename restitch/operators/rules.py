@@ -118,11 +118,29 @@ def _places(template: str) -> tuple[tuple[str, str | None], ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=8)
-def rules(language: str, level: str = "line") -> tuple[Rule, ...]:
-    """The rules of a language by rank: those with the larger budget come first."""
+Table = tuple[tuple[str, int, str], ...]
+
+
+def table(language: str, level: str = "line") -> Table:
+    """The catalogue's rows of a language: what tasks are given, so that rules registered on the driver count there."""
+    if (language, level) not in CATALOGUE:
+        raise ValueError(f"no {level} rules for {language}")
+    return tuple(CATALOGUE[language, level])
+
+
+def register(language: str, level: str, template: str, weight: int, form: str) -> None:
+    """Add a rule to a language, or the first one to a new language; of rules with equal budgets earlier ones are preferred."""
+    if not _places(template):
+        raise ValueError("a template needs something to match")
+    CATALOGUE.setdefault((language, level), []).append((template, weight, form))
+    CATALOGUE.setdefault((language, "expr" if level == "line" else "line"), [])
+
+
+@lru_cache(maxsize=16)
+def compiled(own: Table) -> tuple[Rule, ...]:
+    """Rules by rank: those with the larger budget come first."""
     told = []
-    for number, (template, weight, form) in enumerate(CATALOGUE[language, level]):
+    for number, (template, weight, form) in enumerate(own):
         budget = math.ceil(weight * TOLERANCE)
         body = regex.sub(r"\(([A-Z]+)\)", lambda m: f"({MACROS[m[1]]})", template)
         told.append((number, template, budget, form, regex.compile(f"^(?e)((?:{body}){{e<={budget}}})$")))
@@ -130,6 +148,10 @@ def rules(language: str, level: str = "line") -> tuple[Rule, ...]:
     return tuple(Rule(n, rank, t, b, f, _places(t), p) for rank, (n, t, b, f, p) in enumerate(told))
 
 
+def rules(language: str, level: str = "line") -> tuple[Rule, ...]:
+    return compiled(table(language, level))
+
+
 def capped(lattice: Lattice) -> Lattice:
     """At most KEPT candidates a place; from the left, places keep one while more than MOST readings remain."""
     left, out = 1.0, []
@@ -233,35 +255,38 @@ def classify(lattice: Lattice, own: tuple[Rule, ...]) -> Match | None:
     return Match(chosen, best[0] + chosen.budget, best[2], text, tuple(m.span(k) for k in range(2, chosen.pattern.groups + 1)))
 
 
+def distance(lattice: Lattice, term: str, tolerance: float = TOLERANCE) -> tuple[int | None, int | None]:
+    """(edits, reading number) of the reading nearest to a term, or nulls where none is within the tolerance."""
+    lattice = capped(lattice)
+    n, m, one = len(lattice), len(term), 1 << _IDX
+    allowed = max(math.ceil(m * tolerance) - 1, 0)
+    if abs(n - m) > allowed or any(not c for c in lattice):
+        return None, None
+    limit = (allowed + 1) << _IDX
+    row = [j * one for j in range(m + 1)]
+    for c, radix in zip(lattice, _radices(lattice), strict=True):
+        up, row = row, [row[0] + one]
+        for j in range(m):
+            cost = min(up[j] + one, up[j + 1] + one, row[j] + one)
+            for d, x in enumerate(c):
+                if x == term[j]:
+                    cost = min(cost, up[j] + d * radix)
+                    break
+            row.append(cost)
+        if min(row) >= limit:
+            return None, None
+    return (row[m] >> _IDX, row[m] & (one - 1)) if row[m] < limit else (None, None)
+
+
 def nearest(lattice: Lattice, terms: list[str], tolerance: float = TOLERANCE) -> tuple[str, float]:
     """The nearest term of any reading, and its ratio; of equals that of the lower reading, then the earlier term.
 
     Where no ratio is below the tolerance: the first reading, and the tolerance.
     """
-    lattice = capped(lattice)
-    radices, n, one = _radices(lattice), len(lattice), 1 << _IDX
     best: tuple[float, int, int] | None = None
     for k, term in enumerate(terms):
-        m = len(term)
-        allowed = max(math.ceil(m * tolerance) - 1, 0)
-        if abs(n - m) > allowed:
-            continue
-        limit = (allowed + 1) << _IDX
-        row = [j * one for j in range(m + 1)]
-        for c, radix in zip(lattice, radices, strict=True):
-            up, row = row, [row[0] + one]
-            for j in range(m):
-                cost = min(up[j] + one, up[j + 1] + one, row[j] + one)
-                for d, x in enumerate(c):
-                    if x == term[j]:
-                        cost = min(cost, up[j] + d * radix)
-                        break
-                row.append(cost)
-            if min(row) >= limit:
-                break
-        else:
-            if row[m] < limit:
-                told = ((row[m] >> _IDX) / (m or 1), row[m] & (one - 1), k)
-                if told[0] < tolerance and (best is None or told < best):
-                    best = told
-    return (reading(lattice, 0), tolerance) if best is None else (terms[best[2]], best[0])
+        if abs(len(lattice) - len(term)) <= max(math.ceil(len(term) * tolerance) - 1, 0):
+            edits, number = distance(lattice, term, tolerance)
+            if edits is not None and edits / (len(term) or 1) < tolerance and (best is None or (edits / (len(term) or 1), number, k) < best):
+                best = (edits / (len(term) or 1), number, k)
+    return (reading(capped(lattice), 0), tolerance) if best is None else (terms[best[2]], best[0])

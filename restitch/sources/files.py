@@ -59,6 +59,16 @@ def predicted_scores(tensors: DataFrame, model, batch_size: int = 1024) -> DataF
     return tensors.withColumn("scores", score("pixels"))
 
 
+def named_rows(files: DataFrame) -> DataFrame:
+    """Rows with a ``path`` whose name isn't a dotfile's, with their ``stem``."""
+    return files.where(~name_of(F.col("path")).startswith(".")).withColumn("stem", stem_of(F.col("path")))
+
+
+def blobs_of(rows: DataFrame, containers: list[str], keys: DataFrame) -> DataFrame:
+    """The blobs of the given keys in any of the containers."""
+    return rows.where(F.col("container").isin(containers)).join(keys.select("key").distinct(), "key", "left_semi")
+
+
 def blobs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("container string, key string, content binary, ts timestamp").parquet(path)
 

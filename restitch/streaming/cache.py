@@ -14,8 +14,10 @@ from restitch.operators.store import TTL_SECONDS
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names, or a temporary one where none is named."""
+    """A new folder under the shared one that the session names; on a single machine a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="restitch-stream-")
 
 
