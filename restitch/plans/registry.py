@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restitch.functions import lattice, text
-from restitch.operators import dictionary, evaluate, ordered, repair, store
+from restitch.operators import dictionary, evaluate, ordered, repair, rules, store
 from restitch.operators.diagnostics import diagnostics
 from restitch.plans import service
+from restitch.sources import files
 from restitch.sources.files import predicted_scores
 from restitch.streaming import cache
 
@@ -159,13 +160,11 @@ CONFUSIONS = {"l": ["l", "1", "i", "t"], "o": ["o", "0"], "e": ["e", "c", "6"]}
     SELECT d.doc_id, coalesce(sum(places), 0)::BIGINT AS ambiguous, coalesce(sum(n), 0)::BIGINT AS readings FROM documents d LEFT JOIN sized USING (doc_id) GROUP BY d.doc_id""")
 def lattice_size_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
-    lattices = F.transform(words, lambda w: lattice.spell(w, CONFUSIONS))
-    size = lambda x: F.least(lattice.reading_count(x), F.lit(float(lattice.MOST)))
-    told = table(spark, sf_dir, "documents").select("doc_id", lattices.alias("words"))
+    told = table(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: F.struct(*[c.alias(k) for c, k in zip(lattice.readings_of_text(w, CONFUSIONS), ("n", "places"), strict=True)])).alias("words"))
     return told.select(
         "doc_id",
-        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + lattice.ambiguous_places(w)).alias("ambiguous"),
-        F.aggregate("words", F.lit(0.0), lambda a, w: a + size(w)).cast("long").alias("readings"),
+        F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w["places"]).alias("ambiguous"),
+        F.aggregate("words", F.lit(0.0), lambda a, w: a + w["n"]).cast("long").alias("readings"),
     )
 
 
@@ -189,9 +188,12 @@ LITERALS = [("else:", 2, "else:"), ("break", 2, "break"), ("continue", 2, "conti
 
 
 @query(f"""
-    WITH tokens AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')), '[^\\x00-\\x7F]', '?', 'g') AS token FROM documents),
+    WITH tokens AS MATERIALIZED (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')), '[^\\x00-\\x7F]', '?', 'g') AS token FROM documents),
     literals(word, budget, written, rank) AS (VALUES {", ".join(f"('{w}', {b}, '{o}', {k})" for k, (w, b, o) in enumerate(LITERALS))}),
-    near AS (SELECT token, written, levenshtein(token, word) - budget AS score, rank FROM tokens JOIN literals ON abs(length(token) - length(word)) <= budget AND levenshtein(token, word) <= budget),
+    sized AS MATERIALIZED (SELECT token, length(token) AS n FROM tokens WHERE length(token) BETWEEN 2 AND 10),
+    reach AS (SELECT word, budget, written, rank, unnest(range(length(word) - budget, length(word) + budget + 1)) AS n FROM literals),
+    pairs AS MATERIALIZED (SELECT token, word, budget, written, rank FROM sized JOIN reach USING (n)),
+    near AS (SELECT token, written, levenshtein(token, word) - budget AS score, rank FROM pairs WHERE levenshtein(token, word) <= budget),
     best AS (SELECT token, arg_min(written, (score, rank)) AS written, min(score) AS score FROM near GROUP BY token)
     SELECT t.token, coalesce(written, t.token) AS written, score FROM tokens t LEFT JOIN best USING (token)""")
 def literal_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,36 +228,158 @@ def _programs(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
     return told.select("doc_id", "line_no", "indent", line.alias("expected"), lattice.spell(line, noise).alias("cand"))
 
 
-@query()
+def _first(sql: str) -> str:
+    """The first reading of a text: what the noise of ``_programs`` puts first."""
+    return f"translate({sql}, 'lomu', '10nv')"
+
+
+def _letters(sql: str) -> str:
+    """The first reading of letters only: digits are passed over."""
+    return f"translate({sql}, 'mu', 'nv')"
+
+
+_PARTS = "parts AS (SELECT p_partkey AS doc_id, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[-1] AS b, p_size::VARCHAR AS n FROM part)"
+#: Of each line of PROGRAM: its rule's number, errors, and the text that the rule reads, as SQL; "return" is one edit off, as its u is always misread.
+_READ = [
+    (0, 0, "'import nath'"), (14, 0, f"{_letters('a')} || ' = ' || n"), (3, 0, f"'def ' || {_letters('b')} || '(' || {_first('a')} || '):'"), (7, 1, f"'retvrn ' || {_first('a')} || ' + 1'"),
+    (10, 0, f"'for ' || {_letters('a')} || ' in range(' || n || '):'"), (11, 0, f"'print(' || {_first('a')} || ')'"),
+    (5, 0, "'if ' || " + _first("a || ' == ' || n || ' and not ' || b || '(' || a || ')'") + " || ':'"), (11, 0, f"{_letters('b')} || '(' || {_first('a')} || ', ' || n || ')'"), (12, 0, "'nath.sqrt(' || n || ')'"), (19, 0, "'pass'"),
+]
+#: A name that begins an expression; "hot" is an edit from "not".
+_LEAD = f"CASE a WHEN 'hot' THEN 'not' ELSE {_first('a')} END"
+#: And how each is written again: modules, variables and built-ins by the dictionary, other names as they are read.
+_WRITTEN = [
+    "'import math'", f"{_letters('a')} || ' = ' || n", f"'def ' || {_letters('b')} || '(' || {_first('a')} || '):'", f"'return ' || {_LEAD} || ' + 1'", f"'for ' || {_letters('a')} || ' in range(' || n || '):'",
+    f"'print(' || {_letters('a')} || ')'", f"'if ' || {_LEAD} || ' == ' || n || ' and not ' || {_first('b')} || '(' || {_letters('a')} || '):'", f"{_first('b')} || '(' || {_letters('a')} || ', ' || n || ')'", "'math.sqrt(' || n || ')'", "'pass'",
+]
+_HASKELL_WRITTEN = [f"'let ' || {_letters('a')} || ' = ' || n", f"{_letters('b')} || ' x y = x + y'", f"{_letters('a')} || ' = ' || {_first('b')} || ' 1 2'", f"'nain ' || {_first('a')}"]
+
+
+def _said(line: str) -> str:
+    """A line of a program as SQL."""
+    return "'" + line.replace("{a}", "' || a || '").replace("{b}", "' || b || '").replace("{n}", "' || n || '") + "'"
+
+
+def _program_sql(lines: list[str], written: list[str]) -> str:
+    pad = lambda x: "'" + " " * (len(x) - len(x.lstrip())) + "' || "
+    joined = lambda parts: " || chr(10) || ".join(pad(x) + p for x, p in zip(lines, parts, strict=True))
+    return f"WITH {_PARTS} SELECT doc_id, {joined([_first(_said(x.strip())) for x in lines])} AS code, {joined(written)} AS fixed_code FROM parts"
+
+
+@query(f"WITH {_PARTS} " + " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS line_no, {rule} AS rule, '{rules.PYTHON_LINES[rule][0]}' AS template, {errors} AS errors, {read} AS text FROM parts" for k, (rule, errors, read) in enumerate(_READ)
+))
 def fuzzy_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = repair.classified(_programs(spark, sf_dir, PROGRAM))
     return matched.select("doc_id", "line_no", "match.rule", "match.template", "match.errors", "match.text")
 
 
-@query()
+@query(f"WITH {_PARTS} SELECT doc_id, 0 AS line_no, 'import' AS kind, 'math' AS term FROM parts UNION ALL SELECT doc_id, 1, 'variable', {_letters('a')} FROM parts")
+def bound_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop's variable is bound while the function is open, so it doesn't count."""
+    return repair.symbols(_programs(spark, sf_dir, PROGRAM))
+
+
+@query(_program_sql(PROGRAM, _WRITTEN))
 def fix_python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_code(_programs(spark, sf_dir, PROGRAM))
 
 
-@query()
+@query(_program_sql(HASKELL_PROGRAM, _HASKELL_WRITTEN))
 def fix_haskell_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_code(_programs(spark, sf_dir, HASKELL_PROGRAM), "haskell")
 
 
-@query()
+def _accuracy_sql(found: str) -> str:
+    compact = lambda x: f"replace({x}, ' ', '')"
+    return f"CAST(round_even(100.0::DOUBLE - levenshtein({compact(f'lower({found})')}, {compact('lower(expected)')}) * 100.0::DOUBLE / length({compact('expected')}), 0) AS BIGINT)"
+
+
+@query(f"WITH {_PARTS}, lines AS (" + " UNION ALL ".join(f"SELECT {_said(x.strip())} AS expected, {_first(_said(x.strip()))} AS raw, {w} AS fixed FROM parts" for x, w in zip(PROGRAM, _WRITTEN, strict=True)) + f"""),
+    scored AS (SELECT {_accuracy_sql("raw")} AS accuracy, {_accuracy_sql("fixed")} AS accuracy_fixed, length(replace(expected, ' ', '')) AS length FROM lines),
+    mean AS (SELECT round_even(sum(accuracy * length)::DOUBLE / sum(length), 2) AS accuracy, round_even(sum(accuracy_fixed * length)::DOUBLE / sum(length), 2) AS accuracy_fixed, sum(length)::BIGINT AS length FROM scored)
+    SELECT *, round_even(accuracy_fixed - accuracy, 2) AS improvement FROM mean""")
 def repaired_code_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _programs(spark, sf_dir, PROGRAM)
     told = repair.repaired_lines(lines).join(lines.select("doc_id", "line_no", "expected"), ["doc_id", "line_no"])
     return evaluate.weighted(evaluate.score(told.withColumn("fixed", F.coalesce("fixed", "raw")), "raw", "fixed", "expected"))
 
 
-@query()
+#: Digits that may be letters.
+DIGITS = {"0": ["0", "o"], "1": ["1", "l", "i"], "4": ["4", "a"], "3": ["3", "e"]}
+
+
+@query("""
+    WITH RECURSIVE words AS (SELECT p_partkey, translate(string_split(p_name, ' ')[-1], 'loae', '1043') || CASE WHEN p_size % 4 = 0 THEN 'x' ELSE '' END AS noisy FROM part),
+    read AS (
+        SELECT noisy, 0 AS place, '' AS reading, 0::BIGINT AS no, 1::BIGINT AS radix FROM (SELECT DISTINCT noisy FROM words)
+        UNION ALL
+        SELECT noisy, place + 1, reading || c[d], no + (d - 1) * radix, radix * len(c) FROM (
+            SELECT *, unnest(range(1, len(c) + 1)) AS d FROM (
+                SELECT *, CASE noisy[place + 1] WHEN '0' THEN ['0', 'o'] WHEN '1' THEN ['1', 'l', 'i'] WHEN '4' THEN ['4', 'a'] WHEN '3' THEN ['3', 'e'] ELSE [noisy[place + 1]] END AS c FROM read WHERE place < length(noisy)))),
+    terms AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS term FROM part),
+    near AS (SELECT noisy, term, levenshtein(reading, term) / length(term) AS ratio, row_number() OVER (PARTITION BY noisy ORDER BY levenshtein(reading, term) / length(term), no, term) AS k
+             FROM read JOIN terms ON levenshtein(reading, term) < 0.25 * length(term) WHERE place = length(noisy))
+    SELECT p_partkey, w.noisy, coalesce(term, w.noisy) AS term, coalesce(ratio, 0.25) AS ratio FROM words w LEFT JOIN near ON near.noisy = w.noisy AND k = 1""")
+def nearest_lattice_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    word = F.element_at(F.split("p_name", " "), -1)
+    noisy = F.concat(F.translate(word, "loae", "1043"), F.when(F.col("p_size") % 4 == 0, "x").otherwise(""))
+    told = part.select("p_partkey", noisy.alias("noisy")).withColumn("cand", lattice.spell(F.col("noisy"), DIGITS))
+    terms = part.select(word.alias("term")).distinct().withColumn("ord", F.col("term"))
+    return dictionary.nearest_readings(told, "cand", terms).select("p_partkey", "noisy", "term", "ratio")
+
+
+_ARGS = "replace(p_name, ' ', ', ') || '(a, (b, c)), ' || p_size || CASE WHEN p_size % 5 = 0 THEN ',' WHEN p_size % 5 = 1 THEN ' (x,' ELSE '' END"
+
+
+@query(f"""
+    WITH RECURSIVE said AS (SELECT p_partkey, {_ARGS} AS args FROM part),
+    read AS (
+        SELECT p_partkey, args, 0 AS place, 0 AS depth, [''] AS parts FROM said
+        UNION ALL
+        SELECT p_partkey, args, place + 1, depth + CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END,
+               CASE WHEN c = ',' AND depth = 0 THEN list_append(parts, '') ELSE list_append(parts[:-2], parts[-1] || c) END
+        FROM (SELECT *, args[place + 1] AS c FROM read WHERE place < length(args)))
+    SELECT p_partkey, args, len(parts) AS n_args, array_to_string(list_transform(parts, lambda p: trim(p)), '|') AS parts FROM read WHERE place = length(args)""")
 def split_args(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit("(a, (b, c)), "), F.col("p_size").cast("string"))
+    size = F.col("p_size") % 5
+    args = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit(", ")), F.lit("(a, (b, c)), "), F.col("p_size").cast("string"), F.when(size == 0, ",").when(size == 1, " (x,").otherwise(""))
     told = table(spark, sf_dir, "part").select("p_partkey", args.alias("args"), text.split_args(args).alias("parts"))
     return told.select("p_partkey", "args", F.size("parts").cast("long").alias("n_args"), F.array_join("parts", "|").alias("parts"))
 
 
+@query("""
+    WITH said AS (SELECT p_partkey, '  ' || replace(p_name, ' ', ' , ') || '   ' AS s FROM part)
+    SELECT p_partkey, array_to_string(list_transform(string_split(s, ','), lambda x: trim(x)), '|') AS names, trim(s) AS inner_text, 10 + length(s) - length(ltrim(s)) AS start_at, 10 + length(rtrim(s)) AS end_at FROM said""")
+def trimmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.concat(F.lit("  "), F.replace(F.col("p_name"), F.lit(" "), F.lit(" , ")), F.lit("   "))
+    told = table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.comma_names(s), "|").alias("names"), text.trimmed(s, F.lit(10)).alias("t"))
+    return told.select("p_partkey", "names", F.col("t.text").alias("inner_text"), F.col("t.start").cast("long").alias("start_at"), F.col("t.end").cast("long").alias("end_at"))
+
+
+@query("""SELECT vec_id, chr((33 + i)::INTEGER) AS c FROM (SELECT vec_id, arg_max(i, (x, i)) AS i FROM (
+    SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY vec_id)""")
+def class_map_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = F.transform("embedding", lambda x: x.cast("double"))
+    best = table(spark, sf_dir, "embeddings").select("vec_id", F.element_at(lattice.ranked(scores), 1)["idx"].alias("class_idx"))
+    classes = spark.range(94).select(F.col("id").cast("int").alias("class_idx"), (F.col("id") + 33).cast("int").alias("codepoint"))
+    return lattice.with_char(best, "class_idx", classes, "c").select("vec_id", "c")
+
+
+@query("SELECT vec_id, len(embedding) AS n, embedding[1]::DOUBLE / 255.0::DOUBLE AS first_pixel, list_max(list_transform(embedding, lambda x: x::DOUBLE / 255.0::DOUBLE)) AS brightest FROM embeddings")
+def scaled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "embeddings").select("vec_id", lattice.scaled_pixels(F.col("embedding")).alias("p"))
+    return told.select("vec_id", F.size("p").cast("long").alias("n"), F.element_at("p", 1).cast("double").alias("first_pixel"), F.array_max("p").cast("double").alias("brightest"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ''), lambda c: CASE c WHEN 'l' THEN 'l/1/i/t' WHEN 'o' THEN 'o/0' WHEN 'e' THEN 'e/c/6' ELSE c END), ',') AS cand, length(p_name) AS places FROM part""")
+def joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.transform(F.split("p_name", " "), lambda w: lattice.spell(w, CONFUSIONS))
+    told = table(spark, sf_dir, "part").select("p_partkey", lattice.join_words(words).alias("c"))
+    return told.select("p_partkey", F.array_join(F.transform("c", lambda x: F.array_join(x, "/")), ",").alias("cand"), F.size("c").cast("long").alias("places"))
+
+
 @query()
 def code_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = repair.repaired_code(_programs(spark, sf_dir, PROGRAM)).select("doc_id", F.col("fixed_code").alias("code"))
@@ -270,6 +394,65 @@ def submitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return service.submit(lines, boxes).select("doc_id", "unfixed", "fixed", F.size("errors").alias("n_errors"), "overlay")
 
 
+@query("""
+    SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 2 END::BIGINT AS n_errors, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'syntax-error' WHEN 2 THEN 'undefined-variable' ELSE 'function-redefined,no-value-for-parameter' END AS symbols,
+           CASE WHEN p_partkey % 3 = 0 THEN 'picture ' || p_partkey WHEN p_partkey % 3 = 1 THEN 'stored ' || p_partkey END AS content, CASE p_partkey % 3 WHEN 0 THEN 'cache' WHEN 1 THEN 'blob' END AS found_in,
+           CASE WHEN p_size % 4 = 0 AND p_size % 8 <> 0 THEN 'print(' || p_size || ')' || chr(10) || 'check()' END AS program
+    FROM part""")
+def resubmitted_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code submitted again: its errors, its picture from the cache or else the store, and the test program where tests are due."""
+    part, kind, key = table(spark, sf_dir, "part"), F.col("p_size") % 4, F.col("p_partkey").cast("string")
+    code = F.when(kind == 0, F.concat(F.lit("print("), F.col("p_size").cast("string"), F.lit(")"))).when(kind == 1, "print(").when(kind == 2, "x = y").otherwise("def f(a): return a\ndef f(a): return 1\nf()")
+    rows = part.select("p_partkey", key.alias("key"), code.alias("code"), F.when(F.col("p_size") % 8 != 0, "{}\ncheck()").alias("template"))
+    held = lambda k, name: part.where(F.col("p_partkey") % 3 == k).select(key.alias("key"), F.concat(F.lit(name), key).alias("content"))
+    told = service.resubmit(rows, held(0, "picture "), held(1, "stored "))
+    return told.select("p_partkey", F.size("errors").cast("long").alias("n_errors"), F.array_join(F.transform("errors", lambda e: e["symbol"]), ",").alias("symbols"), "content", "found_in", "program")
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN turn % 3 = 0 OR length(coalesce(text, '')) = 0 THEN 'Program did not generate any output!' ELSE text END AS output, turn % 2 = 0 AND role = 'user' AS due FROM conversations""")
+def run_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    silent, errors = F.when(F.col("turn") % 3 != 0, F.col("text")), F.when(F.col("turn") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("error")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluate.output_or_default(silent).alias("output"), service.tests_due(errors, F.when(F.col("role") == "user", F.lit("{}"))).alias("due"))
+
+
+@query("""
+    SELECT c_custkey, 'img_' || c_custkey AS stem, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) END AS expected FROM customer WHERE c_custkey % 7 <> 0""")
+def image_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed pictures, without dotfiles, and the code that the annotation of the same stem expects."""
+    customer, name = table(spark, sf_dir, "customer"), F.concat(F.lit("img_"), F.col("c_custkey").cast("string"))
+    pictures = files.named_rows(customer.select("c_custkey", F.concat(F.lit("/data/images/"), F.when(F.col("c_custkey") % 7 == 0, ".").otherwise(""), name, F.lit(".v2.png")).alias("path")))
+    told = customer.where("c_custkey % 3 = 0").select(F.concat(F.lit("/data/annotations/"), name, F.lit(".txt")).alias("path"), F.lower("c_name").alias("expected"))
+    return files.with_annotation(pictures, files.named_rows(told)).select("c_custkey", "stem", "expected")
+
+
+@query("""
+    WITH said AS (SELECT md5(p_name || p_partkey) AS key, unnest([(0, p_size::VARCHAR, p_name, ''), (1, '', '2', 'count')]) AS c FROM part)
+    SELECT key, c[1] AS case_no, c[2] AS input, c[3] AS expected, c[4] AS hint FROM said""")
+def template_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = F.concat(F.lit('[{"input": "'), F.col("p_size").cast("string"), F.lit('", "output": "'), "p_name", F.lit('"}, {"output": "2", "hint": "count", "input": null}]'))
+    rows = table(spark, sf_dir, "part").select(store.content_key(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("key"), cases.alias("cases"))
+    return files.template_cases(rows)
+
+
+@query("SELECT 'nation' AS container, n_name AS key FROM nation WHERE n_regionkey < 3 UNION ALL SELECT 'region', r_name FROM region WHERE r_name IN (SELECT n_name FROM nation WHERE n_regionkey < 3)")
+def container_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    held = lambda c, t, k: t.select(F.lit(c).alias("container"), F.col(k).alias("key"))
+    stored = held("nation", nation, "n_name").union(held("region", table(spark, sf_dir, "region"), "r_name")).union(held("other", nation, "n_name"))
+    return files.blobs_of(stored, ["nation", "region"], nation.where("n_regionkey < 3").select(F.col("n_name").alias("key")))
+
+
+@query("SELECT DISTINCT 'images' AS container, md5(text) AS key FROM documents WHERE text IS NOT NULL")
+def stored_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads as a stream whose sink stores, batch by batch, the contents that aren't there yet."""
+    folder = cache.work_dir(spark)
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    uploads = docs.where("text is not null").select(F.col("text").cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    cache.save_stream(uploads, f"{folder}/blobs", f"{folder}/state").awaitTermination()
+    return files.blobs(spark, f"{folder}/blobs").select("container", "key")
+
+
 @query("""SELECT p_partkey, '{"id":"' || CASE WHEN p_size % 3 = 0 THEN '' ELSE md5(p_name) END || '","error":"' || CASE WHEN p_size % 3 = 0 THEN 'Files Missing' ELSE '' END || '","success":' || CASE WHEN p_size % 3 = 0 THEN 'false' ELSE 'true' END || '}' AS response FROM part""")
 def template_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("template"), F.when(F.col("p_size") % 3 != 0, F.lit('[{"input": "1"}]')).alias("cases"))
