@@ -23,7 +23,7 @@ from restitch.llm import textscan
 from restitch.llm.bpe import read_ranks
 from restitch.llm.sample import least_hashes
 from restitch.llm.session import Scratch
-from restitch.llm.textscan import Scan, U, chunks
+from restitch.llm.textscan import Scan, U, chunks, settle
 
 #: So many labelled texts of each language (those with the least hash of their id), with all their words, fit the
 #: probabilities, in so many rounds.
@@ -31,7 +31,7 @@ MAX_TEXTS, ROUNDS = 1500, 3
 #: Probabilities are scaled by this for each byte.
 _SCALE = 8.0
 #: Words side by side (fewer for more than eight languages), and places of their bytes held at a time.
-_BLOCK, _PLACES = 16_384, 1 << 18
+_BLOCK, _PLACES = 4096, 1 << 16
 #: Longer pieces are looked up only where their first bytes are those of one.
 _SHORT = 12
 _KNOWN = 600_000
@@ -295,7 +295,7 @@ class Scorer:
     def scores_of(self, texts: list[bytes]) -> np.ndarray:
         """Log probability of each lower-cased text in each language, the prior included."""
         out = []
-        for run in chunks(texts, 4 << 20):
+        for run in chunks(texts, 2 << 20):
             s = Scan(run)
             uniq, first, inverse = np.unique(s.word_hash(), return_index=True, return_inverse=True)
             at = np.searchsorted(self.known, uniq)
@@ -337,6 +337,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if count:
             lang, word = zip(*count, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(count.values(), pa.int64())], names=["lang", "word", "n"])
+    settle()
 
 
 _COUNTS = "piece int, lang int, n long"
@@ -358,6 +359,7 @@ def _expected(path: str, langs: list[str], shared):
         n = np.round(total / _UNIT).astype(np.int64)
         piece, lang = np.nonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(n[piece, lang], pa.int64())], names=["piece", "lang", "n"])
+        settle()
 
     return run
 
@@ -412,6 +414,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 lang[have] = np.array(model.langs, object)[best]
                 score[have] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        settle()
 
     told = F.pandas_udf(run, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), told("text").alias("p"))
