@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from restitch.functions import lattice
 from restitch.operators import dictionary, repair, rules
+from restitch.operators.diagnostics import diagnose
 from tests.test_functions import brute_readings, edits
 
 
@@ -164,3 +165,24 @@ def test_unreadable_line(spark):
 def test_arguments():
     assert [x for x in itertools.starmap(lambda a, b: "a, (b, c), d"[a:b].strip(), repair.arguments("a, (b, c), d"))] == ["a", "(b, c)", "d"]
     assert repair.arguments(" ") == [] and repair.arguments("a,") == [(0, 1), (2, 2)]
+
+
+def test_registered_rules_reach_tasks(spark):
+    """A rule of a new language, registered on the driver, classifies and rewrites lines in tasks."""
+    try:
+        rules.register("basic", "line", "goto (.*)", 5, "goto {1}")
+        rules.register("basic", "line", "(.*)", 0, "{1}")
+        lines = spark.createDataFrame([(1, 0, 0, [["g"], ["0", "o"], ["t"], ["0"], [" "], ["1"], ["2"]]), (1, 1, 0, [["x"]])], "doc_id long, line_no int, indent int, cand array<array<string>>")
+        got = {r.line_no: r.fixed for r in repair.repaired_lines(lines, "basic").collect()}
+        assert got == {0: "goto 12", 1: "x"}
+    finally:
+        for level in ("line", "expr"):
+            rules.CATALOGUE.pop(("basic", level), None)
+
+
+def test_more_diagnostics():
+    told = lambda code: [(d[3], d[6]) for d in diagnose(code)]
+    assert told("def f(a, b=1): return a\nf()\nf(1, 2, 3)\nf(1)\nf(*x)") == [(2, "no-value-for-parameter"), (3, "too-many-function-args"), (5, "undefined-variable")]
+    assert told("class A:\n  def f(): pass\n  def g(x): pass\n  def g(self): return 1\n  @staticmethod\n  def h(): pass") == [(2, "no-method-argument"), (3, "no-self-argument"), (4, "function-redefined")]
+    assert told("return 1\nbreak\nwhile True:\n  if 1:\n    continue\nfor x in []:\n  def f():\n    break") == [(1, "return-outside-function"), (2, "not-in-loop"), (8, "not-in-loop")]
+    assert told("f = 1\ndef g(*a, **k): return lambda: a\ng(1, 2, z=3)") == []
