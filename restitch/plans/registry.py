@@ -260,10 +260,14 @@ def _said(line: str) -> str:
     return "'" + line.replace("{a}", "' || a || '").replace("{b}", "' || b || '").replace("{n}", "' || n || '") + "'"
 
 
-def _program_sql(lines: list[str], written: list[str]) -> str:
+def _program_columns(lines: list[str], written: list[str]) -> str:
     pad = lambda x: "'" + " " * (len(x) - len(x.lstrip())) + "' || "
     joined = lambda parts: " || chr(10) || ".join(pad(x) + p for x, p in zip(lines, parts, strict=True))
-    return f"WITH {_PARTS} SELECT doc_id, {joined([_first(_said(x.strip())) for x in lines])} AS code, {joined(written)} AS fixed_code FROM parts"
+    return f"doc_id, {joined([_first(_said(x.strip())) for x in lines])} AS code, {joined(written)} AS fixed_code"
+
+
+def _program_sql(lines: list[str], written: list[str]) -> str:
+    return f"WITH {_PARTS} SELECT {_program_columns(lines, written)} FROM parts"
 
 
 @query(f"WITH {_PARTS} " + " UNION ALL ".join(
@@ -380,13 +384,45 @@ def joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("p_partkey", F.array_join(F.transform("c", lambda x: F.array_join(x, "/")), ",").alias("cand"), F.size("c").cast("long").alias("places"))
 
 
-@query()
+#: What is wrong in a repaired program: a parameter that begins with a digit, a condition that begins with "not", a function
+#: that is called as it was misread or, where it is found, with an argument too many.
+_FAULTS = f"""{_PARTS}, read AS (SELECT *, {_first("a")} AS own, {_first("b")} AS called, {_letters("b")} AS bound FROM parts),
+    judged AS (SELECT *, CASE WHEN own[1] BETWEEN '0' AND '9' THEN 'parameter' WHEN a = 'hot' THEN 'condition' WHEN called <> bound THEN 'name' ELSE 'call' END AS fault FROM read),
+    faults AS (
+        SELECT doc_id, 3 AS line, 6 + length(b) AS col, 'syntax-error' AS symbol, 'E0001' AS message_id,
+               CASE own[1] WHEN '0' THEN 'leading zeros in decimal integer literals are not permitted; use an 0o prefix for octal integers' ELSE 'invalid decimal literal' END AS message
+        FROM judged WHERE fault = 'parameter'
+        UNION ALL SELECT doc_id, 7, 8, 'syntax-error', 'E0001', 'invalid syntax' FROM judged WHERE fault = 'condition'
+        UNION ALL SELECT doc_id, 7, 16 + length(a) + length(n), 'undefined-variable', 'E0602', format('Undefined variable ''{{}}''', called) FROM judged WHERE fault = 'name'
+        UNION ALL SELECT doc_id, 8, 2, 'undefined-variable', 'E0602', format('Undefined variable ''{{}}''', called) FROM judged WHERE fault = 'name'
+        UNION ALL SELECT doc_id, 8, 2, 'too-many-function-args', 'E1121', 'Too many positional arguments for function call' FROM judged WHERE fault = 'call')"""
+
+
+@query(f"""WITH {_FAULTS} SELECT doc_id, 'error' AS type, 'main' AS module, '' AS obj, line, col::INTEGER AS "column", 'main.py' AS path, symbol, message, message_id FROM faults""")
 def code_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = repair.repaired_code(_programs(spark, sf_dir, PROGRAM)).select("doc_id", F.col("fixed_code").alias("code"))
     return diagnostics(code)
 
 
-@query()
+def _width(line: str) -> str:
+    """The width of a line's box as SQL."""
+    return f"10 * length({_said(line.strip())})"
+
+
+def _pictures_sql() -> str:
+    left = lambda x: 10 * (len(x) - len(x.lstrip()))
+    size = f"greatest({', '.join(f'{left(x)} + {_width(x)}' for x in PROGRAM)})"
+    boxes = " UNION ALL ".join(f"SELECT doc_id, {k + 1} AS line, {left(x)} AS x, {30 * k} AS y, {_width(x)} AS width FROM parts" for k, x in enumerate(PROGRAM))
+    return f"""WITH {_FAULTS}, boxes AS ({boxes}), sized AS (SELECT doc_id, {size} AS size FROM parts), texts AS (SELECT {_program_columns(PROGRAM, _WRITTEN)} FROM parts),
+        marked AS (
+            SELECT doc_id, count(*) AS n, string_agg('{{"line":{{"x":' || x || '.0,"y":' || y || '.0,"width":' || width || '.0,"height":25.0}}}}', ',' ORDER BY line, col) AS places
+            FROM faults JOIN boxes USING (doc_id, line) GROUP BY doc_id)
+        SELECT doc_id, code AS unfixed, fixed_code AS fixed, n::INTEGER AS n_errors,
+               '{{"dimensions":{{"width":' || size || '.0,"height":295.0}},"bbox":{{"min_x":0.0,"min_y":0.0,"max_x":' || size || '.0,"max_y":295.0}},"errors":[' || places || ']}}' AS overlay
+        FROM texts JOIN sized USING (doc_id) JOIN marked USING (doc_id)"""
+
+
+@query(_pictures_sql())
 def submitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _programs(spark, sf_dir, PROGRAM)
     wide = F.size("cand") * 10.0
