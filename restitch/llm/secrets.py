@@ -234,9 +234,8 @@ def pairs(text: str) -> list[tuple[str, Value]]:
         f.names = []
 
     def value_of(f: _Level) -> Value | None:
-        if f.names and not f.parts and f.targets and f.names[0][0] not in constants:
-            bare = _BARE.match(text, f.names[0][1])  # a word without quotes
-            return Value(bare.span(), False)
+        if f.names and not f.parts and f.targets and f.names[0][0] not in constants and (bare := _BARE.match(text, f.names[0][1])):
+            return Value(bare.span(), False)  # a word without quotes; a key, as in x["k"], is none
         if f.names and not f.parts:
             f.names = f.names[:1]
         fold(f)

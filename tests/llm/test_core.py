@@ -588,3 +588,20 @@ def test_literals_that_a_base_span_only_touches():
         told = secrets.redact_text(f"x {line} y")
         assert told.count("[SECRET]") == 1 and told.endswith('[SECRET]" y')
     assert [k for *_, k in secrets.all_spans('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')[1]] == ["assign", "hex"]
+
+
+def test_subscripts_are_no_words_without_quotes():
+    for text in ('password = cfg["k"]', 'password = cfg["k"]["j"]\nx = 1', 'token = x["a"] b', 'k = "Zx9#kLm2pQ!s"\npassword = k["a"]'):
+        assert lexed(text) == []
+    assert lexed('cfg["k"] = "Zx9#kLm2pQ!s"\npassword = cfg["k"]') == ["Zx9#kLm2pQ!s"]
+    assert lexed('token = "ab9#Zq!kLm2"\npassword = os.environ["DB_PASSWORD"]\n') == ["ab9#Zq!kLm2"]
+
+
+def test_any_tokens_can_be_lexed():
+    tokens = ["password", "token", "x", "=", ":", "->", "=>", "==", '"', "'", "`", '"""', '"ab9#Zq!kLm2"', "'q'", *"()[]{},.+|?!@$#\\&\n", "//", "..", "var", "or", "if", "else", "é", "\0", "<token>", "</token>"]
+    pick = random.Random(5)
+    for _ in range(4000):
+        text = "".join(pick.choice(tokens) + pick.choice(["", " "]) for _ in range(pick.randint(1, 60)))
+        base, spans = secrets.all_spans(text)
+        assert set(base) <= set(spans) and all(0 <= a < b <= len(text) for a, b, _ in spans)
+        secrets.redact_text(text)
