@@ -23,7 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restitch.llm.graph import components
@@ -43,6 +43,8 @@ SAMPLE, COMMON_IN, MOST_COMMON = 4000, 8, 100_000
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 22
 #: Keys and sets that a task gathers before it ships them; more than LOCAL_HOT sets under a key are joined there.
 SHIP_KEYS, SHIP_SETS, LOCAL_HOT = 1_000_000, 15_000, 512
+#: Numbers of so many candidates (16 MB) are broadcast to find their texts again; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Keys that are met at once, about: the key space is cut into as many parts as that takes.
 PART_KEYS = 4_000_000
 
@@ -69,7 +71,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def set_check(s: np.ndarray) -> int:
-    """64 further bits: n sets agree in both by chance of n * n / 2 ** 129."""
+    """64 further bits: two of n sets agree in both with a chance of n * n / 2 ** 129, if their shingles' own 64 bits differ."""
     return _told(s, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 
 
@@ -492,15 +494,15 @@ def _verify(k: int, percent: int, searched: bool):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         for rows in _grouped(batches, 3):
             *_, sid, chk, text, label, query = zip(*rows, strict=True)
-            sets, keep, seen = [], [], {}
+            sets, keep, seen = [], [], set()
             for i, s in enumerate(shingle_sets(list(text), k)):
-                if set_check(s) != chk[i]:
-                    continue  # another row whose id and text have the same hash
-                if sid[i] in seen:
-                    continue
-                seen[sid[i]] = True
+                if sid[i] in seen or set_check(s) != chk[i]:
+                    continue  # of another row, whose id and text have the same hash
+                seen.add(sid[i])
                 sets.append(s)
                 keep.append(i)
+            if len(seen) != len(set(sid)):
+                raise RuntimeError("the text of a set was not found again")
             if len(sets) < 2:
                 continue
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -532,8 +534,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     scratch = Scratch(spark)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    # ``at`` finds a row's text again: rows with the same are the same but by chance, whatever their ids
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("at"), "text")
+    rows = rows.select("doc_id", _row_number().alias("at"), "text")
     features, seen = scratch.counted(rows.mapInArrow(_features(words), "doc_id long, at long, n long, sid long, chk long, counts binary"), n="sum(n)")
     nodes, clash = _nodes(features, scratch)
 
@@ -561,10 +562,11 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     placed = members.select("*", F.explode(F.when(F.col("node") == F.col("pivot"), every).otherwise(F.array(own))).alias("block"))
     first = placed.select("cluster", "block", F.lit(0).alias("turn"), "node", "chk", "at", F.lit(0).cast("long").alias("label"), F.lit(True).alias("query"))
-    found = scratch.table(_search(first, rows, words, percent, False))
+    few = seen["rows"] <= BROADCAST_ROWS
+    found = scratch.table(_search(first, rows, words, percent, False, few))
 
     if seen["cut"]:
-        found = found.union(scratch.table(_apart(members, found, rows, words, percent, block_sets, scratch)))
+        found = found.union(scratch.table(_apart(members, found, rows, words, percent, block_sets, scratch, few)))
     joined = components(found, scratch).toDF("node", "component")
     joined = joined.join(nodes.select("node", "doc_id"), "node")
     least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -578,6 +580,11 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85, block_sets:
     )
 
 
+def _row_number() -> Column:
+    """By which a row's text is found again: rows with the same are the same but by chance, whatever their ids."""
+    return F.xxhash64("doc_id", "text")
+
+
 def _nodes(features: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     """A row per set: sid, chk, node (its number), doc_id (the least), at (of one row that has it), n, counts.
 
@@ -609,16 +616,22 @@ def _of_large_keys(met: DataFrame) -> DataFrame:
     return large.join(least, "bucket").where("u <> sid").select("u", F.col("sid").alias("v"))
 
 
-def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, searched: bool) -> DataFrame:
-    """Links among the sets of each (cluster, block, turn); texts are read again, each once however often it repeats."""
-    texts = rows.groupBy("at").agg(F.first("text").alias("text"))
+def _search(placed: DataFrame, rows: DataFrame, words: int, percent: int, searched: bool, few: bool) -> DataFrame:
+    """Links among the sets of each (cluster, block, turn); texts are read again, each once however often it repeats.
+
+    Only the texts of candidates are shuffled, if these are few enough for their numbers to be broadcast.  Where rows
+    with different texts have the same ``at``, all of them come, and the set's own check tells which is meant.
+    """
+    asked = placed.select("at").distinct()
+    near = rows.join(F.broadcast(asked) if few else asked, "at", "left_semi")
+    texts = near.groupBy("at", F.xxhash64(F.lit(1), "text").alias("_other")).agg(F.first("text").alias("text")).select("at", "text")
     # by merge at any size: the sets in clusters grow with the corpus, and a broadcast of them has no bound
     held = placed.hint("merge").join(texts, "at").select("cluster", "block", "turn", "node", "chk", "text", "label", "query")
     dealt = held.repartition("cluster", "block", "turn").sortWithinPartitions("cluster", "block", "turn")
     return dealt.mapInArrow(_verify(words, percent, searched), "u long, v long")
 
 
-def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int, block_sets: int, scratch: Scratch) -> DataFrame:
+def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, percent: int, block_sets: int, scratch: Scratch, few: bool) -> DataFrame:
     """Links between blocks: sets outside their cluster's largest component, searched for in all its blocks."""
     label = components(found, scratch).toDF("node", "label")
     cutup = scratch.table(members.where("blocks > 1").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
@@ -633,13 +646,14 @@ def _apart(members: DataFrame, found: DataFrame, rows: DataFrame, words: int, pe
     asked = cutup.where("label <> major").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     asked = asked.select(*shared(F.col("b"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int"), True))
     both = asked.unionByName(index).groupBy("cluster", "block", "turn", "node").agg(*[F.first(c).alias(c) for c in ("chk", "at", "label")], F.max("query").alias("query"))
-    return _search(both, rows, words, percent, True)
+    return _search(both, rows, words, percent, True, few)
 
 
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest, with their columns, whatever their names.
 
-    Rows without an id stay; rows that repeat an id go only if all of them do.
+    Rows without an id stay; rows that repeat an id go only if all of them do.  A null or empty text is like no other
+    and stays; a very long one is compared whole; an empty table gives no rows.
     """
     groups = near_groups(docs, words, percent)
     gone = groups.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(F.col("doc_id").alias("_gone"))
