@@ -86,13 +86,12 @@ def ambiguous_places(lattice: Column) -> Column:
 
 def capped(lattice: Column) -> Column:
     """The lattice with at most KEPT candidates a place; from the left, places keep one while more than MOST readings remain."""
-    start = F.struct(reading_count(lattice).alias("left"), F.array().cast("array<array<string>>").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        kept = F.when(F.size(c) > 1, F.when(acc["left"] > MOST, F.slice(c, 1, 1)).otherwise(F.slice(c, 1, KEPT))).otherwise(c)
-        return F.struct((acc["left"] / choices(c)).alias("left"), F.concat(acc["out"], F.array(kept)).alias("out"))
-
-    return F.aggregate(lattice, start, step)["out"]
+    start = F.struct(reading_count(lattice).alias("left"), F.lit(0).alias("n"))
+    step = lambda acc, c: F.struct((acc["left"] / choices(c)).alias("left"), (acc["n"] + (acc["left"] > MOST).cast("int")).alias("n"))
+    # what remains only falls, so the places that keep one are the first
+    first = F.when(reading_count(lattice) > MOST, F.aggregate(lattice, start, step)["n"]).otherwise(0)
+    rest = F.slice(lattice, first + 1, F.greatest(F.size(lattice), F.lit(0)))
+    return F.concat(F.transform(F.slice(lattice, F.lit(1), first), lambda c: F.slice(c, 1, 1)), F.transform(rest, lambda c: F.slice(c, 1, KEPT)))
 
 
 def readings(lattice: Column) -> Column:

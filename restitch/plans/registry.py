@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from restitch.functions import lattice, text
-from restitch.operators import dictionary, evaluate, ordered, repair, rules, store
+from restitch.operators import automaton, dictionary, evaluate, ordered, repair, rules, store
 from restitch.operators.diagnostics import diagnostics
 from restitch.plans import service
 from restitch.sources import files
@@ -187,15 +187,25 @@ def permutations_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 LITERALS = [("else:", 2, "else:"), ("break", 2, "break"), ("continue", 2, "continue"), ("false", 2, "False"), ("pass", 1, "pass"), ("true", 1, "True"), ("none", 1, "None")]
 
 
-@query(f"""
-    WITH tokens AS MATERIALIZED (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\v\\f\\r]+')), '[^\\x00-\\x7F]', '?', 'g') AS token FROM documents),
-    literals(word, budget, written, rank) AS (VALUES {", ".join(f"('{w}', {b}, '{o}', {k})" for k, (w, b, o) in enumerate(LITERALS))}),
-    sized AS MATERIALIZED (SELECT token, length(token) AS n FROM tokens WHERE length(token) BETWEEN 2 AND 10),
-    reach AS (SELECT word, budget, written, rank, unnest(range(length(word) - budget, length(word) + budget + 1)) AS n FROM literals),
-    pairs AS MATERIALIZED (SELECT token, word, budget, written, rank FROM sized JOIN reach USING (n)),
-    near AS (SELECT token, written, levenshtein(token, word) - budget AS score, rank FROM pairs WHERE levenshtein(token, word) <= budget),
-    best AS (SELECT token, arg_min(written, (score, rank)) AS written, min(score) AS score FROM near GROUP BY token)
-    SELECT t.token, coalesce(written, t.token) AS written, score FROM tokens t LEFT JOIN best USING (token)""")
+def _literal_sql() -> str:
+    """One pass over distinct tokens: of each rule its score and rank as one number, told only for tokens of a like length."""
+    told = []
+    for rank, (word, budget, _) in enumerate(LITERALS):
+        d = f"levenshtein(left(token, {len(word) + budget}), '{word}')"
+        told.append(f"CASE WHEN length(token) BETWEEN {len(word) - budget} AND {len(word) + budget} THEN CASE WHEN {d} <= {budget} THEN ({d} - {budget} + 2) * 8 + {rank} ELSE 99 END ELSE 99 END")
+    written = " ".join(f"WHEN {rank} THEN '{w}'" for rank, (_, _, w) in enumerate(LITERALS))
+    return f"""
+        WITH words AS (
+            SELECT unnest(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g'), '[^ \\t\\n\\v\\f\\r]+')) AS token FROM documents
+        ), tokens AS (
+            SELECT token FROM words GROUP BY token
+        ), scored AS (
+            SELECT token, least({", ".join(told)}) AS best FROM tokens
+        )
+        SELECT token, CASE WHEN best = 99 THEN token ELSE CASE best % 8 {written} END END AS written, CASE WHEN best < 99 THEN CAST(best // 8 - 2 AS BIGINT) END AS score FROM scored"""
+
+
+@query(_literal_sql())
 def literal_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0)))
     tokens = table(spark, sf_dir, "documents").select(words.alias("w")).select(F.regexp_replace("w", r"[^\x00-\x7F]", "?").alias("token")).distinct()
@@ -270,11 +280,69 @@ def _program_sql(lines: list[str], written: list[str]) -> str:
     return f"WITH {_PARTS} SELECT {_program_columns(lines, written)} FROM parts"
 
 
-@query(f"WITH {_PARTS} " + " UNION ALL ".join(
-    f"SELECT doc_id, {k} AS line_no, {rule} AS rule, '{rules.PYTHON_LINES[rule][0]}' AS template, {errors} AS errors, {read} AS text FROM parts" for k, (rule, errors, read) in enumerate(_READ)
-))
+#: Lines for the rules that PROGRAM has none of.
+RULE_LINES = [
+    *PROGRAM, "import {a} as np", "from {a} import sin", "class {a}:", "elif {a}:", "while {a}:", "for {a} in items:", "self.run({a})", "assert {a}", "del {a}", "raise {a}",
+    "global {a}", "else:", "break", "continve", "? ? {n}",
+]
+
+
+def _classified_sql(lines: str, language: str = "python3") -> str:
+    """For ``lines`` (doc_id, line_no, line: a text that ``_programs`` misreads) the best rule and reading, by all edit distances.
+
+    Every rule meets every lattice but for those that lack more of its fixed characters than its budget.  Costs by place of
+    the template are lists; ``u`` leaves out what it costs to pass over the places before, so that passing over is a minimum.
+    """
+    one = 1 << 17
+    told = []
+    for r in rules.rules(language):
+        fixed = [c for kind, c in r.places if kind == "one" and c is not None and len(c) == 1]
+        need = ", ".join(f"{{'c': {_quoted(c)}, 'n': {fixed.count(c)}}}" for c in sorted(set(fixed)))
+        many = ", ".join("true" if kind == "many" else "false" for kind, _ in r.places)
+        chars = ", ".join("NULL" if c is None else _quoted(c) for _, c in r.places)
+        told.append(f"({r.number}, {r.rank}, {_quoted(r.template)}, {r.budget}, [{many}], [{chars}]::VARCHAR[], [{need}]::STRUCT(c VARCHAR, n INTEGER)[])")
+    digit = f"CASE WHEN chars[{{p}}] IS NULL OR contains(chars[{{p}}], c[1]) THEN 0 WHEN len(c) > 1 AND contains(chars[{{p}}], c[2]) THEN radix ELSE {one} END"
+    step = f"least(u[q] + {one}, CASE WHEN q > 1 AND NOT many[q - 1] THEN u[q - 1] - {one} + {digit.format(p='q - 1')} END, CASE WHEN q <= len(many) AND many[q] THEN u[q] + {digit.format(p='q')} END)"
+    return f"""
+        lines AS ({lines}),
+        rules(rule, rank, template, budget, many, chars, need) AS (VALUES {", ".join(told)}),
+        lattices AS (
+            SELECT line, list_transform(string_split(line, ''), lambda x: CASE x WHEN 'l' THEN ['1', 'l'] WHEN 'o' THEN ['0', 'o'] WHEN 'm' THEN ['n', 'm'] WHEN 'u' THEN ['v'] ELSE [x] END) AS cand
+            FROM (SELECT DISTINCT line FROM lines)
+        ), seen AS (
+            SELECT line, cand, array_to_string(flatten(cand), '') AS flat FROM lattices
+        ), fits AS MATERIALIZED (
+            SELECT line, cand, rule, budget, many, chars FROM seen, rules
+            WHERE coalesce(list_sum(list_transform(need, lambda s: greatest(s.n - (length(flat) - length(replace(flat, s.c, ''))), 0))), 0) <= budget
+        ), costs AS (
+            SELECT line, cand, rule, many, chars, 0 AS place, 1::BIGINT AS radix, list_transform(range(len(many) + 1), lambda x: 0::BIGINT) AS u FROM fits
+            UNION ALL
+            SELECT line, cand, rule, many, chars, place + 1, radix * len(c), list_transform(range(1, len(v) + 1), lambda q: list_min(v[1:q])) FROM (
+                SELECT *, list_transform(range(1, len(u) + 1), lambda q: {step}) AS v FROM (SELECT *, cand[place + 1] AS c FROM costs WHERE place < len(cand)))
+        ), done AS (
+            SELECT line, rule, cand, u[-1] + {one} * len(list_filter(many, lambda x: NOT x)) AS cost FROM costs WHERE place = len(cand)
+        ), best AS (
+            SELECT line, cand, rule, template, cost // {one} AS errors, cost % {one} AS number,
+                row_number() OVER (PARTITION BY line ORDER BY cost // {one} - budget, rank) AS k
+            FROM done JOIN rules USING (rule) WHERE cost // {one} <= budget
+        ), radices AS (
+            SELECT line, rule, template, errors, number, cand, list_transform(range(1, len(cand) + 1), lambda i: coalesce(list_product(list_transform(cand[1:i - 1], lambda c: len(c))), 1)) AS radix
+            FROM best WHERE k = 1
+        ), matched AS (
+            SELECT line, rule, template, CAST(errors AS INTEGER) AS errors,
+                array_to_string(list_transform(cand, lambda c, i: c[CAST(number // CAST(radix[i] AS BIGINT) % len(c) + 1 AS INTEGER)]), '') AS text FROM radices
+        )"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"WITH RECURSIVE {_PARTS}, " + _classified_sql(" UNION ALL ".join(f"SELECT doc_id, {k} AS line_no, {_said(x.strip())} AS line FROM parts" for k, x in enumerate(RULE_LINES))) + """
+    SELECT doc_id, line_no, rule, template, errors, text FROM lines JOIN matched USING (line)""")
 def fuzzy_rule_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = repair.classified(_programs(spark, sf_dir, PROGRAM))
+    """Every rule of the catalogue is the best one of some line."""
+    matched = automaton.classified(_programs(spark, sf_dir, RULE_LINES))
     return matched.select("doc_id", "line_no", "match.rule", "match.template", "match.errors", "match.text")
 
 
