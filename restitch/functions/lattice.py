@@ -95,10 +95,27 @@ def capped(lattice: Column) -> Column:
 
 
 def readings(lattice: Column) -> Column:
-    """All readings of a capped lattice, by number: the first place turns fastest.  An empty lattice has one, the empty text."""
-    start = F.struct(F.lit(1).cast("long").alias("n"), F.array().cast("array<struct<c:array<string>,r:bigint>>").alias("out"))
-    told = F.aggregate(
-        lattice, start, lambda a, c: F.struct((a["n"] * F.size(c)).alias("n"), F.concat(a["out"], F.array(F.struct(c.alias("c"), a["n"].alias("r")))).alias("out"))
-    )
-    one = lambda k: F.array_join(F.transform(told["out"], lambda s: F.element_at(s["c"], (F.floor(k / s["r"]) % F.size(s["c"]) + 1).cast("int"))), "")
-    return F.transform(F.sequence(F.lit(0).cast("long"), told["n"] - 1), one)
+    """All readings of a capped lattice, by number: the first place turns fastest.  An empty lattice has one, the empty text.
+
+    For short lattices, such as parts of a word; ``with_readings`` gives those of whole lines as rows.
+    """
+    return F.aggregate(lattice, F.array(F.lit("")), lambda told, c: F.flatten(F.transform(c, lambda x: F.transform(told, lambda t: F.concat(t, x)))))
+
+
+#: Numbers that a row holds at once.
+_STEP = 256
+
+
+def with_readings(rows: DataFrame, cand: str, no: str, text: str) -> DataFrame:
+    """A row for each reading of a lattice, once capped, with its number and text; the other columns are repeated.
+
+    Rows come from numbers, in two steps, so that none holds more than a few hundred readings, whatever the cap is.  A null
+    lattice, or one with an empty place, has no reading.
+    """
+    told = rows.withColumn("_c", capped(F.col(cand))).where(~F.exists("_c", lambda c: F.coalesce(F.size(c), F.lit(0)) < 1))
+    start = F.struct(F.lit(1).cast("long").alias("n"), F.array().cast("array<bigint>").alias("r"))
+    radix = F.aggregate("_c", start, lambda a, c: F.struct((a["n"] * F.size(c)).alias("n"), F.concat(a["r"], F.array(a["n"])).alias("r")))
+    told = told.withColumn("_r", radix).withColumn("_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_r.n") - 1) / _STEP))))
+    told = told.withColumn(no, F.explode(F.sequence(F.col("_hi") * _STEP, F.least(F.col("_hi") * _STEP + _STEP - 1, F.col("_r.n") - 1))))
+    char = lambda c, r: F.get(c, (F.floor(F.col(no) / r) % F.size(c)).cast("int"))
+    return told.withColumn(text, F.array_join(F.zip_with("_c", "_r.r", char), "")).drop("_c", "_r", "_hi")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from restitch.functions import lattice
 from restitch.operators import rules
 
 #: Fixed value: the ratio of edits to a term's length must be less.
@@ -29,17 +30,27 @@ def _by_length(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.withColumn("n", F.length("token")).join(F.broadcast(terms.withColumn("n", F.explode(reach))), "n")
 
 
-def _by_pieces(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+def _pieces(terms: DataFrame) -> DataFrame:
+    """(term, ord, k, m, i, at, piece): each term of length m cut into k + 1 pieces."""
     m, k = F.length("term"), F.col("k")
     cut = lambda i: F.floor(i * m / (k + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut(i).alias("at"), F.col("term").substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
-    told = terms.select("term", "ord", "k", m.alias("m"), F.explode(pieces).alias("p")).select("term", "ord", "k", "m", "p.*")
-    n = F.length("token")
-    # every place of a token where a piece of a term of length m may stand: probes are shared by all tokens of a length
-    shapes = told.groupBy("m", "i").agg(F.max("k").alias("k"), F.max("at").alias("at"), F.max(F.length("piece")).alias("size")).groupBy().agg(F.collect_list(F.struct("m", "i", "k", "at", "size")).alias("shapes"))
-    probes = tokens.crossJoin(F.broadcast(shapes)).select("token", F.explode(F.filter("shapes", lambda s: F.abs(s["m"] - n) <= s["k"])).alias("s"))
-    probes = probes.select("token", "s.m", "s.i", "s.size", F.explode(F.sequence(F.greatest(F.col("s.at") - F.col("s.k"), F.lit(0)), F.col("s.at") + F.col("s.k"))).alias("start"))
-    probes = probes.where(F.col("start") + F.col("size") <= n).select("token", "m", "i", F.col("token").substr(F.col("start") + 1, F.col("size")).alias("piece")).distinct()
+    return terms.select("term", "ord", "k", m.alias("m"), F.explode(pieces).alias("p")).select("term", "ord", "k", "m", "p.*")
+
+
+def _probes(tokens: DataFrame, told: DataFrame, n: Column) -> DataFrame:
+    """``tokens`` with m, i, start and size of every place where a piece of a term of length m may stand; n is a token's length."""
+    shapes = told.groupBy("m", "i").agg(F.max("k").alias("k"), F.max("at").alias("at"), F.max(F.length("piece")).alias("size"))
+    shapes = shapes.groupBy().agg(F.collect_list(F.struct("m", "i", "k", "at", "size")).alias("shapes"))  # as many as terms have lengths and pieces
+    probes = tokens.withColumn("_n", n).crossJoin(F.broadcast(shapes)).select(*tokens.columns, "_n", F.explode(F.filter("shapes", lambda s: F.abs(s["m"] - F.col("_n")) <= s["k"])).alias("s"))
+    starts = F.sequence(F.greatest(F.col("s.at") - F.col("s.k"), F.lit(0)), F.col("s.at") + F.col("s.k"))
+    probes = probes.select(*tokens.columns, "_n", "s.m", "s.i", "s.size", F.explode(starts).alias("start"))
+    return probes.where(F.col("start") + F.col("size") <= F.col("_n")).drop("_n")
+
+
+def _by_pieces(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    told = _pieces(terms)
+    probes = _probes(tokens, told, F.length("token")).select("token", "m", "i", F.col("token").substr(F.col("start") + 1, F.col("size")).alias("piece")).distinct()
     return probes.join(told, ["m", "i", "piece"]).select("token", "term", "ord", "k").distinct()
 
 
@@ -70,18 +81,38 @@ def repair(rows: DataFrame, token: str, terms: DataFrame, term_out: str = "repai
     return out.withColumns({term_out: F.coalesce("_term", token), ratio_out: F.coalesce("_ratio", F.lit(TOLERANCE))}).drop("_token", "_term", "_ratio")
 
 
-def nearest_readings(rows: DataFrame, cand: str, terms: DataFrame) -> DataFrame:
+def _lattices_by_length(lattices: DataFrame, terms: DataFrame) -> DataFrame:
+    reach = terms.withColumn("n", F.explode(F.sequence(F.greatest(F.length("term") - F.col("k"), F.lit(0)), F.length("term") + F.col("k"))))
+    return lattices.withColumn("n", F.size("_cand")).join(F.broadcast(reach), "n").select("_cand", "term", "ord")
+
+
+def _lattices_by_pieces(lattices: DataFrame, terms: DataFrame) -> DataFrame:
+    """Pairs of a lattice and a term of which a piece stands, as it is, in some reading.
+
+    A piece has four characters at most, so a place of it has at most KEPT ** 4 readings; a lattice is told by a number while
+    pieces are met.
+    """
+    told = _pieces(terms)
+    lattices = lattices.withColumn("_no", F.xxhash64("_cand")).withColumn("_c", lattice.capped(F.col("_cand")))
+    probes = _probes(lattices.select("_no", "_c"), told, F.size("_c"))
+    probes = probes.select("_no", "m", "i", F.explode(lattice.readings(F.slice("_c", F.col("start") + 1, F.col("size")))).alias("piece")).distinct()
+    pairs = probes.join(told, ["m", "i", "piece"]).select("_no", "term", "ord").distinct()
+    return pairs.join(lattices.select("_no", "_cand"), "_no").select("_cand", "term", "ord")
+
+
+def nearest_readings(rows: DataFrame, cand: str, terms: DataFrame, pieces: bool | None = None) -> DataFrame:
     """``rows`` with ``term`` and ``ratio``: the nearest term of any reading of a lattice, else its first reading and 0.25.
 
-    Each distinct lattice meets the terms of a length that can match (a dictionary of checked size is broadcast once
-    for each length, a larger one is shuffled by it).  A small function tells the distance and reading of one lattice and
-    one term; of equal ratios the lower reading wins, then the term with the least ord.
+    Each distinct lattice meets the terms of a length that can match, of a dictionary of checked size that is broadcast once
+    for each length, or, for a larger one, the terms of which it can read a piece.  ``pieces`` chooses the join; by default the
+    size of the dictionary does.  A small function tells the distance and reading of one lattice and one term; of equal
+    ratios the lower reading wins, then the term with the least ord.
     """
     terms = terms.groupBy("term").agg(F.min("ord").alias("ord")).withColumn("k", edits_allowed(F.length("term")))
-    small = terms.limit(SMALL + 1).count() <= SMALL
-    reach = terms.withColumn("n", F.explode(F.sequence(F.greatest(F.length("term") - F.col("k"), F.lit(0)), F.length("term") + F.col("k"))))
+    if pieces is None:
+        pieces = terms.limit(SMALL + 1).count() > SMALL
     lattices = rows.select(F.col(cand).alias("_cand")).where(F.col("_cand").isNotNull()).distinct()
-    pairs = lattices.withColumn("n", F.size("_cand")).join(F.broadcast(reach) if small else reach, "n")
+    pairs = (_lattices_by_pieces if pieces else _lattices_by_length)(lattices, terms)
 
     @F.pandas_udf("struct<edits:int,reading:long>")
     def fit(cands: pd.Series, words: pd.Series) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,27 +17,116 @@ def ordered_concat(rows: DataFrame, by: list[str], order: list[str], text: str,
     return rows.groupBy(*by).agg(F.array_join(F.transform(told, lambda s: s["_t"]), separator).alias(out))
 
 
-def in_scope(rows: DataFrame, by: list[str], order: list[str], indent: str, opens: Column, out: str) -> DataFrame:
-    """Whether each row lies in the scope of the latest opener: no row since it is indented less than it.
+#: Of a table whose groups may be large, a group of more rows is read in parts, each in a task of its own, with what came before as a carry.
+MOST_ROWS = 1_000_000
 
-    The opener itself is in its scope; a row before any opener is in none.
-    """
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = rows.withColumn("_opens", opens).withColumn("_run", F.sum(F.col("_opens").cast("int")).over(w))
-    run = Window.partitionBy(*by, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = (F.col("_run") > 0) & (F.min(indent).over(run) >= F.first(indent).over(run))
-    return rows.withColumn(out, inside).drop("_opens", "_run")
+
+def _same(left: DataFrame, right: DataFrame, by: list[str]) -> tuple[DataFrame, Column]:
+    """``right`` with its key columns renamed, and the condition that keys are the same, nulls too."""
+    names = {c: f"_k{i}" for i, c in enumerate(by)}
+    return right.withColumnsRenamed(names), reduce(Column.__and__, [left[c].eqNullSafe(F.col(k)) for c, k in names.items()])
+
+
+def _with(rows: DataFrame, told: DataFrame, by: list[str], few: bool = True) -> DataFrame:
+    """``rows`` with the columns of a table that has a row for some of their keys; ``few`` if it has a row for each part of a large group at most."""
+    told, same = _same(rows, told, by)
+    return rows.join(F.broadcast(told) if few else told, same, "left").drop(*[f"_k{i}" for i in range(len(by))])
+
+
+def _number(rows: DataFrame, column: str) -> Column:
+    kind = rows.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if not isinstance(kind, T.NumericType):
+        raise ValueError(f"{column} must be a number or a time")
+    return F.col(column)
 
 
-def seen_before(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+def in_parts(rows: DataFrame, by: list[str], order: list[str], most: int | None) -> DataFrame:
+    """``rows`` with ``_part``, which cuts groups of more than ``most`` rows along their order, and ``_large``, which groups these are.
+
+    Cuts are quantiles of the first order column, so rows with the same value there lie in one part; there are as many as
+    Spark shuffles to.  A part of a lesser number holds rows that come before.  Large groups are at most a ``most``-th as
+    many as there are rows.  Without ``most`` all groups are whole, as those of documents may be: each is a text.  ``rows``
+    are read several times, so they are best a table.
+    """
+    if most is None:
+        return rows.withColumns({"_part": F.lit(0), "_large": F.lit(False)})
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
+    right, same = _same(rows, large, by)
+    cuts = rows.join(F.broadcast(right), same, "left_semi").groupBy(*by).agg(F.percentile_approx(_number(rows, order[0]), [k / parts for k in range(1, parts)]).alias("_cuts"))
+    told = _with(rows, cuts, by)
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < _number(rows, order[0]))), F.lit(0))
+    return told.withColumns({"_part": F.when(F.col("_cuts").isNull(), 0).otherwise(part), "_large": F.col("_cuts").isNotNull()}).drop("_cuts")
+
+
+def in_scope(rows: DataFrame, by: list[str], order: list[str], indent: str, opens: Column, out: str, most: int | None = None) -> DataFrame:
+    """Whether each row lies in the scope of the latest opener: no row since it is indented less than it.
+
+    The opener itself is in its scope; a row before any opener is in none.  A group of more than ``most`` rows is read in
+    parts: each hands on the indent of its last opener, and the least since.
+    """
+    rows = in_parts(rows.withColumn("_opens", opens), by, order, most)
+    part = [*by, "_part"]
+    rows = rows.withColumn("_run", F.sum(F.col("_opens").cast("int")).over(Window.partitionBy(*part).orderBy(*order)))
+    runs = rows.where("_large").groupBy(*part, "_run").agg(F.min(indent).alias("low"), F.min_by(indent, F.struct(*order)).alias("start"))
+    last = F.max(F.struct(F.coalesce("_run", F.lit(0)).alias("run"), "start", "low")).alias("l")
+    ends = runs.groupBy(*part).agg(last).select(*part, (F.col("l.run") > 0).alias("opened"), F.col("l.start").alias("start"), F.col("l.low").alias("low"))
+    before = Window.partitionBy(*by).orderBy("_part")
+    ends = ends.withColumn("since", F.sum(F.col("opened").cast("int")).over(before))
+    since = Window.partitionBy(*by, "since").orderBy("_part")
+    ends = ends.withColumns({"start": F.last(F.when(F.col("opened"), F.col("start")), True).over(before), "low": F.min("low").over(since)})
+    carry = ends.select(*part, F.lag("start").over(before).alias("_start"), F.lag("low").over(before).alias("_low"))
+    rows = _with(rows, carry, part)
+    run = Window.partitionBy(*part, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.min(indent).over(run)
+    inside = F.when(F.col("_run") > 0, here >= F.first(indent).over(run)).otherwise(F.coalesce(F.least("_low", here) >= F.col("_start"), F.lit(False)))
+    return rows.withColumn(out, inside).drop("_opens", "_run", "_part", "_large", "_start", "_low")
+
+
+def seen_before(rows: DataFrame, by: list[str], order: list[str], name: str, most: int | None = None) -> DataFrame:
     """``rows`` with ``n_visible``, the distinct names in earlier rows of the group, and ``is_visible``, whether the row's own is one.
 
-    A name counts where it comes first, so the state of a row is a number, not a list that grows with the group.
+    A name counts where it comes first, so the state of a row is a number, not a list that grows with the group.  A group
+    of more than ``most`` rows is read in parts: each hands on how many names came first in it.
+    """
+    rows = in_parts(rows, by, order, most)
+    part = [*by, "_part"]
+    earliest = rows.where("_large").groupBy(*by, name).agg(F.min("_part").alias("_least"))
+    rows = _with(rows, earliest, [*by, name], few=False)
+    own = F.row_number().over(Window.partitionBy(*part, name).orderBy(*order)) == 1
+    rows = rows.withColumn("_first", own & (F.col("_part") == F.coalesce("_least", F.col("_part"))))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.where("_large").groupBy(*part).agg(F.sum(F.col("_first").cast("long")).alias("n")).select(*part, F.sum("n").over(before).alias("_n"))
+    rows = _with(rows, carry, part)
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    visible = F.coalesce(F.sum(F.col("_first").cast("long")).over(w), F.lit(0)) + F.coalesce("_n", F.lit(0))
+    return rows.withColumn("n_visible", visible).withColumn("is_visible", ~F.col("_first")).drop("_first", "_part", "_large", "_least", "_n")
+
+
+def latest_before(uses: DataFrame, bindings: DataFrame, by: list[str], order: list[str], name: str, out: str = "bound", most: int | None = None) -> DataFrame:
+    """``uses`` with the latest binding of their name that comes before them in their group, as a struct of ``bindings``' other columns, or null.
+
+    Both tables have ``by``, ``order`` and ``name``; a binding at the same place as a use doesn't count, and of bindings of
+    a name at one place the greatest does.  An as-of join: both are read in one order, and of each name only its last
+    binding is held.  The rows of a name are cut into parts, if there are more than ``most``, each with the last binding before.
     """
-    first = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order)) == 1
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_first", first)
-    return rows.withColumn("n_visible", F.coalesce(F.sum(F.col("_first").cast("long")).over(w), F.lit(0))).withColumn("is_visible", ~F.col("_first")).drop("_first")
+    keys = [*by, name]
+    told = F.struct(*[F.col(c) for c in bindings.columns if c not in keys])
+    given = F.struct(*[F.col(c) for c in uses.columns])
+    left = uses.select(*keys, *order, F.lit(0).alias("_turn"), given.alias("_use"), F.lit(None).cast(bindings.select(told.alias("b")).schema["b"].dataType).alias("_bound"))
+    right = bindings.select(*keys, *order, F.lit(1).alias("_turn"), F.lit(None).cast(uses.select(given.alias("u")).schema["u"].dataType).alias("_use"), told.alias("_bound"))
+    rows = in_parts(left.unionByName(right), keys, order, most)
+    part, place = [*keys, "_part"], [*order, "_turn", "_bound"]
+    last = rows.where("_large and _turn = 1").groupBy(*part).agg(F.max(F.struct(*order, "_bound"))["_bound"].alias("b"))
+    # a part without a binding hands on what it was handed
+    parts = _with(rows.where("_large").select(*part).distinct(), last, part)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = _with(rows, parts.select(*part, F.last("b", True).over(before).alias("_carry")), part)
+    w = Window.partitionBy(*part).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(out, F.coalesce(F.last("_bound", True).over(w), "_carry"))
+    return rows.where("_turn = 0").select("_use.*", out)
 
 
 class Levels:

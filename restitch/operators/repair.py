@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restitch.functions.text import indented, naive_fix
-from restitch.operators.ordered import in_scope
+from restitch.operators.ordered import in_scope, latest_before
 from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, table
 
 #: The built-in functions that a call may mean.
@@ -188,6 +188,22 @@ def symbols(lines: DataFrame) -> DataFrame:
     return told.select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
 
 
+#: Lines that bind or open something: their names aren't uses.
+_BINDS = ["import (.*)", "import (.*?) as (.*)", "from (.*?) import (.*)", r"def (VARIABLE)\((PARAMETERS)\):", "class (VARIABLE):", r"for (VARIABLE) in (STATEMENT):", r"for (VARIABLE) in range\((STATEMENT)\):", "(VARIABLE) = (STATEMENT)"]
+
+
+def references(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, term, bound) for each name on a line that binds nothing: ``bound`` is the line_no and kind of the latest binding before it, or null.
+
+    A name that is bound again, as another kind too, refers to its last binding; what is bound inside an open def isn't seen.
+    """
+    matched = with_scopes(classified(lines))
+    bound = matched.select("doc_id", "line_no", bound_names().alias("s")).where("s is not null").select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
+    used = matched.where(F.col("match.rule").isNotNull() & ~F.col("match.template").isin(_BINDS))
+    used = used.select("doc_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("match.text", F.lit("[a-z_]+"), F.lit(0)))).alias("term"))
+    return latest_before(used, bound, ["doc_id"], ["line_no"], "term")
+
+
 _LINES = "doc_id {}, line_no int, indent int, raw string, fixed string"
 
 

@@ -177,8 +177,8 @@ def lattice_size_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
                 SELECT *, CASE word[place + 1] WHEN 'l' THEN ['l', '1', 'i'] WHEN 'o' THEN ['o', '0'] WHEN 'e' THEN ['e', 'c', '6'] ELSE [word[place + 1]] END AS c FROM read WHERE place < length(word))))
     SELECT p_partkey, reading_no, reading FROM read WHERE place = length(word)""")
 def permutations_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "part").select("p_partkey", lattice.capped(lattice.spell(F.split("p_name", " ")[0], CONFUSIONS)).alias("cand"))
-    return words.select("p_partkey", F.posexplode(lattice.readings(F.col("cand"))).alias("reading_no", "reading")).withColumn("reading_no", F.col("reading_no").cast("long"))
+    words = table(spark, sf_dir, "part").select("p_partkey", lattice.spell(F.split("p_name", " ")[0], CONFUSIONS).alias("cand"))
+    return lattice.with_readings(words, "cand", "reading_no", "reading").drop("cand")
 
 
 # ---------------------------------------------------------------- rules
@@ -223,7 +223,11 @@ PROGRAM = ["import math", "{a} = {n}", "def {b}({a}):", "  return {a} + 1", "for
 HASKELL_PROGRAM = ["let {a} = {n}", "{b} x y = x + y", "{a} = {b} 1 2", "main {a}"]
 
 
-def _programs(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
+#: Letters that are misread, and what as.
+NOISE = {"l": ["1", "l"], "o": ["0", "o"], "m": ["n", "m"], "u": ["v"]}
+
+
+def _programs(spark: SparkSession, sf_dir: str, lines: list[str], noise: dict[str, list[str]] = NOISE) -> DataFrame:
     """Lines of a program for each part, as lattices read from a text in which some letters are misread."""
     words = F.split("p_name", " ")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), words[0].alias("a"), F.element_at(words, -1).alias("b"), F.col("p_size").cast("string").alias("n"))
@@ -234,8 +238,7 @@ def _programs(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
     line = F.col("line")
     for name in ("a", "b", "n"):
         line = F.replace(line, F.lit(f"{{{name}}}"), F.col(name))
-    noise = {"l": ["1", "l"], "o": ["0", "o"], "m": ["n", "m"], "u": ["v"]}
-    return told.select("doc_id", "line_no", "indent", line.alias("expected"), lattice.spell(line, noise).alias("cand"))
+    return told.select("doc_id", "line_no", "indent", line.alias("expected"), lattice.spell(line, noise or {" ": [" "]}).alias("cand"))
 
 
 def _first(sql: str) -> str:
@@ -381,7 +384,7 @@ def repaired_code_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIGITS = {"0": ["0", "o"], "1": ["1", "l", "i"], "4": ["4", "a"], "3": ["3", "e"]}
 
 
-@query("""
+_NEAREST_LATTICE = """
     WITH RECURSIVE words AS (SELECT p_partkey, translate(string_split(p_name, ' ')[-1], 'loae', '1043') || CASE WHEN p_size % 4 = 0 THEN 'x' ELSE '' END AS noisy FROM part),
     read AS (
         SELECT noisy, 0 AS place, '' AS reading, 0::BIGINT AS no, 1::BIGINT AS radix FROM (SELECT DISTINCT noisy FROM words)
@@ -392,14 +395,27 @@ DIGITS = {"0": ["0", "o"], "1": ["1", "l", "i"], "4": ["4", "a"], "3": ["3", "e"
     terms AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS term FROM part),
     near AS (SELECT noisy, term, levenshtein(reading, term) / length(term) AS ratio, row_number() OVER (PARTITION BY noisy ORDER BY levenshtein(reading, term) / length(term), no, term) AS k
              FROM read JOIN terms ON levenshtein(reading, term) < 0.25 * length(term) WHERE place = length(noisy))
-    SELECT p_partkey, w.noisy, coalesce(term, w.noisy) AS term, coalesce(ratio, 0.25) AS ratio FROM words w LEFT JOIN near ON near.noisy = w.noisy AND k = 1""")
+    SELECT p_partkey, w.noisy, coalesce(term, w.noisy) AS term, coalesce(ratio, 0.25) AS ratio FROM words w LEFT JOIN near ON near.noisy = w.noisy AND k = 1"""
+
+
+@query(_NEAREST_LATTICE)
 def nearest_lattice_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest_lattice(spark, sf_dir, None)
+
+
+@query(_NEAREST_LATTICE)
+def nearest_lattice_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the join for large dictionaries."""
+    return _nearest_lattice(spark, sf_dir, True)
+
+
+def _nearest_lattice(spark: SparkSession, sf_dir: str, pieces: bool | None) -> DataFrame:
     part = table(spark, sf_dir, "part")
     word = F.element_at(F.split("p_name", " "), -1)
     noisy = F.concat(F.translate(word, "loae", "1043"), F.when(F.col("p_size") % 4 == 0, "x").otherwise(""))
     told = part.select("p_partkey", noisy.alias("noisy")).withColumn("cand", lattice.spell(F.col("noisy"), DIGITS))
     terms = part.select(word.alias("term")).distinct().withColumn("ord", F.col("term"))
-    return dictionary.nearest_readings(told, "cand", terms).select("p_partkey", "noisy", "term", "ratio")
+    return dictionary.nearest_readings(told, "cand", terms, pieces).select("p_partkey", "noisy", "term", "ratio")
 
 
 _ARGS = "replace(p_name, ' ', ', ') || '(a, (b, c)), ' || p_size || CASE WHEN p_size % 5 = 0 THEN ',' WHEN p_size % 5 = 1 THEN ' (x,' ELSE '' END"
@@ -590,7 +606,49 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     WINDOW w AS (PARTITION BY user_id, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def scope_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.floor("value") % 4).alias("indent"), "event_type")
-    return ordered.in_scope(rows, ["user_id"], ["ts", "event_id"], "indent", F.col("event_type") == "signup", "in_def").select("event_id", "indent", "in_def")
+    return ordered.in_scope(rows, ["user_id"], ["ts", "event_id"], "indent", F.col("event_type") == "signup", "in_def", most=ordered.MOST_ROWS).select("event_id", "indent", "in_def")
+
+
+#: A program whose names are bound again, as another kind and inside a function.
+BINDINGS = [
+    "import math", "{a} = {n}", "print({a})", "import os as {a}", "{a}.sqrt({n})", "{a} = 2", "print({a}, math)", "def {b}({a}):", "  {a} = 3", "  print({a}, {b})", "from sys import {a}, {b}", "{b}({a}, {n})",
+]
+
+
+@query(f"""
+    WITH {_PARTS},
+    bound AS (
+        SELECT doc_id, 0 AS line_no, 'math' AS term, 'import' AS kind FROM parts UNION ALL SELECT doc_id, 1, a, 'variable' FROM parts UNION ALL SELECT doc_id, 3, a, 'import' FROM parts
+        UNION ALL SELECT doc_id, 5, a, 'variable' FROM parts UNION ALL SELECT doc_id, 10, a, 'import' FROM parts UNION ALL SELECT doc_id, 10, b, 'import' FROM parts),
+    texts AS (SELECT doc_id, unnest([{{'n': 2, 't': 'print(' || a || ')'}}, {{'n': 4, 't': a || '.sqrt(' || n || ')'}}, {{'n': 6, 't': 'print(' || a || ', math)'}}, {{'n': 9, 't': 'print(' || a || ', ' || b || ')'}},
+        {{'n': 11, 't': b || '(' || a || ', ' || n || ')'}}], recursive := true) FROM parts),
+    used AS (SELECT DISTINCT doc_id, n AS line_no, unnest(regexp_extract_all(t, '[a-z_]+')) AS term FROM texts),
+    seen AS (SELECT u.doc_id, u.line_no, u.term, max(b.line_no) AS bound_at FROM used u LEFT JOIN bound b ON b.doc_id = u.doc_id AND b.term = u.term AND b.line_no < u.line_no GROUP BY ALL)
+    SELECT s.doc_id, s.line_no, s.term, bound_at, any_value(kind) AS kind FROM seen s LEFT JOIN bound b ON b.doc_id = s.doc_id AND b.term = s.term AND b.line_no = bound_at GROUP BY ALL""")
+def bindings_in_sight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each name in a call, the line and kind of the binding that it refers to: the latest before it, if any."""
+    lines = _programs(spark, sf_dir, BINDINGS, {})
+    return repair.references(lines).select("doc_id", "line_no", "term", F.col("bound.line_no").alias("bound_at"), F.col("bound.kind").alias("kind"))
+
+
+@query("""
+    WITH f AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) = 1 AS is_first FROM events)
+    SELECT event_id, coalesce(sum(is_first::INTEGER) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_visible, NOT is_first AS is_visible FROM f""")
+def users_seen_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few types hold all events: each is read in parts."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "user_id")
+    return ordered.seen_before(rows, ["event_type"], ["ts", "event_id"], "user_id", most=1000).select("event_id", "n_visible", "is_visible")
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, ts, floor(value)::BIGINT % 4 AS indent, user_id % 50 = 0 AS opens FROM events),
+    runs AS (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS run FROM e)
+    SELECT event_id, indent, run > 0 AND min(indent) OVER w >= first_value(indent) OVER w AS in_scope FROM runs
+    WINDOW w AS (PARTITION BY event_type, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def scopes_of_large_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scopes that run on through many parts of a group."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", (F.floor("value") % 4).alias("indent"), "user_id")
+    return ordered.in_scope(rows, ["event_type"], ["ts", "event_id"], "indent", F.col("user_id") % 50 == 0, "in_scope", most=1000).select("event_id", "indent", "in_scope")
 
 
 @query("""
@@ -599,7 +657,7 @@ def scope_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
            NOT is_first AS is_visible FROM f""")
 def running_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    return ordered.seen_before(rows, ["user_id"], ["ts", "event_id"], "event_type").select("event_id", "event_type", "n_visible", "is_visible")
+    return ordered.seen_before(rows, ["user_id"], ["ts", "event_id"], "event_type", most=ordered.MOST_ROWS).select("event_id", "event_type", "n_visible", "is_visible")
 
 
 @query("""

@@ -102,6 +102,14 @@ def test_lattice_columns(spark):
         assert r.n == math.prod(min(len(c), 3) for c in r.c) and r.m == sum(len(c) > 1 for c in r.c)
     small = df.where("size(c) < 5").select("c", lattice.readings(lattice.capped(F.col("c"))).alias("r")).collect()
     assert all(r.r == brute_readings(rules.capped(r.c)) for r in small)
+    one = spark.createDataFrame([(i, x) for i, x in enumerate([[["a"], []], None, *lats])], "i int, c array<array<string>>")
+    told: dict = {}
+    for r in lattice.with_readings(one, "c", "no", "text").collect():
+        told.setdefault(r.i, {})[r.no] = r.text
+    assert set(told) == {2, 3, 4, 5}
+    for i, x in enumerate(lats, 2):
+        want = brute_readings(rules.capped(x))
+        assert told[i] == dict(enumerate(want))
     words = spark.createDataFrame([([[["a"], ["b", "c"]], [["d"]]],)], "w array<array<array<string>>>")
     assert words.select(lattice.join_words(F.col("w")).alias("x")).first().x == [["a"], ["b", "c"], [" "], ["d"]]
 

@@ -93,6 +93,38 @@ def test_dictionary_join_like_brute_force(spark, pieces):
         assert got[i] == ((best[2], round(best[0], 9)) if best else (t, 0.25))
 
 
+@pytest.mark.parametrize("pieces", [False, True])
+def test_lattice_join_like_brute_force(spark, pieces):
+    rng = random.Random(6)
+    terms = ["".join(rng.choice("abcd\u00e9") for _ in range(rng.randrange(1, 14))) for _ in range(80)]
+    lats = [[], [["a"]], *[[[c] for c in t] for t in terms[:10]]]
+    for t in terms * 2:
+        w = list(t)
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = rng.choice("abcdex")
+            if rng.random() < 0.3:
+                w.insert(rng.randrange(len(w)), "z")
+        lats.append([list(dict.fromkeys([rng.choice("abcdez\u00e9"), c, rng.choice("abx")])) if rng.random() < 0.3 else [c] for c in w])
+    td = spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, ord int")
+    rows = spark.createDataFrame([*enumerate(lats), (-1, None)], "id int, cand array<array<string>>")
+    got = {r.id: (r.term, round(r.ratio, 9)) for r in dictionary.nearest_readings(rows, "cand", td, pieces).collect()}
+    assert got.pop(-1) == (None, 0.25)
+    for i, lat in enumerate(lats):
+        term, ratio = rules.nearest(lat, terms)
+        assert got[i] == (term, round(ratio, 9)), lat
+
+
+def test_large_lattice_dictionary_is_met_by_pieces(spark):
+    """40,000 terms and lattices: pairs that share a length alone would be hundreds of millions."""
+    n = 40_000
+    word = F.substring(F.md5(F.col("id").cast("string")), 1, 12)
+    terms = spark.range(n).select(word.alias("term"), F.col("id").cast("int").alias("ord"))
+    rows = spark.range(n).select("id", word.alias("w")).withColumn("noisy", F.overlay("w", F.lit("x"), (F.col("id") % 12 + 1).cast("int"), F.lit(1)))
+    rows = rows.withColumn("cand", lattice.spell(F.col("noisy"), {"0": ["0", "o"], "x": ["x", "y"]}))
+    found = dictionary.nearest_readings(rows, "cand", terms)
+    assert found.where("term = w and abs(ratio - 1 / 12D) < 1e-9").count() == n
+
+
 def test_dictionary_plan_has_no_nested_loop(spark):
     td = spark.createDataFrame([("alpha", 0), ("beta", 1)], "term string, ord int")
     rows = spark.createDataFrame([("alpga",), ("beto",)], "token string")
