@@ -829,3 +829,14 @@ def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     told = cache.cache_status(events)
     return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")
+
+
+@query("""
+    SELECT event_id, user_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 'hit' ELSE 'miss' END AS status FROM events""")
+def ttl_cache_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state with a time to live: keys that have expired leave none."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    with cache.timers(spark):
+        told = cache.expiring_status(events)
+        return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")

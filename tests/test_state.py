@@ -190,3 +190,30 @@ def test_stream_of_first_uploads_and_store(spark, tmp_path):
     assert sorted(r.key for r in cache.replay(spark, first, first._jdf.schema().toDDL()).collect()) == ["a", "b"]
     cache.save_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "blobs"), str(tmp_path / "state")).awaitTermination()
     assert files.blobs(spark, str(tmp_path / "blobs")).count() == 2
+
+
+def test_expired_keys_leave_no_state(spark, tmp_path):
+    """Statuses as by plain Python, over batches; late events are left out, and what is left in the state is what could still be hit."""
+    rng = random.Random(5)
+    at = datetime(2024, 1, 1)
+    batches = [[(k * 100 + i, f"u{rng.randrange(12)}", at + timedelta(seconds=k * 900 + rng.randrange(900))) for i in range(30)] for k in range(6)]
+    batches.append([(900, "u0", at), (901, "new", at + timedelta(hours=9))])  # too late, and far ahead
+    df = lambda rows: spark.createDataFrame(rows, "event_id long, user_id string, ts timestamp")
+    for rows in batches:
+        df(rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df(batches[0]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with cache.timers(spark):
+        told = cache.expiring_status(stream, delay="10 minutes")
+        query = told.writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {r.event_id: r.status for r in spark.table("expiring").collect()}
+    last: dict = {}
+    want = {}
+    for rows in batches[:-1]:
+        for i, key, t in sorted(rows, key=lambda r: (r[2], r[0])):
+            want[i] = "hit" if key in last and t - last[key] <= timedelta(seconds=1800) else "miss"
+            last[key] = max(t, last.get(key, t))
+    want[901] = "miss"
+    assert got == want and set(want.values()) == {"hit", "miss"}
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(states) >= 12 and states[-1] <= 2, states
