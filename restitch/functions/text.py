@@ -46,14 +46,31 @@ def restore_literal(token: Column) -> Column:
 def split_args(args: Column) -> Column:
     """Arguments at top-level commas (parentheses nest), trimmed; none of a blank string.  A trailing comma adds an empty one.
 
-    The text is cut at every comma, and a piece goes on with the next while more parentheses are open than closed.
+    A parenthesis that closes none, and one that is left open, make the rest one argument.  One pass of an expression cuts
+    what has no or closed parentheses, NESTED deep at most; what is nested deeper is cut at every comma, and a piece goes on
+    with the next while more parentheses are open than closed.
     """
+    flat = rf"^(?:[^()]|{_nested(NESTED)})*+$"
+    pieces = F.regexp_extract_all(F.concat(args, F.lit(",")), F.lit(rf"((?:[^(),]|{_nested(NESTED)})*+),"), F.lit(1))
+    whole = F.when(args.rlike(flat), pieces).otherwise(_split_deep(args))
+    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(whole, lambda p: F.trim(p)))
+
+
+#: How deep parentheses nest for arguments to be cut in one pass.
+NESTED = 6
+
+
+def _nested(depth: int) -> str:
+    """An expression for a pair of parentheses with such pairs inside."""
+    return r"\([^()]*+\)" if depth == 1 else rf"\((?:[^()]|{_nested(depth - 1)})*+\)"
+
+
+def _split_deep(args: Column) -> Column:
     pieces = F.split(args, ",", -1)
     count = lambda p, c: F.length(p) - F.length(F.replace(p, F.lit(c), F.lit("")))
     open_after = running_sum(F.transform(pieces, lambda p: count(p, "(") - count(p, ")")))
     marked = F.array_join(F.zip_with(pieces, open_after, lambda p, d: F.concat(p, F.when(d == 0, F.lit("\1")).otherwise(F.lit(",")))), "")
-    whole = F.split(F.substr(marked, F.lit(1), F.length(marked) - 1), "\1", -1)
-    return F.when(F.trim(args) == "", F.array().cast("array<string>")).otherwise(F.transform(whole, lambda p: F.trim(p)))
+    return F.split(F.substr(marked, F.lit(1), F.length(marked) - 1), "\1", -1)
 
 
 def running_sum(numbers: Column) -> Column:

@@ -41,7 +41,8 @@ def cache_status(events: DataFrame, key: str, ts: str, order: list[str], ttl: in
 
 
 def read_through(requests: DataFrame, cache: DataFrame, blobs: DataFrame, key: str, value: str) -> DataFrame:
-    """``requests`` with the value of the cache, or else of the blobs, and which of them had it."""
-    out = requests.join(cache.select(key, F.col(value).alias("_c")), key, "left").join(blobs.select(key, F.col(value).alias("_b")), key, "left")
+    """``requests`` with the value of the cache, or else of the blobs, and which of them had it; of a key's values the greatest."""
+    once = lambda held, name: held.groupBy(key).agg(F.max(value).alias(name))
+    out = requests.join(once(cache, "_c"), key, "left").join(once(blobs, "_b"), key, "left")
     told = F.when(F.col("_c").isNotNull(), "cache").when(F.col("_b").isNotNull(), "blob")
     return out.withColumns({value: F.coalesce("_c", "_b"), "found_in": told}).drop("_c", "_b")

@@ -497,9 +497,11 @@ def _pictures_sql() -> str:
     left = lambda x: 10 * (len(x) - len(x.lstrip()))
     size = f"greatest({', '.join(f'{left(x)} + {_width(x)}' for x in PROGRAM)})"
     boxes = " UNION ALL ".join(f"SELECT doc_id, {k + 1} AS line, {left(x)} AS x, {30 * k} AS y, {_width(x)} AS width FROM parts" for k, x in enumerate(PROGRAM))
+    place = lambda x, width: f"""'{{"x":' || {x} || '.0,"y":' || y || '.0,"width":' || {width} || '.0,"height":25.0}}'"""
+    char = f"""CASE WHEN col >= 1 AND 10 * col <= width THEN ',"character":' || {place("x + 10 * (col - 1)", "10")} ELSE '' END"""
     return f"""WITH {_FAULTS}, boxes AS ({boxes}), sized AS (SELECT doc_id, {size} AS size FROM parts), texts AS (SELECT {_program_columns(PROGRAM, _WRITTEN)} FROM parts),
         marked AS (
-            SELECT doc_id, count(*) AS n, string_agg('{{"line":{{"x":' || x || '.0,"y":' || y || '.0,"width":' || width || '.0,"height":25.0}}}}', ',' ORDER BY line, col) AS places
+            SELECT doc_id, count(*) AS n, string_agg('{{"line":' || {place("x", "width")} || {char} || '}}', ',' ORDER BY line, col) AS places
             FROM faults JOIN boxes USING (doc_id, line) GROUP BY doc_id)
         SELECT doc_id, code AS unfixed, fixed_code AS fixed, n::INTEGER AS n_errors,
                '{{"dimensions":{{"width":' || size || '.0,"height":295.0}},"bbox":{{"min_x":0.0,"min_y":0.0,"max_x":' || size || '.0,"max_y":295.0}},"errors":[' || places || ']}}' AS overlay
@@ -511,7 +513,9 @@ def submitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _programs(spark, sf_dir, PROGRAM)
     wide = F.size("cand") * 10.0
     boxes = lines.select("doc_id", "line_no", (F.col("indent") * 20.0).alias("x"), (F.col("line_no") * 30.0).alias("y"), wide.alias("width"), F.lit(25.0).alias("height"))
-    return service.submit(lines, boxes).select("doc_id", "unfixed", "fixed", F.size("errors").alias("n_errors"), "overlay")
+    chars = boxes.join(lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.size("cand") - 1)).alias("char_no")), ["doc_id", "line_no"])
+    chars = chars.withColumns({"x": F.col("x") + 10.0 * F.col("char_no"), "width": F.lit(10.0)})
+    return service.submit(lines, boxes, chars).select("doc_id", "unfixed", "fixed", F.size("errors").alias("n_errors"), "overlay")
 
 
 @query("""

@@ -38,29 +38,41 @@ def tests_due(errors: Column, template: Column) -> Column:
     return (F.size(errors) == 0) & template.isNotNull()
 
 
-def submit(lines: DataFrame, boxes: DataFrame, language: str = "python3") -> DataFrame:
+def submit(lines: DataFrame, boxes: DataFrame, chars: DataFrame | None = None, language: str = "python3") -> DataFrame:
     """What a submitted picture gives: doc_id, unfixed, fixed, errors and overlay.
 
     ``lines`` has the lattices of lines (doc_id, line_no, indent, cand), ``boxes`` the places of lines (doc_id,
-    line_no, x, y, width, height).  Errors are those of the repaired code; each is given the place of its line.
+    line_no, x, y, width, height), ``chars`` those of characters (as boxes, with char_no from 0).  Errors are those of the
+    repaired code; each is given the place of its line and of the character before its column, where there are such.
     """
     code = repair.repaired_code(lines, language).select("doc_id", F.col("code").alias("unfixed"), F.col("fixed_code").alias("code"))
     code = collected_errors(code, "doc_id").withColumnRenamed("code", "fixed")
     box = evaluate.bounding_box(boxes, ["doc_id"], F.col("x"), F.col("y"), F.col("width"), F.col("height"))
-    at = boxes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("line_no") + 1).alias("line"), F.struct("x", "y", "width", "height")))).alias("_at"))
+    place = F.struct("x", "y", "width", "height")
+    each = code.select("doc_id", F.posexplode("errors").alias("pos", "e")).select("doc_id", "pos", "e.line", "e.column")
+    each = each.join(boxes.select("doc_id", (F.col("line_no") + 1).alias("line"), place.alias("_line")), ["doc_id", "line"], "left")
+    if chars is not None:
+        each = each.join(chars.select("doc_id", (F.col("line_no") + 1).alias("line"), (F.col("char_no") + 1).alias("column"), place.alias("_char")), ["doc_id", "line", "column"], "left")
+    else:
+        each = each.withColumn("_char", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
+    at = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("_line").alias("line"), F.col("_char").alias("character")).alias("at"))))
+    at = each.groupBy("doc_id").agg(F.transform(at, lambda s: s["at"]).alias("_at"))
     told = code.join(box, "doc_id", "left").join(at, "doc_id", "left")
-    places = F.transform("errors", lambda e: F.struct(F.try_element_at("_at", e["line"]).alias("line")))
+    places = F.coalesce("_at", F.array().cast(at.schema["_at"].dataType))
     return evaluate.overlay_json(told, F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), places).select("doc_id", "unfixed", "fixed", "errors", "overlay")
 
 
 def resubmit(rows: DataFrame, cache: DataFrame, blobs: DataFrame) -> DataFrame:
     """Requests (key, code, template) with errors, the image's content from the cache or else the store, and the test program.
 
-    ``program`` is the template with the code in its hole, null where tests are not due.
+    ``program`` is the template with the code in its hole, null where tests are not due.  A request that comes again is
+    answered again; each different code is looked at once.
     """
     from restitch.operators.store import read_through
 
-    told = read_through(collected_errors(rows.withColumn("_id", F.md5(F.concat_ws("\0", "key", "code"))), "_id").drop("_id"), cache, blobs, "key", "content")
+    rows = rows.withColumn("_id", F.md5(F.coalesce("code", F.lit(""))))
+    errors = collected_errors(rows.select("_id", "code").dropDuplicates(["_id"]), "_id").select("_id", "errors")
+    told = read_through(rows.join(errors, "_id", "left").drop("_id"), cache, blobs, "key", "content")
     return told.withColumn("program", F.when(tests_due(F.col("errors"), F.col("template")), fill_template(F.col("template"), F.col("code"))))
 
 

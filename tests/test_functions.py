@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -117,3 +118,15 @@ def test_lattice_columns(spark):
 def test_scaled_pixels(spark):
     got = spark.createDataFrame([([0, 51, 255],)], "p array<int>").select(lattice.scaled_pixels(F.col("p")).alias("x")).first().x
     assert [round(v, 6) for v in got] == [0, 0.2, 1]
+
+
+def test_many_arguments(spark):
+    """Cut in time proportional to their number; what nests deeper than one pass goes the other way."""
+    texts = ["f(a, b), " * 40_000 + "x", "a," * 200_000, "((((((((a, b)))))))), c", "(a, b", "a), b, c", "f(g(h(i(j(k(1, 2), 3)))), 4), (5, 6)", "(" * 3000 + ")" * 3000 + ",a"]
+    df = spark.createDataFrame(enumerate(texts), "i int, t string")
+    start = time.time()
+    got = {r.i: r.a for r in df.select("i", text.split_args(F.col("t")).alias("a")).collect()}
+    assert time.time() - start < 30
+    assert len(got[0]) == 40_001 and got[0][0] == "f(a, b)" and got[0][-1] == "x" and len(got[1]) == 200_001
+    assert got[2] == ["((((((((a, b))))))))", "c"] and got[3] == ["(a, b"] and got[4] == ["a), b, c"] and got[5] == ["f(g(h(i(j(k(1, 2), 3)))), 4)", "(5, 6)"]
+    assert got[6] == ["(" * 3000 + ")" * 3000, "a"]

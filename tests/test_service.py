@@ -83,3 +83,13 @@ def test_command_line(tmp_path):
     (tmp_path / "code.txt").write_text("x = 1\nprimt(x)")
     run = subprocess.run([sys.executable, "-m", "restitch", "--repair", str(tmp_path / "code.txt")], capture_output=True, text=True, timeout=120, check=True)
     assert run.stdout.strip().endswith("x = 1\nprint(x)")
+
+
+def test_requests_that_come_again(spark):
+    """Each is answered with its errors once, however often code, key, cache or store repeat it."""
+    rows = [("k", "foo(", "t{}"), ("k", "foo(", "t{}"), ("j", "foo(", None), ("k", "x = 1", "t{}"), (None, None, "t{}")]
+    held = [("k", b"1"), ("k", b"1"), ("j", b"2")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cache, blobs = df(held[:2], "key string, content binary"), df(held, "key string, content binary")
+    got = sorted((str(r.key), str(r.code), len(r.errors), str(r.found_in), r.program) for r in service.resubmit(df(rows, service.REQUEST), cache, blobs).collect())
+    assert got == [("None", "None", 0, "None", None), ("j", "foo(", 1, "blob", None), ("k", "foo(", 1, "cache", None), ("k", "foo(", 1, "cache", None), ("k", "x = 1", 0, "cache", "tx = 1")]
