@@ -203,6 +203,14 @@ HEADERS["LGPL-3.0-or-later"], HEADERS["LGPL-2.1-or-later"] = (
     HEADERS[g].replace("GNU General", "GNU Lesser General").replace("This program", "This library").replace("version 2 ", "version 2.1 ") for g in ("GPL-3.0-or-later", "GPL-2.0-or-later")
 )
 HEADERS["AGPL-3.0-or-later"] = HEADERS["GPL-3.0-or-later"].replace("GNU General", "GNU Affero General")
+HEADERS["Zlib"] = """Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required."""
 MORE = [("BSD-3-Clause", HEADERS["BSD-3-Clause"].replace("the copyright holder", who)) for who in ("the University of Nowhere", "Some Company, Inc.", "ACME")]
 MORE += [("Apache-2.0", HEADERS["Apache-2.0"].replace("Licensed under", 'Some Body licenses this file to you under'))]
 
