@@ -11,7 +11,7 @@ from restitch.functions import lattice, text
 from restitch.operators import automaton, dictionary, evaluate, ordered, repair, rules, store
 from restitch.operators.diagnostics import diagnostics
 from restitch.plans import service
-from restitch.sources import files
+from restitch.sources import containers, files
 from restitch.sources.files import predicted_scores
 from restitch.streaming import cache
 
@@ -844,3 +844,18 @@ def ttl_cache_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     with cache.timers(spark):
         told = cache.expiring_status(events)
         return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")
+
+
+@query("""
+    SELECT o_custkey::VARCHAR AS key, arg_max(o_orderpriority, (o_orderdate, o_orderpriority)) AS code, max(o_orderdate) AS ts
+    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY o_custkey""")
+def code_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of stored images, upserted in three batches, the second of them once more after the last."""
+    path = f"{cache.work_dir(spark)}/store"
+    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    images = customer.where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
+    containers.insert_absent(images, path, "images", 16)
+    code = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").cast("binary").alias("content"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    for k in (0, 1, 2, 1):
+        containers.save_code(code.where(F.col("o_orderkey") % 3 == k).drop("o_orderkey"), path, buckets=16)
+    return containers.read(spark, path, ["code"]).select("key", F.col("content").cast("string").alias("code"), F.col("ts").cast("timestamp_ntz").alias("ts"))

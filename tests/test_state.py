@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from restitch.operators import evaluate, ordered, store
-from restitch.sources import files
+from restitch.sources import containers, files
 from restitch.streaming import cache
 
 
@@ -217,3 +217,33 @@ def test_expired_keys_leave_no_state(spark, tmp_path):
     assert got == want and set(want.values()) == {"hit", "miss"}
     states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(states) >= 12 and states[-1] <= 2, states
+
+
+def test_store_in_buckets(spark, tmp_path):
+    """A batch rewrites the buckets that it touches only; tried again it changes nothing; code without an image is refused."""
+    path, at = str(tmp_path / "store"), datetime(2024, 1, 1)
+    df = lambda rows: spark.createDataFrame(rows, "key string, content binary, ts timestamp")
+    keys = [f"k{i}" for i in range(40)]
+    assert containers.read(spark, path, ["images"]).count() == 0
+    containers.insert_absent(df([(k, b"i", at) for k in keys]), path, "images", 8)
+    containers.insert_absent(df([("k1", b"other", at), ("k1", b"x", at), (None, b"x", at)]), path, "images", 8)
+    first = df([(k, b"1", at) for k in keys] + [("nobody", b"1", at)])
+    containers.save_code(first, path, buckets=8)
+    files_of = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in (tmp_path / "store" / "container=code").rglob("*.parquet")}
+    rows = lambda: {r.key: bytes(r.content) for r in containers.read(spark, path, ["code"]).collect()}
+    assert rows() == {k: b"1" for k in keys}
+    before = files_of()
+    later = df([("k3", b"2", at + timedelta(1)), ("k3", b"0", at), ("k3", b"3", at + timedelta(1))])
+    containers.save_code(later, path, buckets=8)
+    want = {k: b"1" for k in keys} | {"k3": b"3"}
+    assert rows() == want
+    changed = {f.split("/")[1] for f in set(files_of()) ^ set(before)}
+    assert len(changed) == 1
+    for batch in (first, later, first):
+        containers.save_code(batch, path, buckets=8)
+        assert rows() == want
+    asked = containers.read(spark, path, ["code", "images"], df([("k3", b"", at), ("zz", b"", at)]), 8)
+    assert sorted((r.container, r.key, bytes(r.content)) for r in asked.collect()) == [("code", "k3", b"3"), ("images", "k3", b"i")]
+    assert "PartitionFilters: [container" in asked._jdf.queryExecution().executedPlan().toString()
+    containers.save_code(df([]), path, buckets=8)
+    assert rows() == want
