@@ -35,12 +35,20 @@ class PerfectHash:
 
     Keys fall into buckets of about two.  Buckets with two or more keys, the largest first, get the first
     displacement that sends all their keys to free slots; a bucket of one key names its slot.  There are as many
-    slots as keys, and a lookup compares the key in its slot.
+    slots as keys, and a lookup compares the key in its slot.  What was found for each bucket can be handed on
+    (``found``), so that others only put keys in their slots.
     """
 
-    def __init__(self, values: dict[bytes, int]):
+    def __init__(self, values: dict[bytes, int], found: bytes | None = None):
         self.n = n = len(values)
         self.buckets = b = max(1, n // 2)
+        if found is not None:
+            self.shift, self.keys, self.values = array("q", found).tolist(), [None] * n, [0] * n
+            for key, v in values.items():
+                h = xxhash.xxh3_64_intdigest(key)
+                s = self._slot(h, self.shift[h % b])
+                self.keys[s], self.values[s] = key, v
+            return
         held: list[list[tuple[int, bytes]]] = [[] for _ in range(b)]
         for key in values:
             h = xxhash.xxh3_64_intdigest(key)
@@ -66,6 +74,9 @@ class PerfectHash:
                 s = self._slot(h, self.shift[i])
                 free[s], self.keys[s], self.values[s] = 0, key, values[key]
 
+    def found(self) -> bytes:
+        return array("q", self.shift).tobytes()
+
     def _slot(self, h: int, d: int) -> int:
         return -1 - d if d < 0 else (((h ^ d * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & _M64) >> 24) % self.n
 
@@ -101,33 +112,43 @@ def _ranges(chars: set[str]) -> str:
 
 
 @lru_cache(maxsize=2)
-def splitter(pattern: str) -> Callable[[str], list[str]]:
-    """Finds the matches of a pattern as the tokenizer library does.
-
-    The two libraries at hand know different versions of Unicode: a text with a character whose class they don't
-    agree on is split by a pattern with the library's own classes written out, any other by the pattern as it is.
-    """
+def split_patterns(pattern: str) -> tuple[str, str, str] | None:
+    """The pattern with the tokenizer library's own classes written out, and what finds texts that need it; None if none does."""
     told = _library_classes()
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     differ = set().union(*(set(told[c]) ^ set(regex.findall(c, every)) for c in _CLASSES))
-    plain = regex.compile(pattern).findall
     if not differ:
-        return plain
+        return None
     sets = {c: _ranges(set(told[c])) for c in _CLASSES}
     out, inside = [], False
     for m in re.finditer(r"\\p\{[LN]\}|\\.|.", pattern):
         t = m[0]
         inside = (inside or t == "[") and t != "]"
         out.append((sets[t] if inside else f"[{sets[t]}]") if t in sets else f"[^{sets[_CLASSES[2]]}]" if t == r"\S" else t)
-    whole = re.compile("".join(out)).findall
-    beyond = re.compile(f"[{min(differ)}-\U0010ffff]").search
-    disputed = re.compile(f"[{_ranges(differ)}]").search
+    return "".join(out), f"[{min(differ)}-\U0010ffff]", f"[{_ranges(differ)}]"
+
+
+def splitter(pattern: str, patterns: tuple[str, str, str] | None) -> Callable[[str], list[str]]:
+    """Finds the matches of a pattern as the tokenizer library does; ``patterns`` are its ``split_patterns``.
+
+    The two libraries at hand know different versions of Unicode: a text with a character whose class they don't
+    agree on is split by a pattern with the library's own classes written out, any other by the pattern as it is.
+    """
+    plain = regex.compile(pattern).findall
+    if patterns is None:
+        return plain
+    whole, beyond, disputed = re.compile(patterns[0]).findall, re.compile(patterns[1]).search, re.compile(patterns[2]).search
     return lambda text: whole(text) if beyond(text) and disputed(text) else plain(text)
 
 
+#: What takes long to find, and is found once on the driver: of the perfect hash, and of the pattern.
+Tables = tuple[bytes, tuple[str, str, str] | None]
+
+
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.hash, self.split = ranks, PerfectHash(ranks), splitter(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: Tables | None = None):
+        found, patterns = tables or (None, split_patterns(pattern))
+        self.ranks, self.hash, self.split = ranks, PerfectHash(ranks, found), splitter(pattern, patterns)
         self.longest = max(map(len, ranks))
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -200,8 +221,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    return Codec(read_ranks(path), pattern)
+def tables(path: str, pattern: str) -> Tables:
+    return PerfectHash(read_ranks(path)).found(), split_patterns(pattern)
+
+
+@lru_cache(maxsize=2)
+def codec(path: str, pattern: str, told: Tables | None = None) -> Codec:
+    return Codec(read_ranks(path), pattern, told)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -213,8 +239,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>" if keep_ids else "")
 
+    told = tables(ranks_path, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, told)
         for b in batches:
             n, ids_sha, text_sha, kept = [], [], [], []
             for (text,) in values(b.column(1)):
@@ -237,8 +265,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and the decoded bytes (binary) of rows with doc_id and ids; null ids decode to nothing."""
 
+    told = tables(ranks_path, pattern)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks_path, pattern)
+        own = codec(ranks_path, pattern, told)
         for b in batches:
             out = [own.decode(np.array(ids or [], "<u4").tobytes()) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
