@@ -145,8 +145,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP_TERMS) -> Da
     seen = read.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     each = seen.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     # a term's counts by source: as many as its language has sources, each pair of which is a row of the result
-    kept = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("held"))
-    kept = scratch.table(kept.where(F.col("term").isNull() | (F.col("docs") >= min_docs)).select("lang", "term", "held"))
+    kept = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
+    kept = kept.where(F.col("term").isNull() | (F.col("docs") >= min_docs))  # most terms go
+    kept = scratch.table(kept.select("lang", "term", F.array_sort("held").alias("held")))
     named = kept.where("term is not null")
     size = named.groupBy("lang").agg(F.count("*").alias("v"))
     counts = named.select("lang", "term", F.inline("held"))
