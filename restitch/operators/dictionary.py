@@ -25,17 +25,17 @@ def edits_allowed(length: Column) -> Column:
     return F.greatest(F.ceil(length * TOLERANCE) - 1, F.lit(0)).cast("int")
 
 
-def _by_length(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+def _by_length(tokens: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
     reach = F.sequence(F.greatest(F.length("term") - F.col("k"), F.lit(0)), F.length("term") + F.col("k"))
-    return tokens.withColumn("n", F.length("token")).join(F.broadcast(terms.withColumn("n", F.explode(reach))), "n")
+    return tokens.withColumn("n", F.length("token")).join(F.broadcast(terms.withColumn("n", F.explode(reach))), [*by, "n"])
 
 
-def _pieces(terms: DataFrame) -> DataFrame:
-    """(term, ord, k, m, i, at, piece): each term of length m cut into k + 1 pieces."""
+def _pieces(terms: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """(term, ord, k, m, i, at, piece) and ``by``: each term of length m cut into k + 1 pieces."""
     m, k = F.length("term"), F.col("k")
     cut = lambda i: F.floor(i * m / (k + 1)).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), cut(i).alias("at"), F.col("term").substr(cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")))
-    return terms.select("term", "ord", "k", m.alias("m"), F.explode(pieces).alias("p")).select("term", "ord", "k", "m", "p.*")
+    return terms.select(*by, "term", "ord", "k", m.alias("m"), F.explode(pieces).alias("p")).select(*by, "term", "ord", "k", "m", "p.*")
 
 
 def _probes(tokens: DataFrame, told: DataFrame, n: Column) -> DataFrame:
@@ -48,30 +48,32 @@ def _probes(tokens: DataFrame, told: DataFrame, n: Column) -> DataFrame:
     return probes.where(F.col("start") + F.col("size") <= F.col("_n")).drop("_n")
 
 
-def _by_pieces(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    told = _pieces(terms)
-    probes = _probes(tokens, told, F.length("token")).select("token", "m", "i", F.col("token").substr(F.col("start") + 1, F.col("size")).alias("piece")).distinct()
-    return probes.join(told, ["m", "i", "piece"]).select("token", "term", "ord", "k").distinct()
+def _by_pieces(tokens: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    told = _pieces(terms, by)
+    probes = _probes(tokens, told, F.length("token")).select(*by, "token", "m", "i", F.col("token").substr(F.col("start") + 1, F.col("size")).alias("piece")).distinct()
+    return probes.join(told, [*by, "m", "i", "piece"]).select(*by, "token", "term", "ord", "k").distinct()
 
 
-def matches(tokens: DataFrame, terms: DataFrame, pieces: bool | None = None) -> DataFrame:
+def matches(tokens: DataFrame, terms: DataFrame, pieces: bool | None = None, by: list[str] | None = None) -> DataFrame:
     """(token, term, ratio) of the nearest term of each distinct ``token``, where one is near enough.
 
-    ``terms`` has ``term`` and ``ord``; of terms at the same ratio the one with the least ord wins.  ``pieces``
-    chooses the join; by default the size of the dictionary does.
+    ``terms`` has ``term`` and ``ord``; of terms at the same ratio the one with the least ord wins.  Both tables may have
+    columns ``by``, such as a module: a token then meets the terms of its own key only, and the rows tell the key.
+    ``pieces`` chooses the join; by default the size of the dictionary does.
     """
-    terms = terms.groupBy("term").agg(F.min("ord").alias("ord")).withColumn("k", edits_allowed(F.length("term")))
-    tokens = tokens.select("token").where("token is not null").distinct()
+    by = by or []
+    terms = terms.groupBy(*by, "term").agg(F.min("ord").alias("ord")).withColumn("k", edits_allowed(F.length("term")))
+    tokens = tokens.select(*by, "token").where("token is not null").distinct()
     if pieces is None:
         pieces = terms.limit(SMALL + 1).count() > SMALL
-    same = tokens.join(terms, tokens["token"] == terms["term"]).select("token", "term", "ord", F.lit(0.0).alias("ratio"))
-    rest = tokens.join(same.select("token"), "token", "left_anti")
+    same = tokens.join(terms.withColumn("token", F.col("term")), [*by, "token"]).select(*by, "token", "term", F.lit(0.0).alias("ratio"))
+    rest = tokens.join(same, [*by, "token"], "left_anti")
     fuzzy = terms.where("k > 0")
-    pairs = (_by_pieces if pieces else _by_length)(rest, fuzzy)
+    pairs = (_by_pieces if pieces else _by_length)(rest, fuzzy, by)
     near = pairs.withColumn("d", F.levenshtein("token", "term")).where(F.col("d") <= F.col("k"))
-    near = near.select("token", "term", "ord", (F.col("d") / F.length("term")).alias("ratio"))
-    best = near.groupBy("token").agg(F.min_by(F.struct("term", "ratio"), F.struct("ratio", "ord")).alias("b"))
-    return same.select("token", "term", "ratio").union(best.select("token", "b.term", "b.ratio"))
+    near = near.select(*by, "token", "term", "ord", (F.col("d") / F.length("term")).alias("ratio"))
+    best = near.groupBy(*by, "token").agg(F.min_by(F.struct("term", "ratio"), F.struct("ratio", "ord")).alias("b"))
+    return same.union(best.select(*by, "token", "b.term", "b.ratio"))
 
 
 def repair(rows: DataFrame, token: str, terms: DataFrame, term_out: str = "repaired", ratio_out: str = "ratio", pieces: bool | None = None) -> DataFrame:

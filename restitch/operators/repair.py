@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restitch.functions.text import indented, naive_fix
+from restitch.operators.dictionary import matches
 from restitch.operators.ordered import in_scope, latest_before
 from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, table
+from restitch.streaming.cache import work_dir
 
 #: The built-in functions that a call may mean.
 BUILTINS = [
@@ -40,8 +42,6 @@ class Names:
     methods: list[str] = field(default_factory=list)
     functions: list[str] = field(default_factory=lambda: BUILTINS)
     modules: list[str] = field(default_factory=lambda: MODULES)
-    #: Names that a module exports, where they are known; they are data, never found by importing it.
-    exports: dict[str, list[str]] = field(default_factory=dict)
 
 
 def _slice(lattice: Lattice, text: str, span: tuple[int, int]) -> tuple[str, Lattice]:
@@ -103,8 +103,7 @@ class Writer:
             said["of"] = "" if far <= farther else module
             return variable if far <= farther else module
         if kind == "method":
-            known = names.exports.get(said["of"]) if said.get("of") else names.methods
-            return nearest(own, known)[0] if known is not None else text
+            return text if said.get("of") else nearest(own, names.methods)[0]  # a module's names are joined later
         terms = {
             "module": names.modules, "class": names.classes, "function": names.functions, "callable": [*names.functions, *names.classes],
             "variable": names.variables, "own": names.methods,
@@ -207,14 +206,46 @@ def references(lines: DataFrame) -> DataFrame:
 _LINES = "doc_id {}, line_no int, indent int, raw string, fixed string"
 
 
-def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[str, list[str]] | None = None) -> DataFrame:
+#: A line in pieces: literals, names with what follows their dot, and single characters.
+_PIECES = r"'[^']*'|\"[^\"]*\"|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|[^A-Za-z_]"
+_OF = r"^([A-Za-z_]\w*)\.([A-Za-z_]\w*)$"
+
+
+def with_exports(told: DataFrame, exports: DataFrame) -> DataFrame:
+    """``told`` (doc_id, line_no, fixed) with the names after a module's dot replaced by the nearest ones that it exports.
+
+    ``exports`` has module, term and ord.  A module is what the latest binding of the owner's name before the line imports;
+    an owner that is bound otherwise by then is none.  Where no name is near, and within literals, nothing is changed.
+    """
+    line = F.coalesce("fixed", F.lit(""))
+    bound = lambda term, module: F.struct(term.alias("owner"), module.alias("module"))
+    group = lambda form, k: F.regexp_extract(line, form, k)
+    plain, named, other = r"^import ([\w.]+)$", r"^import ([\w.]+) as (\w+)$", r"^(?:for )?(\w+) (?:=|in) "
+    binds = (
+        F.when(line.rlike(plain), bound(group(plain, 1), group(plain, 1)))
+        .when(line.rlike(named), bound(group(named, 2), group(named, 1)))
+        .when(line.rlike(other), bound(group(other, 1), F.lit(None).cast("string")))
+    )
+    bindings = told.select("doc_id", "line_no", binds.alias("b")).where("b is not null").select("doc_id", "line_no", "b.*")
+    pieces = F.regexp_extract_all(line, F.lit(_PIECES), F.lit(0))
+    uses = told.where(line.contains(".")).select("doc_id", "line_no", F.posexplode(pieces).alias("place", "piece")).where(F.col("piece").rlike(_OF))
+    uses = uses.select("doc_id", "line_no", "place", F.regexp_extract("piece", _OF, 1).alias("owner"), F.regexp_extract("piece", _OF, 2).alias("token"))
+    uses = latest_before(uses, bindings, ["doc_id"], ["line_no"], "owner").withColumn("module", F.col("bound.module")).where("module is not null")
+    near = matches(uses, exports, by=["module"]).where("ratio > 0")
+    written = uses.join(near, ["module", "token"]).groupBy("doc_id", "line_no")
+    written = written.agg(F.map_from_entries(F.collect_list(F.struct("place", F.concat_ws(".", "owner", "term")))).alias("_written"))
+    again = F.array_join(F.transform(pieces, lambda x, i: F.coalesce(F.element_at("_written", i), x)), "")
+    return told.join(written, ["doc_id", "line_no"], "left").withColumn("fixed", F.when(F.col("_written").isNull(), F.col("fixed")).otherwise(again)).drop("_written")
+
+
+def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None) -> DataFrame:
     """doc_id, line_no, indent, raw and fixed of each line (doc_id, line_no, indent, cand).
 
     ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Each line is classified once; a
     document's rows are then read in order, first the names that its lines bind, then the lines, so that a task holds
-    the names of one document and nothing is repeated for every line.
+    the names of one document and nothing is repeated for every line.  ``exports`` (module, term, ord) tells the names of
+    modules, which are data and never found by importing them.
     """
-    exports = exports or {}
     matched = classified(lines, language)
     matched = with_scopes(matched).withColumn("s", bound_names()) if language == "python3" else matched.withColumn("s", F.lit(None).cast("struct<kind:string,terms:array<string>>"))
     line = F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("terms"), "cand", "match")
@@ -231,7 +262,7 @@ def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[st
             out = []
             for doc, no, indent, turn, kind, terms, cand, match in b.itertuples(index=False):
                 if doc != at:
-                    at, names, imports, place, number = doc, Names(exports=exports), [], 0, None
+                    at, names, imports, place, number = doc, Names(), [], 0, None
                     bound = {"variable": names.variables, "class": names.classes}
                 if turn == 0:
                     if kind == "import":
@@ -262,10 +293,17 @@ def repaired_lines(lines: DataFrame, language: str = "python3", exports: dict[st
             yield pd.DataFrame(out, columns=["doc_id", "line_no", "indent", "raw", "fixed"])
 
     out = rows.mapInPandas(run, _LINES.format(lines.schema["doc_id"].dataType.simpleString()))
-    return out.withColumn("fixed", naive_fix(F.col("fixed"))) if language == "python3" else out
+    if language != "python3":
+        return out
+    out = out.withColumn("fixed", naive_fix(F.col("fixed")))
+    if exports is None:
+        return out
+    path = f"{work_dir(lines.sparkSession)}/lines"
+    out.write.parquet(path)  # read three times below; in the shared folder, so that the lines aren't repaired again
+    return with_exports(lines.sparkSession.read.schema(out.schema).parquet(path), exports)
 
 
-def repaired_code(lines: DataFrame, language: str = "python3", exports: dict[str, list[str]] | None = None) -> DataFrame:
+def repaired_code(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None) -> DataFrame:
     """doc_id, code and fixed_code: the lines of each document in order, indented by two blanks a level."""
     told = repaired_lines(lines, language, exports)
     told = told.withColumns({"raw": indented(F.col("raw"), F.col("indent")), "fixed": indented(F.coalesce("fixed", "raw"), F.col("indent"))})

@@ -360,6 +360,28 @@ def fix_python_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_code(_programs(spark, sf_dir, PROGRAM))
 
 
+#: Calls of names that two modules export, with a letter too many or too few, and of a name that is a module no more.
+CALLS = ["import math", "import random as r", "math.{a}q({n})", "r.{b}q(math.{b}q)", "math = {n}", "math.{a}q({n})"]
+_EXPORTS = """
+    exports AS (SELECT DISTINCT CASE WHEN word < 'm' THEN 'math' ELSE 'random' END AS module, word AS term FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)),
+    calls AS (SELECT DISTINCT module, term || 'q' AS token FROM (SELECT 'math' AS module, a AS term FROM parts UNION ALL SELECT 'math', b FROM parts UNION ALL SELECT 'random', b FROM parts)),
+    near AS (
+        SELECT module, token, term, row_number() OVER (PARTITION BY module, token ORDER BY levenshtein(token, term) / length(term), term) AS k
+        FROM calls JOIN exports USING (module) WHERE levenshtein(token, term) < 0.25 * length(term)),
+    written AS (SELECT c.module, c.token, coalesce(n.term, c.token) AS term FROM calls c LEFT JOIN near n ON n.module = c.module AND n.token = c.token AND n.k = 1)"""
+
+
+@query(f"""WITH {_PARTS}, {_EXPORTS}
+    SELECT doc_id, 'import math' || chr(10) || 'import random as r' || chr(10) || 'math.' || x.term || '(' || n || ')' || chr(10) || 'r.' || y.term || '(math.' || z.term || ')'
+        || chr(10) || 'math = ' || n || chr(10) || 'math.' || a || 'q(' || n || ')' AS fixed_code
+    FROM parts JOIN written x ON x.module = 'math' AND x.token = a || 'q' JOIN written y ON y.module = 'random' AND y.token = b || 'q' JOIN written z ON z.module = 'math' AND z.token = b || 'q'""")
+def fix_module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names after a module's dot by a table of exports: words of parts, of which each module has one half."""
+    word = F.explode(F.split("p_name", " "))
+    exports = table(spark, sf_dir, "part").select(word.alias("term")).distinct().select(F.when(F.col("term") < "m", "math").otherwise("random").alias("module"), "term", F.col("term").alias("ord"))
+    return repair.repaired_code(_programs(spark, sf_dir, CALLS, {}), exports=exports).select("doc_id", "fixed_code")
+
+
 @query(_program_sql(HASKELL_PROGRAM, _HASKELL_WRITTEN))
 def fix_haskell_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_code(_programs(spark, sf_dir, HASKELL_PROGRAM), "haskell")

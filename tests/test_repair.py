@@ -178,9 +178,30 @@ def test_and_or_operands(spark):
 
 
 def test_exports_are_data(spark):
-    code = "import math\nmath.isfinitee(4)"
-    assert repair.repaired_code(program(spark, code), exports={"math": ["floor", "isfinite"]}).first().fixed_code.endswith("math.isfinite(4)")
-    assert repair.repaired_code(program(spark, code)).first().fixed_code.endswith("math.isfinitee(4)")
+    code = "import math\nimport random as r\nmath.isfinitee(4)\nr.shufle(x)\nmath.shufle(r.isfinitee, 'math.isfinitee')\nmath = 1\nmath.isfinitee(4)"
+    exports = spark.createDataFrame([("math", "floor", 0), ("math", "isfinite", 1), ("random", "shuffle", 0), ("random", "shuffled", 1)], "module string, term string, ord int")
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(code.split("\n"))] + [(2, 0, "math.isfinitee(4)"), (2, 1, None), (None, 0, "import math")], "doc_id long, line_no int, fixed string")
+    got = {(r.doc_id, r.line_no): r.fixed for r in repair.with_exports(lines, exports).collect()}
+    assert [got[1, k] for k in range(7)] == ["import math", "import random as r", "math.isfinite(4)", "r.shuffle(x)", "math.shufle(r.isfinitee, 'math.isfinitee')", "math = 1", "math.isfinitee(4)"]
+    assert (got[2, 0], got[2, 1], got[None, 0]) == ("math.isfinitee(4)", None, "import math")
+    assert repair.repaired_code(program(spark, "import math\nmath.isfinitee(4)"), exports=exports).first().fixed_code.endswith("math.isfinite(4)")
+    assert repair.repaired_code(program(spark, "import math\nmath.isfinitee(4)")).first().fixed_code.endswith("math.isfinitee(4)")
+    assert repair.with_exports(lines, exports.limit(0)).exceptAll(lines).count() == 0
+
+
+@pytest.mark.parametrize("pieces", [False, True])
+def test_nearest_term_within_a_key_like_brute_force(spark, pieces):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(3, 14)))
+    terms = [(rng.choice("xyz"), word(), k) for k in range(200)]
+    tokens = [(rng.choice("xyz"), w if rng.random() < 0.2 else w[:2] + rng.choice("abc") + w[3:]) for _, w, _ in terms]
+    best = {}
+    for key, token in tokens:
+        near = [(edits(token, t) / len(t), k, t) for of, t, k in terms if of == key and (token == t or edits(token, t) < 0.25 * len(t))]
+        if near:
+            best[key, token] = min(near)[0], min(near)[2]
+    got = dictionary.matches(spark.createDataFrame(tokens, "of string, token string"), spark.createDataFrame(terms, "of string, term string, ord int"), pieces, ["of"]).collect()
+    assert len(got) == len(best) and {(r.of, r.token): (r.ratio, r.term) for r in got} == best
 
 
 def test_haskell(spark):
