@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 A text that holds both a sensitive stem and an assignment sign is lexed as source or configuration: names,
-string literals, bare values and operators.  Assignments, keyword arguments, mapping entries and element pairs
-give (name, value) pairs; ``a = b`` and ``"x" + "y"`` carry literals on, so a constant counts for every name
+string literals, bare values and operators.  Assignments, keyword arguments, mapping entries, element pairs, setters,
+options, macros and blocks give (name, value) pairs; ``a = b`` and ``"x" + "y"`` carry literals on, so a constant counts for every name
 that it reaches.  A literal is a secret when the sensitivity of its name and its value's shape score high enough.
 Values share their parts, so the work is in proportion to the text however often constants are joined.
 """
@@ -59,11 +59,13 @@ _STEMS = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer")
 _TOKEN = re.compile(
     r"""
     (?P<word>(?:[A-Za-z]{2,}|I)'(?:s|t|d|m|ll|re|ve)\b(?!'))
+  | (?P<block>(?<=:)[^\S\n]+[|>][+-]?\d?[^\S\n]*\n(?=[^\S\n]))
+  | (?P<given>(?:(?<![\w-])--(?P<option>[A-Za-z][\w-]*)|\#[^\S\n]*define[^\S\n]+(?P<macro>[A-Za-z_]\w*))(?=[^\S\n]+[^\s(-]))
   | (?P<text>(?:[A-Za-z]{1,2}|[@$]{1,2})?(?:(?P<three>\"\"\"|\'\'\')(?s:.*?)(?P=three)|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`))
   | (?P<tag><(?P<tagname>[A-Za-z_][\w.-]*)>(?P<tagtext>[^<>\n]+)</(?P=tagname)>)
   | (?P<compare>===?|!==?|<=|>=)
   | (?P<joint>::)
-  | (?P<sign>:=|=>|->|=|:)
+  | (?P<sign>:=|=>|->|\+=|=|:)
   | (?P<alt>\|\||\?\?|(?:or|else)\b)
   | (?P<name>[A-Za-z_$][\w$]*(?:[.-][A-Za-z_$][\w$]*)*)
   | (?P<plus>\+|\.\.)
@@ -78,12 +80,21 @@ _TOKEN = re.compile(
     """,
     re.X | re.A,
 )
+_LINE = re.compile(r"(?P<indent>[^\S\n]*)(?P<said>(?:\S(?:[^\n]*\S)?)?)[^\S\n]*(?:\n|\Z)")
 _BARE = re.compile(r"[^\s,;(){}\[\]<>\"'`]+")
 _HUMP = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 #: Weights of the words of a name, of its last word, and of pairs of neighbouring words.
 NAMES = {"password": 0.5, "passwd": 0.5, "pwd": 0.5, "passphrase": 0.5, "passcode": 0.5, "secret": 0.5, "secrets": 0.4, "token": 0.45, "apikey": 0.5, "credential": 0.45, "credentials": 0.4, "bearer": 0.45, "auth": 0.3}
 LAST = {"pass": 0.45}
 PAIRS = {("api", "key"): 0.5, ("access", "key"): 0.5, ("private", "key"): 0.5, ("secret", "key"): 0.55, ("signing", "key"): 0.5, ("encryption", "key"): 0.5, ("client", "secret"): 0.55, ("auth", "token"): 0.5, ("pass", "word"): 0.5, ("pass", "phrase"): 0.5}
+#: Words written as one, such as pgpass; and what a plural weighs less.
+_COMPOUND = re.compile(r"(?:db|pg|my|sql|mysql|user|root|admin|ftp|smtp|mail|ssh|ssl|http|proxy|redis|mongo|ldap|login|key|store|keystore|wifi|vpn)(?:pass|pwd|password|passwd|passphrase|secret|token)")
+COMPOUND, PLURAL = 0.45, 0.1
+#: Calls that take a name and a value as neighbouring arguments, in lower case and without underscores; and calls that are named after what they set.
+SETS_PAIR = {"define", "setdefault", "setenv", "putenv", "set", "put", "setproperty", "setitem", "setattr", "setparameter", "setconfig", "setheader", "addheader"}
+_SETS_ONE = re.compile(r"(?:set|with|use)(?:_\w+|[A-Z]\w*)")
+#: Entries of a mapping that tell about a secret and aren't its value.
+DESCRIBES = {"type", "pattern", "regex", "format", "description", "title", "label", "name", "help", "placeholder", "id", "url", "uri", "href", "path", "file", "env", "ref", "$ref", "host", "user", "username", "email", "message", "error", "class"}
 #: Words of a declaration that are types; the name before one is what is declared.
 TYPES = {"string", "str", "text", "char", "varchar", "bytes", "byte"}
 _HOLD_WORDS = ("changeme", "change_me", "example", "placeholder", "your_", "your-", "dummy", "redacted", "todo", "none", "null", "undefined", "true", "false")
@@ -93,9 +104,16 @@ _SETTING = re.compile(r"[A-Za-z]+(?:[_.\-/: ][A-Za-z]+)*")
 THRESHOLD = 0.75
 
 
+def _word_weight(word: str) -> float:
+    if word in NAMES:
+        return NAMES[word]
+    one = word.removesuffix("s")
+    return COMPOUND if _COMPOUND.fullmatch(word) else max(NAMES.get(one, 0) - PLURAL, 0) if one != word else 0
+
+
 def name_weight(name: str) -> float:
     words = [w.lower() for w in _HUMP.findall(name)]
-    return max([0.0, *(NAMES.get(w, 0) for w in words), *(LAST.get(w, 0) for w in words[-1:]), *(PAIRS.get(p, 0) for p in zip(words, words[1:], strict=False))])
+    return max([0.0, *(_word_weight(w) for w in words), *(LAST.get(w, 0) for w in words[-1:]), *(PAIRS.get(p, 0) for p in zip(words, words[1:], strict=False))])
 
 
 @dataclass(slots=True)
@@ -180,10 +198,11 @@ class Value:
 class _Level:
     """The statement at hand inside a pair of brackets."""
 
-    __slots__ = ("args", "at_arg", "inner", "kind", "left", "more", "names", "parts", "ready", "sign", "targets", "ternary", "use")
+    __slots__ = ("args", "at_arg", "callee", "inner", "kind", "left", "more", "names", "owners", "parts", "ready", "sign", "targets", "ternary", "use")
 
-    def __init__(self, kind: str, use: str = ""):
-        self.kind, self.use = kind, use  # use: of what is inside: "call", "list" (or a value in brackets), "key" or nothing
+    def __init__(self, kind: str, use: str = "", callee: str = "", owners: tuple[str, ...] = ()):
+        self.kind, self.use = kind, use  # use: of what is inside: "call", "list" (or a value in brackets), "set", "key" or nothing
+        self.callee, self.owners = callee, owners  # the call that sets a value; who gets the mapping
         self.args: list[tuple[int, Value]] = []
         self.at_arg = 0
         self.inner: str | None = None  # the last literal, which may be a key
@@ -210,7 +229,8 @@ class _Level:
 
 
 def pairs(text: str) -> list[tuple[str, Value]]:
-    """(name, value) of each assignment: ``a = v``, ``a: type = v``, ``a = b = v``, ``a, b = v, w``, ``"k": v``, ``x["k"] = v``.
+    """(name, value) of each assignment: ``a = v``, ``a: type = v``, ``a = b = v``, ``a, b = v, w``, ``"k": v``, ``x["k"] = v``,
+    ``a += v``, ``a = {"k": v}``, ``set_a(v)``, ``define("a", v)``, ``--a v``, ``#define a v``, and of each line of a block ``a: |``.
 
     One pass over the tokens with a stack of open brackets.  Values are literals and constants known by then, joined by
     plus signs or side by side; names that are not known are passed over.  Of a call's arguments those after the
@@ -225,7 +245,9 @@ def pairs(text: str) -> list[tuple[str, Value]]:
         for name in f.targets:
             constants[name] = value
             out.append((name, value))
-        if f.use in ("call", "list"):
+            if name.lower() not in DESCRIBES:
+                out.extend((owner, value) for owner in f.owners)
+        if f.use in ("call", "list", "set"):
             f.args.append((f.at_arg, value))
 
     def fold(f: _Level) -> None:
@@ -242,10 +264,17 @@ def pairs(text: str) -> list[tuple[str, Value]]:
         return Value.joined(f.parts) if f.parts else None
 
     def finish(f: _Level) -> None:
-        if (f.targets or f.use in ("call", "list")) and (v := value_of(f)) is not None:
+        if (f.targets or f.use in ("call", "list", "set")) and (v := value_of(f)) is not None:
             told(f, v)
         f.empty()
 
+    def has_set(f: _Level) -> None:
+        if _SETS_ONE.fullmatch(f.callee.rsplit(".", 1)[-1]):
+            out.extend((f.callee, v) for no, v in f.args if no == f.at_arg and not (v.span and _SETTING.fullmatch(text, *v.span)))
+        for (no, key), (after, v) in zip(f.args, f.args[1:], strict=False):
+            if key.span and after == no + 1:
+                out.append((text[slice(*key.span)], v))
+
     while at < n:
         m = _TOKEN.match(text, at)
         kind, start, at = m.lastgroup, m.start(), m.end()
@@ -255,7 +284,15 @@ def pairs(text: str) -> list[tuple[str, Value]]:
         if kind in ("blank", "joint") or (kind == "line" and f.kind in ("(", "[")):
             continue
         was, f.inner = f.inner, None
-        if kind in ("text", "three"):
+        if kind == "block":
+            owners, at = f.targets, _block(text, at, found := [])
+            out.extend((name, Value(span)) for name in owners for span in found)
+            f.fresh()
+        elif kind == "given":
+            finish(f)
+            f.fresh()
+            f.targets, f.sign = [m["option"] or m["macro"]], "="
+        elif kind in ("text", "three"):
             a, b = _inner(m)
             if f.names or not (f.ready or f.parts):
                 f.empty()  # a word before a literal, as in return "x"
@@ -304,6 +341,8 @@ def pairs(text: str) -> list[tuple[str, Value]]:
             f.left = []
             if key is not None:
                 f.targets, f.more, f.sign = [keys.pop()], keys, sign
+            if sign == "+=" and key in constants:
+                f.parts = [constants[key]]
         elif kind == "plus":
             if f.targets and not f.parts and not f.names and (bare := _BARE.match(text, start)) and bare.end() > at:
                 f.parts.append(Value(bare.span(), False))
@@ -317,9 +356,14 @@ def pairs(text: str) -> list[tuple[str, Value]]:
             use = ""
             if m["open"] == "[" and (f.names or not f.targets):
                 use = "key"
-            elif m["open"] != "{" and (f.targets or f.use in ("call", "list")) and not (f.parts and not f.ready):
+            elif m["open"] != "{" and (f.targets or f.use in ("call", "list", "set")) and not (f.parts and not f.ready):
                 use = "call" if f.names else "list"
-            levels.append(_Level(m["open"], use))
+            callee = f.names[-1][0] if m["open"] == "(" and f.names and f.names[-1][2] == start else ""
+            last = callee.rsplit(".", 1)[-1]
+            if not (_SETS_ONE.fullmatch(last) or last.lower().replace("_", "") in SETS_PAIR):
+                callee = ""
+            whole = m["open"] == "{" and f.sign in ("=", ":", ":=") and not f.parts and not f.names
+            levels.append(_Level(m["open"], use or "set" * bool(callee), callee, tuple(f.targets) if whole else ()))
         elif kind == "close":
             if len(levels) == 1:
                 finish(f)
@@ -329,6 +373,8 @@ def pairs(text: str) -> list[tuple[str, Value]]:
                 f.inner = was
             else:
                 finish(f)
+            if f.callee:
+                has_set(f)
             levels.pop()
             up = levels[-1]
             if f.use == "key":
@@ -388,6 +434,22 @@ def pairs(text: str) -> list[tuple[str, Value]]:
     return out
 
 
+def _block(text: str, at: int, found: list[tuple[int, int]]) -> int:
+    """Put the spans of the lines of the block at ``at`` into ``found``; where the first line is that isn't in it.
+
+    The block's lines are indented like its first, or more, or blank.
+    """
+    deep = None
+    while (m := _LINE.match(text, at)) is not None and m.end() > at:
+        if m["said"]:
+            deep = len(m["indent"]) if deep is None else deep
+            if len(m["indent"]) < deep:
+                break
+            found.append(m.span("said"))
+        at = m.end()
+    return at
+
+
 def _inner(m: re.Match) -> tuple[int, int]:
     """Where the characters of a literal are, without its prefix and quotes."""
     s = m["text"]
@@ -399,7 +461,7 @@ def _inner(m: re.Match) -> tuple[int, int]:
 def lexed_spans(text: str, taken: list[Span], threshold: float = THRESHOLD) -> list[Span]:
     """Literals that reach sensitive names and don't lie within a span found before."""
     low = text.lower()
-    if not any(s in text for s in (":", "=", "->", "</")) or not any(s in low for s in _STEMS):
+    if not any(s in text for s in (":", "=", "->", "</", "(", "--", "define")) or not any(s in low for s in _STEMS):
         return []
     stack = [v for name, v in pairs(text) if (w := name_weight(name)) and w + v.profiled(text).weight(v.quoted) >= threshold]
     found: set[tuple[int, int]] = set()

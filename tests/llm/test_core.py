@@ -414,6 +414,9 @@ FORMS = [
     'y, passphrase = 2, "%s"', 'passphrase = os.getenv("P", "%s")', 'db_pass = "%s"', 'passphrase          = "%s"', '"' + "k" * 500 + '_passphrase": "%s"', 'let passphrase: &str = "%s";',
     'passphrase?: string = "%s"', 'const char *passphrase = "%s";', 'passphrase = x or "%s"', 'passphrase = c ? "b" : "%s"', 'passphrase: Optional[str] = "%s"', 'passphrase = (\n "%s"\n)',
     "It's the passphrase: '%s'", "passphrase: %s", 'PASSPHRASE := `%s`', 'x = {"a": {"passphrase": "%s"}}', 'passphrase = String.valueOf("%s")', 'd = dict(a=1, passphrase="%s", b=2)', ':( \npassphrase = "%s"\nfoo = "b"',
+    'set_passphrase("%s")', 'x.setPassphrase("%s");', 'x->setPassphrase("%s");', 'define("DB_PASSPHRASE", "%s");', "run --passphrase %s --fast", 'run --passphrase "%s"', 'passphrase = {"a": "%s"}', 'passphrases = ["%s"]',
+    'x.setdefault("passphrase", "%s")', 'y = x.setdefault("passphrase", "%s")', 'setenv("PASSPHRASE", "%s", 1)', 'setattr(x, "passphrase", "%s")', '#define PASSPHRASE "%s"', 'passphrase += "%s"', "a:\n  passphrase: |\n    %s\n  b: c", "passphrase: >-\n  %s",
+    'pgpass = "%s"', 'x = os.environ.setdefault("PASSPHRASE", v or "%s")',
 ]
 
 
@@ -423,6 +426,14 @@ def test_forms_of_assignment():
     assert lexed(f'passphrase = "ab" "{V}"') == ["ab", V]
     for none in ('passphrase = os.getenv("DB_PASSPHRASE")', 'passphrase = os.getenv("DB_PASSPHRASE", "")', f'x, passphrase = "{V}", 2', f'f(passphrase, y="{V}")', f'if passphrase == "{V}": pass'):
         assert lexed(none) == [], none
+    assert lexed(f'passphrase = "ab9#"\npassphrase += "{V}"') == ["ab9#", V]
+    assert lexed(f"token: |\n  {V}\n\n   {V}x  \n word\n{V}y") == [V, V + "x"]
+    assert lexed(f'passphrases = ["{V}", "{V}x"]') == [V, V + "x"]
+    for none in (
+        f'"passphrase": {{"type": "string", "pattern": "{V}"}}', f'x.set("color", "{V}")', f'bypass = "{V}"', f'compass = "{V}"', f'set_color("{V}")', f"run --fast {V}", f'f("passphrase", "{V}")',
+        f"passphrase: |\nb: {V}", f'set_passphrase("{V}", "")', f"-- passphrase is {V}", f"passphrase = {{}}\nx = {{'a': '{V}'}}",
+    ):
+        assert lexed(none) == [], none
 
 
 def plain_weight(value, quoted):
@@ -494,7 +505,8 @@ def test_profiles_of_joined_texts():
 def test_scans_in_proportion_to_the_text():
     for text in (
         'key_a = "abcd"\n' + "key_a = key_a + key_a\n" * 2000 + "password = key_a\n", 's = s + "x"\n' * 5000 + "password = s\n", "password, " * 10_000 + "= 1", "password = " + "(" * 10_000,
-        'password = "' + r"\"" * 10_000, 'password = "Zx9#kLm2pQ!s"; token=abcdefghijk1234567\n' * 4000,
+        'password = "' + r"\"" * 10_000, "token: |\n" + "  a b  c\n" * 20_000, "token: |\n " + "a " * 50_000, 'set_token("a", ' * 5000, "token = {a: " * 5000, "--token " * 20_000, "#define token " * 10_000, "token: |\n" * 20_000, "token:" + " " * 50_000,
+        "a += b\n" * 5000 + 'password = ""\n' + 'password += "x1Y#"\n' * 5000, 'password = "Zx9#kLm2pQ!s"; token=abcdefghijk1234567\n' * 4000,
     ):
         at = time.process_time()
         secrets.all_spans(text)
@@ -598,7 +610,7 @@ def test_subscripts_are_no_words_without_quotes():
 
 
 def test_any_tokens_can_be_lexed():
-    tokens = ["password", "token", "x", "=", ":", "->", "=>", "==", '"', "'", "`", '"""', '"ab9#Zq!kLm2"', "'q'", *"()[]{},.+|?!@$#\\&\n", "//", "..", "var", "or", "if", "else", "é", "\0", "<token>", "</token>"]
+    tokens = ["password", "token", "x", "=", ":", "->", "=>", "==", '"', "'", "`", '"""', '"ab9#Zq!kLm2"', "'q'", *"()[]{},.+|?!@$#\\&\n", "//", "..", "var", "or", "if", "else", "é", "\0", "<token>", "</token>", "+=", "--token", "#define token ", "set_token(", "define(", "token: |\n ", ": |\n"]
     pick = random.Random(5)
     for _ in range(4000):
         text = "".join(pick.choice(tokens) + pick.choice(["", " "]) for _ in range(pick.randint(1, 60)))
