@@ -189,7 +189,8 @@ def pack_documents(docs: DataFrame, json_path: str, ranks_path: str | None = Non
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     Every document, one without text or with a null text too, ends with id 0, so each has a piece.  Rows that
-    repeat an id are packed as documents of their own.  A sequence is as long as its tier or, at the end of a
+    repeat an id are packed as documents of their own; a very long text is encoded whole and cut into full sequences and
+    a rest.  Only id and text are read, whatever other columns there are.  A sequence is as long as its tier or, at the end of a
     task's rows, a smaller power of two: nothing is padded.  An empty table gives no pieces.  ``tiers`` are
     ascending powers of two.
     """

@@ -23,7 +23,7 @@ from restitch.llm.textscan import Scan, U, chunks, mix
 MAX_VOTERS = 4096
 WORDS, SHAPES, EXTRA = 2048, 256, 32
 WIDTH = WORDS + SHAPES + EXTRA
-DIMENSIONS, NEIGHBOURS, POWER = 64, 24, 8
+DIMENSIONS, NEIGHBOURS, POWER, DIGITS = 64, 24, 8, 5
 THRESHOLD = 0.3
 
 _CLASS = np.zeros(256, np.uint8)
@@ -78,14 +78,17 @@ class Model:
         return Model(weights, basis.astype(np.float32), _unit(y @ basis), labels.astype(np.float32))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """The share of label 1 among the neighbours, weighted by cosine; a text without words scores the prior."""
+        """The share of label 1 among the neighbours, weighted by cosine; a text without words scores the prior.
+
+        Cosines that agree in DIGITS digits are alike, as of copies of a text; of these the voters of least id come first.
+        """
         out = []
         k = min(NEIGHBOURS, len(self.voters))
         for run in chunks(texts, 1 << 20):
             for a in range(0, len(run), 256):
                 v = _unit((raw_vectors(run[a : a + 256]) * self.weights) @ self.basis)
-                cosine = v @ self.voters.T
-                near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+                cosine = np.round(v @ self.voters.T, DIGITS)
+                near = nearest(cosine, k)
                 weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER
                 total = weight.sum(1)
                 vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
@@ -93,6 +96,16 @@ class Model:
         return np.concatenate(out) if out else np.empty(0)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The columns of each row's k largest values; of values alike the first columns, which are the voters of least id."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(cosine, near, 1).min(1, keepdims=True)
+    for r in np.flatnonzero((cosine >= least).sum(1) > k):  # a tie at the last place
+        above, alike = np.flatnonzero(cosine[r] > least[r]), np.flatnonzero(cosine[r] == least[r])
+        near[r] = np.concatenate((above, alike[: k - len(above)]))
+    return near
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
@@ -131,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of ``docs``.
 
     A null or empty text scores the share of label 1 among the voters, a very long one by all its words; without
-    labelled rows every text scores 0.5.  Only the text is read, whatever other columns there are; repeated rows and
+    labelled rows every text scores 0.5; of voters that are alike at the last place those of least id vote.  Only the text is read, whatever other columns there are; repeated rows and
     ids score by their own text; a null id isn't held out; an empty table gives no rows.
     """
 

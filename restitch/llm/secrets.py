@@ -90,6 +90,8 @@ PAIRS = {("api", "key"): 0.5, ("access", "key"): 0.5, ("private", "key"): 0.5, (
 #: Words written as one, such as pgpass; and what a plural weighs less.
 _COMPOUND = re.compile(r"(?:db|pg|my|sql|mysql|user|root|admin|ftp|smtp|mail|ssh|ssl|http|proxy|redis|mongo|ldap|login|key|store|keystore|wifi|vpn)(?:pass|pwd|password|passwd|passphrase|secret|token)")
 COMPOUND, PLURAL = 0.45, 0.1
+#: A plural that is rarely of secrets: words and symbols of a text are called so.
+NO_PLURAL = {"tokens", "auths"}
 #: Calls that take a name and a value as neighbouring arguments, in lower case and without underscores; and calls that are named after what they set.
 SETS_PAIR = {"define", "setdefault", "setenv", "putenv", "set", "put", "setproperty", "setitem", "setattr", "setparameter", "setconfig", "setheader", "addheader"}
 _SETS_ONE = re.compile(r"(?:set|with|use)(?:_\w+|[A-Z]\w*)")
@@ -107,7 +109,7 @@ THRESHOLD = 0.75
 def _word_weight(word: str) -> float:
     if word in NAMES:
         return NAMES[word]
-    one = word.removesuffix("s")
+    one = word if word in NO_PLURAL else word.removesuffix("s")
     return COMPOUND if _COMPOUND.fullmatch(word) else max(NAMES.get(one, 0) - PLURAL, 0) if one != word else 0
 
 
@@ -363,7 +365,7 @@ def pairs(text: str) -> list[tuple[str, Value]]:
             if not (_SETS_ONE.fullmatch(last) or last.lower().replace("_", "") in SETS_PAIR):
                 callee = ""
             whole = m["open"] == "{" and f.sign in ("=", ":", ":=") and not f.parts and not f.names
-            levels.append(_Level(m["open"], use or "set" * bool(callee), callee, tuple(f.targets) if whole else ()))
+            levels.append(_Level(m["open"], use or "set" * bool(callee), callee, tuple(t.rsplit(".", 1)[-1] for t in f.targets) if whole else ()))
         elif kind == "close":
             if len(levels) == 1:
                 finish(f)

@@ -431,7 +431,7 @@ def test_forms_of_assignment():
     assert lexed(f'passphrases = ["{V}", "{V}x"]') == [V, V + "x"]
     for none in (
         f'"passphrase": {{"type": "string", "pattern": "{V}"}}', f'x.set("color", "{V}")', f'bypass = "{V}"', f'compass = "{V}"', f'set_color("{V}")', f"run --fast {V}", f'f("passphrase", "{V}")',
-        f"passphrase: |\nb: {V}", f'set_passphrase("{V}", "")', f"-- passphrase is {V}", f"passphrase = {{}}\nx = {{'a': '{V}'}}",
+        f"passphrase: |\nb: {V}", f'set_passphrase("{V}", "")', f"-- passphrase is {V}", f"passphrase = {{}}\nx = {{'a': '{V}'}}", f'token.attrs = {{"style": "{V}"}}', f'tokens = ["{V}"]',
     ):
         assert lexed(none) == [], none
 
@@ -563,6 +563,9 @@ def test_pack_documents(spark):
     got = [tuple(r) for r in packing.pack_documents(frame(spark, rows), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken")).collect()]
     check_pieces(got, {i: [*slow.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows})
     assert packing.pack_documents(frame(spark, []), path("byte_bpe_50k.json")).count() == 0
+    few = frame(spark, rows[:8]).coalesce(1)
+    whole = lambda d: [tuple(r) for r in packing.pack_documents(d, path("byte_bpe_50k.json")).collect()]
+    assert whole(clashing(few)) == whole(few)
 
 
 def test_pack_windows_and_balance():

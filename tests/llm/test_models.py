@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from restitch.llm import langid, quality_knn, sample
-from tests.llm.test_core import frame, odd_texts
+from tests.llm.test_core import clashing, frame, odd_texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SF = "/root/testdata/sf0.01"
@@ -111,12 +111,39 @@ def test_votes_like_brute_force():
     for t, s in zip(texts[100:], got, strict=False):
         v = (quality_knn.raw_vectors([t])[0] * model.weights) @ model.basis
         cosine = model.voters @ (v / np.linalg.norm(v))
-        near = np.argsort(-cosine)[: quality_knn.NEIGHBOURS]
+        near = np.argsort(-np.round(cosine, quality_knn.DIGITS), kind="stable")[: quality_knn.NEIGHBOURS]
         w = np.maximum(cosine[near], 0).astype(float) ** quality_knn.POWER
         assert abs(s - (w * model.labels[near]).sum() / w.sum()) < 1e-4
     assert ((got[:20] > 0.5) == labels[100:]).mean() > 0.9 and abs(got[20] - 0.5) < 1e-6
 
 
+def test_voters_alike_at_the_last_place():
+    rng = np.random.default_rng(3)
+    for k in (1, 5, 24):
+        cosine = np.round(rng.random((200, 60)), rng.integers(1, 3)).astype(np.float32)
+        want = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+        assert (np.sort(quality_knn.nearest(cosine, k), 1) == np.sort(want, 1)).all()
+    copies = [b"one two three four"] * 40 + [b"five six seven"] * 10
+    labels = np.array([k < 10 for k in range(50)]).astype(int)
+    model = quality_knn.Model.fit(quality_knn.raw_vectors(copies), labels)
+    assert abs(model.score([b"one two three four"])[0] - 10 / 24) < 1e-3
+
+
+def test_quality_of_long_texts_and_other_columns(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    rows = [(i, f"{'good clear words' if i % 2 else '$$ ## buy!!'} {i} " * 20) for i in range(60)]
+    rows += [(1000, "good clear words " * 200_000), (1001, "$$ ## buy!! " * 200_000), (1002, "x" * 2_000_000)]
+    plain = frame(spark, rows)
+    whole = {r.doc_id: r for r in quality_knn.classify(plain, labels).collect()}
+    assert len(whole) == len(rows) and whole[1000].predicted == 1 and whole[1001].predicted == 0
+    assert quality_knn.classify(clashing(plain), labels).exceptAll(quality_knn.classify(plain, labels)).count() == 0
+
+
+def test_languages_with_other_columns(spark):
+    rows = spark.createDataFrame([(i, f"{'the cat and the dog' if i % 2 else 'der Hund und die Katze'} {i}", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.identify(clashing(rows), RANKS).exceptAll(langid.identify(rows, RANKS)).count() == 0
+
+
 def test_quality_held_out(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality_knn.classify(docs, labels)

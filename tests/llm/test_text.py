@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 
 from restitch.llm import bpe, licenses
-from tests.llm.test_core import frame, odd_texts
+from tests.llm.test_core import clashing, frame, odd_texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -78,6 +78,8 @@ def test_encode_documents(spark, library):
     back = {r.doc_id: bytes(r.bytes).decode() for r in bpe.decode_documents(encoded, RANKS, public_tokenizers.PATTERN).collect()}
     assert back == {i: t or "" for i, t in rows}
     assert bpe.encode_documents(frame(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
+    digests = bpe.encode_documents(df, RANKS, public_tokenizers.PATTERN)
+    assert bpe.encode_documents(clashing(df), RANKS, public_tokenizers.PATTERN).exceptAll(digests).count() == 0
 
 
 MIT = """
