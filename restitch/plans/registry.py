@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream: one file or a folder of them, whatever their names.  Only a pattern may stand for a single file there."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 # ---------------------------------------------------------------- dictionaries and accuracy
 
 _NEAREST = """
@@ -593,7 +598,7 @@ def container_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uploads as a stream whose sink stores, batch by batch, the contents that aren't there yet."""
     folder = cache.work_dir(spark)
-    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "documents*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    docs = streamed(spark, sf_dir, "documents")
     uploads = docs.where("text is not null").select(F.col("text").cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("ts"))
     cache.save_stream(uploads, f"{folder}/blobs", f"{folder}/state").awaitTermination()
     return files.blobs(spark, f"{folder}/blobs").select("container", "key")
@@ -851,8 +856,7 @@ def ttl_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_TTL)
 def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    events = streamed(spark, sf_dir, "events")
     told = cache.cache_status(events)
     return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")
 
@@ -861,8 +865,7 @@ def ttl_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT event_id, user_id, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 1800000000 THEN 'hit' ELSE 'miss' END AS status FROM events""")
 def ttl_cache_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state with a time to live: keys that have expired leave none."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    events = streamed(spark, sf_dir, "events")
     with cache.timers(spark):
         told = cache.expiring_status(events)
         return cache.replay(spark, told, told._jdf.schema().toDDL()).select("event_id", "user_id", "status")

@@ -7,9 +7,11 @@ import json
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from restitch.operators import evaluate, ordered, store
+from restitch.plans import registry
 from restitch.sources import containers, files
 from restitch.streaming import cache
 
@@ -247,3 +249,15 @@ def test_store_in_buckets(spark, tmp_path):
     assert "PartitionFilters: [container" in asked._jdf.queryExecution().executedPlan().toString()
     containers.save_code(df([]), path, buckets=8)
     assert rows() == want
+
+
+@pytest.mark.parametrize("name", ["stored_by_stream", "ttl_cache_stream", "ttl_cache_expiring"])
+def test_streams_of_tables_in_parts(spark, tmp_path, sf_dir, name):
+    """A table may be a folder, whose files have names of their own."""
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(50).repartition(2).write.parquet(str(tmp_path / f"{t}.parquet"))
+    columns = registry.QUERIES[name](spark, sf_dir).columns
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    table = "documents" if name == "stored_by_stream" else "events"
+    rows = spark.read.parquet(str(tmp_path / f"{table}.parquet"))
+    assert got.columns == columns and got.count() == (rows.select("text").where("text is not null").distinct().count() if table == "documents" else 50)
