@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from restitch.streaming.cache import work_dir
+
 
 def ordered_concat(rows: DataFrame, by: list[str], order: list[str], text: str, separator: str, out: str = "text") -> DataFrame:
     """One row a group: the texts in order, joined.  Ties in the order go by the text."""
@@ -48,7 +50,7 @@ def in_parts(rows: DataFrame, by: list[str], order: list[str], most: int | None)
     Cuts are quantiles of the first order column, so rows with the same value there lie in one part; there are as many as
     Spark shuffles to.  A part of a lesser number holds rows that come before.  Large groups are at most a ``most``-th as
     many as there are rows.  Without ``most`` all groups are whole, as those of documents may be: each is a text.  ``rows``
-    are read several times, so they are best a table.
+    are read several times, so they are best a table; the cuts are found once and lie in the shared folder.
     """
     if most is None:
         return rows.withColumns({"_part": F.lit(0), "_large": F.lit(False)})
@@ -56,7 +58,10 @@ def in_parts(rows: DataFrame, by: list[str], order: list[str], most: int | None)
     large = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most).drop("_n")
     right, same = _same(rows, large, by)
     cuts = rows.join(F.broadcast(right), same, "left_semi").groupBy(*by).agg(F.percentile_approx(_number(rows, order[0]), [k / parts for k in range(1, parts)]).alias("_cuts"))
-    told = _with(rows, cuts, by)
+    # found once: quantiles are approximate and may come out otherwise when they are found again for another reader of the same rows
+    path = f"{work_dir(rows.sparkSession)}/cuts"
+    cuts.write.parquet(path)
+    told = _with(rows, rows.sparkSession.read.schema(cuts.schema).parquet(path), by)
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < _number(rows, order[0]))), F.lit(0))
     return told.withColumns({"_part": F.when(F.col("_cuts").isNull(), 0).otherwise(part), "_large": F.col("_cuts").isNotNull()}).drop("_cuts")
 

@@ -65,3 +65,11 @@ def test_references(spark):
     code = "import math\nx = 1\nprint(x)\nimport os as x\nprint(x, math, y)\nx = 2\nprint(x)\ndef f(a):\n  x = 3\n  print(x)"
     got = {(r.line_no, r.term): r.bound and (r.bound.line_no, r.bound.kind) for r in repair.references(program(spark, code)).collect() if r.term != "print"}
     assert got == {(2, "x"): (1, "variable"), (4, "x"): (3, "import"), (4, "math"): (0, "import"), (4, "y"): None, (6, "x"): (5, "variable"), (9, "x"): (5, "variable")}
+
+
+def test_cuts_are_found_once(spark, monkeypatch):
+    """Quantiles of many rows may come out otherwise each time: all readers of a group go by the same ones."""
+    some = F.udf(lambda xs: sorted(random.Random().sample(xs, 3)), "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(F, "percentile_approx", lambda x, _: some(F.collect_list(x)))
+    test_scans_in_parts(spark, 5, 10)
+    test_latest_before(spark, 10)
