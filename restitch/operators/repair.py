@@ -6,20 +6,23 @@ over its lines, and every line is then written again with the names it can see.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restitch.functions.text import indented, naive_fix
 from restitch.operators.dictionary import matches
 from restitch.operators.ordered import in_scope, latest_before
-from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, table
+from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, read_as, table
 from restitch.streaming.cache import work_dir
 
 #: The built-in functions that a call may mean.
@@ -120,38 +123,48 @@ MATCH = T.StructType(
 )
 
 
-def _lists(cand) -> Lattice:
-    return [list(c) for c in cand]
+def _classified(lines: DataFrame, language: str = "python3", modules: list[str] = MODULES) -> DataFrame:
+    """``classified`` with ``_of``, a lattice's JSON."""
+    told = table(language)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = compiled(told)
+        for texts in batches:
+            out = []
+            for text in texts:
+                lattice = json.loads(text)
+                m = classify(lattice, own) if all(lattice) else None
+                if m is None:
+                    out.append((None,) * len(MATCH.names))
+                else:
+                    module = nearest(_slice(lattice, m.text, m.spans[0])[1], modules)[0] if "{1:module}" in m.rule.form else None
+                    out.append((m.rule.number, m.rule.template, m.errors, m.number, m.text, [m.group(k + 1) for k in range(len(m.spans))], module, [x for span in m.spans for x in span]))
+            yield pd.DataFrame(out, columns=MATCH.names)
+
+    # few rows of heavy work: dealt out to as many tasks as rows are shuffled to
+    lines = lines.withColumn("_of", F.to_json("cand"))
+    each = lines.select("_of").distinct().repartition(_tasks(lines), "_of").where("_of is not null")
+    each = each.select("_of", F.xxhash64("_of").alias("_no"), F.pandas_udf(run, MATCH)("_of").alias("match"))
+    # as many lattices as there are lines at worst, which a small file's size doesn't tell: never broadcast
+    return lines.withColumn("_no", F.xxhash64("_of")).join(each.hint("merge"), ["_no", "_of"], "left").drop("_no")
 
 
 def classified(lines: DataFrame, language: str = "python3", modules: list[str] = MODULES) -> DataFrame:
     """``lines`` (with ``cand``, a lattice) with ``match``: rule, errors, reading and groups of the best rule.
 
-    An empty place makes a line unreadable: its match is null.  Equal lattices are matched once a batch.
+    An empty place makes a line unreadable: its match has no rule.  Each different lattice is matched once; lattices are told
+    apart and joined by their JSON, a number of it first.
     """
+    return _classified(lines, language, modules).drop("_of")
 
-    told = table(language)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, seen = compiled(told), {}
-        for cands in batches:
-            if len(seen) > 50_000:
-                seen.clear()
-            out = []
-            for cand in cands:
-                lattice = _lists(cand) if cand is not None else [[]]
-                key = tuple(map(tuple, lattice))
-                if key not in seen:
-                    m = classify(lattice, own) if all(lattice) else None
-                    if m is None:
-                        seen[key] = (None,) * len(MATCH.names)
-                    else:
-                        module = nearest(_slice(lattice, m.text, m.spans[0])[1], modules)[0] if "{1:module}" in m.rule.form else None
-                        seen[key] = (m.rule.number, m.rule.template, m.errors, m.number, m.text, [m.group(k + 1) for k in range(len(m.spans))], module, [x for span in m.spans for x in span])
-                out.append(seen[key])
-            yield pd.DataFrame(out, columns=MATCH.names)
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
-    return lines.withColumn("match", F.pandas_udf(run, MATCH)("cand"))
+def _by_document(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by document to as many tasks as Spark shuffles to: rows of programs are alike and shrink, so their size on disk tells little of what a task holds."""
+    return rows.repartition(_tasks(rows), "doc_id")
 
 
 def bound_names() -> Column:
@@ -181,9 +194,15 @@ def with_scopes(matched: DataFrame) -> DataFrame:
     return in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"class (VARIABLE):", F.lit(False)), "in_class")
 
 
+def _scoped(lines: DataFrame, *fields: str) -> DataFrame:
+    """doc_id, line_no, indent, some fields of match, in_def and in_class of Python lines."""
+    matched = classified(lines).select("doc_id", "line_no", "indent", F.struct(*[f"match.{f}" for f in fields]).alias("match"))
+    return with_scopes(_by_document(matched))
+
+
 def symbols(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, kind, term) for each name that a line of Python code binds."""
-    told = with_scopes(classified(lines)).select("doc_id", "line_no", bound_names().alias("s")).where("s is not null")
+    told = _scoped(lines, "template", "groups", "module").select("doc_id", "line_no", bound_names().alias("s")).where("s is not null")
     return told.select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
 
 
@@ -196,16 +215,13 @@ def references(lines: DataFrame) -> DataFrame:
 
     A name that is bound again, as another kind too, refers to its last binding; what is bound inside an open def isn't seen.
     """
-    matched = with_scopes(classified(lines))
+    matched = _scoped(lines, "rule", "template", "text", "groups", "module")
     bound = matched.select("doc_id", "line_no", bound_names().alias("s")).where("s is not null").select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
     used = matched.where(F.col("match.rule").isNotNull() & ~F.col("match.template").isin(_BINDS))
     used = used.select("doc_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("match.text", F.lit("[a-z_]+"), F.lit(0)))).alias("term"))
     return latest_before(used, bound, ["doc_id"], ["line_no"], "term")
 
 
-_LINES = "doc_id {}, line_no int, indent int, raw string, fixed string"
-
-
 #: A line in pieces: literals, names with what follows their dot, and single characters.
 _PIECES = r"'[^']*'|\"[^\"]*\"|[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*|[^A-Za-z_]"
 _OF = r"^([A-Za-z_]\w*)\.([A-Za-z_]\w*)$"
@@ -238,61 +254,75 @@ def with_exports(told: DataFrame, exports: DataFrame) -> DataFrame:
     return told.join(written, ["doc_id", "line_no"], "left").withColumn("fixed", F.when(F.col("_written").isNull(), F.col("fixed")).otherwise(again)).drop("_written")
 
 
-def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None) -> DataFrame:
-    """doc_id, line_no, indent, raw and fixed of each line (doc_id, line_no, indent, cand).
+def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, line_no, indent, raw and fixed of each line (doc_id, line_no, indent, cand), and the columns ``kept``.
 
-    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Each line is classified once; a
-    document's rows are then read in order, first the names that its lines bind, then the lines, so that a task holds
+    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Each different lattice is classified
+    once; a document's rows are then read in order, first the names that its lines bind, then the lines, so that a task holds
     the names of one document and nothing is repeated for every line.  ``exports`` (module, term, ord) tells the names of
     modules, which are data and never found by importing them.
     """
-    matched = classified(lines, language)
+    matched = _classified(lines, language)
+    given = [F.col("doc_id"), F.col("line_no").cast("int").alias("line_no"), F.col("indent").cast("int").alias("indent"), *map(F.col, kept)]
+    match = F.struct(*[f"match.{f}" for f in ("rule", "errors", "reading", "template", "groups", "module")])
+    matched = _by_document(matched.select(*given, F.col("_of").alias("cand"), match.alias("match")))
+    own = [f.name for f in matched.schema][: len(given)]
     matched = with_scopes(matched).withColumn("s", bound_names()) if language == "python3" else matched.withColumn("s", F.lit(None).cast("struct<kind:string,terms:array<string>>"))
-    line = F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("terms"), "cand", "match")
-    name = F.struct(F.lit(0).alias("turn"), F.col("s.kind").alias("kind"), F.col("s.terms").alias("terms"), F.lit(None).cast(lines.schema["cand"].dataType).alias("cand"), F.lit(None).cast(MATCH).alias("match"))
-    rows = matched.select("doc_id", "line_no", "indent", F.explode(F.when(F.col("s").isNull(), F.array(line)).otherwise(F.array(line, name))).alias("r")).select("doc_id", "line_no", "indent", "r.*")
-    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "turn", "line_no")
-    told = table(language), table(language, "expr")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, expressions = {r.number: r for r in compiled(told[0])}, compiled(told[1])
-        at, bound, written = object(), {}, {}
+    told = ("cand", "rule", "errors", "reading")
+    line = F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("terms"), "cand", "match.rule", "match.errors", "match.reading")
+    name = F.struct(F.lit(0).alias("turn"), "s.kind", "s.terms", *[F.lit(None).cast(t).alias(n) for n, t in zip(told, ("string", "int", "int", "bigint"), strict=True)])
+    rows = matched.select(*own, F.explode(F.when(F.col("s").isNull(), F.array(line)).otherwise(F.array(line, name))).alias("_r")).select(*own, "_r.*")
+    rows = _by_document(rows).sortWithinPartitions("doc_id", "turn", "line_no")
+    catalogue = table(language), table(language, "expr")
+    schema = T.StructType([*rows.schema.fields[: len(own)], T.StructField("raw", T.StringType()), T.StructField("fixed", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_number, expressions = {r.number: r for r in compiled(catalogue[0])}, compiled(catalogue[1])
+        at, bound = object(), {}
         known: dict[tuple, int] = {}  # each different set of names by number
+        written: dict[tuple, str | None] = {}  # of a set of names and a lattice
+        first: dict[str | None, str] = {None: ""}
         for b in batches:
-            out = []
-            for doc, no, indent, turn, kind, terms, cand, match in b.itertuples(index=False):
+            turns, raw, fixed = b.column(len(own)), [], []
+            docs, nos = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for doc, no, turn, kind, terms, cand, rule, errors, number_read in zip(docs, nos, *(b.column(i).to_pylist() for i in range(len(own), b.num_columns)), strict=True):
                 if doc != at:
                     at, names, imports, place, number = doc, Names(), [], 0, None
                     bound = {"variable": names.variables, "class": names.classes}
                 if turn == 0:
                     if kind == "import":
-                        imports.append((no, list(terms)))
+                        imports.append((no, terms))
                     else:
-                        bound[kind] += list(terms)
+                        bound[kind] += terms
                     continue
                 while place < len(imports) and imports[place][0] < no:
                     names.imports += imports[place][1]
                     place, number = place + 1, None
-                lattice = _lists(cand) if cand is not None else []
-                fixed = None
-                if match is not None and match["rule"] is not None:
-                    if number is None:
-                        if len(known) > 50_000:
-                            known.clear()
-                            written.clear()
-                        number = known.setdefault((tuple(names.variables), tuple(names.classes), tuple(names.imports)), len(known))
-                    key = (number, tuple(map(tuple, lattice)))
-                    if key not in written:
-                        if len(written) > 200_000:
-                            written.clear()
-                        spans = [int(x) for x in match["spans"]]
-                        m = Match(own[match["rule"]], match["errors"], match["reading"], match["text"], tuple(zip(spans[::2], spans[1::2], strict=True)))
-                        written[key] = Writer(expressions, names).line(m, lattice)
-                    fixed = written[key]
-                out.append((doc, no, indent, "".join(c[0] if c else "" for c in lattice), fixed))
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "indent", "raw", "fixed"])
-
-    out = rows.mapInPandas(run, _LINES.format(lines.schema["doc_id"].dataType.simpleString()))
+                if cand not in first:
+                    if len(first) > 200_000:
+                        first.clear()
+                        first[None] = ""
+                    first[cand] = "".join(c[0] if c else "" for c in json.loads(cand))
+                raw.append(first[cand])
+                if rule is None:
+                    fixed.append(None)
+                    continue
+                if number is None:
+                    if len(known) > 50_000:
+                        known.clear()
+                        written.clear()
+                    number = known.setdefault((tuple(names.variables), tuple(names.classes), tuple(names.imports)), len(known))
+                key = (number, cand)
+                if key not in written:
+                    if len(written) > 200_000:
+                        written.clear()
+                    lattice = json.loads(cand)
+                    written[key] = Writer(expressions, names).line(read_as(by_number[rule], errors, number_read, lattice), lattice)
+                fixed.append(written[key])
+            lines_only = b.filter(pc.equal(turns, 1))
+            yield pa.RecordBatch.from_arrays([*lines_only.columns[: len(own)], pa.array(raw, pa.string()), pa.array(fixed, pa.string())], names=schema.names)
+
+    out = rows.mapInArrow(run, schema)
     if language != "python3":
         return out
     out = out.withColumn("fixed", naive_fix(F.col("fixed")))

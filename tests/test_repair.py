@@ -239,3 +239,13 @@ def test_more_diagnostics():
     assert told("class A:\n  def f(): pass\n  def g(x): pass\n  def g(self): return 1\n  @staticmethod\n  def h(): pass") == [(2, "no-method-argument"), (3, "no-self-argument"), (4, "function-redefined")]
     assert told("return 1\nbreak\nwhile True:\n  if 1:\n    continue\nfor x in []:\n  def f():\n    break") == [(1, "return-outside-function"), (2, "not-in-loop"), (8, "not-in-loop")]
     assert told("f = 1\ndef g(*a, **k): return lambda: a\ng(1, 2, z=3)") == []
+
+
+def test_lattices_are_matched_once_and_lines_dealt_by_document(spark):
+    """No column of lattices is sorted with a document's lines, and their partitions aren't joined by the small size of what is shuffled."""
+    lines = program(spark, "import math\nx = 1\nx = 1\nprint(x)").withColumn("expected", F.col("line_no") * 2)
+    plan = repair.repaired_lines(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and not [x for x in plan.split("\n") if " Sort [" in x and "cand" in x and "doc_id" not in x]
+    assert "BroadcastHashJoin" not in plan
+    got = repair.repaired_lines(lines, kept=("expected",)).orderBy("line_no").collect()
+    assert [(r.expected, r.fixed) for r in got] == [(0, "import math"), (2, "x = 1"), (4, "x = 1"), (6, "print(x)")]
