@@ -403,7 +403,7 @@ def _accuracy_sql(found: str) -> str:
     SELECT *, round_even(accuracy_fixed - accuracy, 2) AS improvement FROM mean""")
 def repaired_code_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _programs(spark, sf_dir, PROGRAM)
-    told = repair.repaired_lines(lines).join(lines.select("doc_id", "line_no", "expected"), ["doc_id", "line_no"])
+    told = repair.repaired_lines(lines, kept=("expected",))
     return evaluate.weighted(evaluate.score(told.withColumn("fixed", F.coalesce("fixed", "raw")), "raw", "fixed", "expected"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from restitch.functions import lattice
 from restitch.operators import dictionary, repair, rules
 from restitch.operators.diagnostics import diagnose
+from restitch.plans import registry
 from tests.test_functions import brute_readings, edits
 
 
@@ -249,3 +250,9 @@ def test_lattices_are_matched_once_and_lines_dealt_by_document(spark):
     assert "BroadcastHashJoin" not in plan
     got = repair.repaired_lines(lines, kept=("expected",)).orderBy("line_no").collect()
     assert [(r.expected, r.fixed) for r in got] == [(0, "import math"), (2, "x = 1"), (4, "x = 1"), (6, "print(x)")]
+
+
+def test_expected_lines_go_along(spark, sf_dir):
+    """A small file makes many lines, so that its size would have them broadcast from the driver."""
+    plan = registry.QUERIES["repaired_code_accuracy"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
