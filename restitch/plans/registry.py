@@ -539,8 +539,9 @@ def _pictures_sql() -> str:
 def submitted_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _programs(spark, sf_dir, PROGRAM)
     wide = F.size("cand") * 10.0
-    boxes = lines.select("doc_id", "line_no", (F.col("indent") * 20.0).alias("x"), (F.col("line_no") * 30.0).alias("y"), wide.alias("width"), F.lit(25.0).alias("height"))
-    chars = boxes.join(lines.select("doc_id", "line_no", F.explode(F.sequence(F.lit(0), F.size("cand") - 1)).alias("char_no")), ["doc_id", "line_no"])
+    box = [(F.col("indent") * 20.0).alias("x"), (F.col("line_no") * 30.0).alias("y"), wide.alias("width"), F.lit(25.0).alias("height")]
+    boxes = lines.select("doc_id", "line_no", *box)
+    chars = lines.select("doc_id", "line_no", *box, F.explode(F.sequence(F.lit(0), F.size("cand") - 1)).alias("char_no"))
     chars = chars.withColumns({"x": F.col("x") + 10.0 * F.col("char_no"), "width": F.lit(10.0)})
     return service.submit(lines, boxes, chars).select("doc_id", "unfixed", "fixed", F.size("errors").alias("n_errors"), "overlay")
 

@@ -30,7 +30,7 @@ def collected_errors(code: DataFrame, key: str) -> DataFrame:
     fields = [f.split(":")[0] for f in ERRORS[len("array<struct<") : -2].split(",")]
     found = diagnostics(code, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line", "column", F.struct(*fields).alias("e")))).alias("_e"))
     found = found.select(key, F.transform("_e", lambda s: s["e"]).alias("errors"))
-    return code.join(found, key, "left").withColumn("errors", F.coalesce("errors", F.array().cast(ERRORS)))
+    return code.join(found.hint("merge"), key, "left").withColumn("errors", F.coalesce("errors", F.array().cast(ERRORS)))
 
 
 def tests_due(errors: Column, template: Column) -> Column:
@@ -43,21 +43,22 @@ def submit(lines: DataFrame, boxes: DataFrame, chars: DataFrame | None = None, l
 
     ``lines`` has the lattices of lines (doc_id, line_no, indent, cand), ``boxes`` the places of lines (doc_id,
     line_no, x, y, width, height), ``chars`` those of characters (as boxes, with char_no from 0).  Errors are those of the
-    repaired code; each is given the place of its line and of the character before its column, where there are such.
+    repaired code; each is given the place of its line and of the character before its column, where there are such.  The
+    tables grow with the documents, which the size of the files they come from doesn't tell, so none is broadcast.
     """
     code = repair.repaired_code(lines, language).select("doc_id", F.col("code").alias("unfixed"), F.col("fixed_code").alias("code"))
     code = collected_errors(code, "doc_id").withColumnRenamed("code", "fixed")
     box = evaluate.bounding_box(boxes, ["doc_id"], F.col("x"), F.col("y"), F.col("width"), F.col("height"))
     place = F.struct("x", "y", "width", "height")
     each = code.select("doc_id", F.posexplode("errors").alias("pos", "e")).select("doc_id", "pos", "e.line", "e.column")
-    each = each.join(boxes.select("doc_id", (F.col("line_no") + 1).alias("line"), place.alias("_line")), ["doc_id", "line"], "left")
+    each = each.join(boxes.select("doc_id", (F.col("line_no") + 1).alias("line"), place.alias("_line")).hint("merge"), ["doc_id", "line"], "left")
     if chars is not None:
-        each = each.join(chars.select("doc_id", (F.col("line_no") + 1).alias("line"), (F.col("char_no") + 1).alias("column"), place.alias("_char")), ["doc_id", "line", "column"], "left")
+        each = each.join(chars.select("doc_id", (F.col("line_no") + 1).alias("line"), (F.col("char_no") + 1).alias("column"), place.alias("_char")).hint("merge"), ["doc_id", "line", "column"], "left")
     else:
         each = each.withColumn("_char", F.lit(None).cast("struct<x:double,y:double,width:double,height:double>"))
     at = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("_line").alias("line"), F.col("_char").alias("character")).alias("at"))))
     at = each.groupBy("doc_id").agg(F.transform(at, lambda s: s["at"]).alias("_at"))
-    told = code.join(box, "doc_id", "left").join(at, "doc_id", "left")
+    told = code.join(box.hint("merge"), "doc_id", "left").join(at.hint("merge"), "doc_id", "left")
     places = F.coalesce("_at", F.array().cast(at.schema["_at"].dataType))
     return evaluate.overlay_json(told, F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), places).select("doc_id", "unfixed", "fixed", "errors", "overlay")
 

@@ -93,3 +93,31 @@ def test_requests_that_come_again(spark):
     cache, blobs = df(held[:2], "key string, content binary"), df(held, "key string, content binary")
     got = sorted((str(r.key), str(r.code), len(r.errors), str(r.found_in), r.program) for r in service.resubmit(df(rows, service.REQUEST), cache, blobs).collect())
     assert got == [("None", "None", 0, "None", None), ("j", "foo(", 1, "blob", None), ("k", "foo(", 1, "cache", None), ("k", "foo(", 1, "cache", None), ("k", "x = 1", 0, "cache", "tx = 1")]
+
+
+def test_forward_is_bounded():
+    """A batch needs the memory of a few pictures, not of all its patches."""
+    import tracemalloc
+
+    import numpy as np
+
+    from restitch.functions import convnet
+
+    weights, pixels = convnet.random_weights(), np.random.default_rng(1).random((1024, 784), np.float32)
+    tracemalloc.start()
+    got = convnet.forward(weights, pixels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.shape == (1024, 94) and peak < 200_000_000
+    assert np.allclose(got[100:110], convnet.forward(weights, pixels[100:110]), atol=1e-5)
+
+
+def test_equal_code_and_joins_of_lines(spark, sf_dir):
+    """What small files make many rows of is never broadcast from the driver; equal code has equal diagnostics."""
+    from restitch.operators.diagnostics import diagnostics
+    from restitch.plans import registry
+
+    plan = registry.QUERIES["submitted_pictures"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    df = spark.createDataFrame([(i, "x = y" if i % 2 else "x = 1") for i in range(6)], "doc_id long, code string").coalesce(1)
+    assert sorted((r.doc_id, r.symbol) for r in diagnostics(df).collect()) == [(i, "undefined-variable") for i in (1, 3, 5)]
