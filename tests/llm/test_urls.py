@@ -140,6 +140,30 @@ def test_pairs_of_tokens_that_tell_little_in_wide_rows(spark):
             assert r.support == n.count(r.verdict) and r.confidence == r.support / len(n)
 
 
+def test_combinations_beyond_the_width_of_rows(spark):
+    """Whole rules: all of three and four tokens are found and counted over all rows, those with tokens that tell little in wide rows too."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(300):
+        block = i % 2 == 0
+        own = [f"m{k:02}" for k in range(17) if rng.random() < (0.8 if block else 0.5)]
+        own += ["za", "zb", "zc"] if i % 4 == 0 else rng.sample(["za", "zb", "zc"], 2) if i % 8 in (1, 3, 5) else []
+        rows.append((own, "block" if block else "allow"))
+    assert max(len(t) for t, _ in rows) > url_filter.MAX_WIDTH
+    table, support = spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.2
+    told = lambda rules: {(r.tokens, r.verdict): (r.confidence, r.support) for r in rules if len(r.tokens) < 6}
+    found, bounded = (told(url_filter.mine(table, support, whole=whole)[0]) for whole in (True, False))
+    names, want = sorted({x for t, _ in rows for x in t}), {}
+    for k in range(1, 6):
+        for c in combinations(names, k):
+            have = [v for t, v in rows if set(c) <= set(t)]
+            for v in ("allow", "block"):
+                n = have.count(v)
+                if n >= 60 and n / len(have) >= url_filter.MIN_CONFIDENCE and not any(g[1] == v and set(g[0]) <= set(c) and x[0] >= n / len(have) for g, x in want.items()):
+                    want[c, v] = n / len(have), n
+    assert found == want and found[("za", "zb", "zc"), "block"] == (1.0, 75) and bounded != want
+
+
 def test_long_urls_and_other_columns(spark):
     url = "http://a.example.com/" + "x/" * 50_000
     df = spark.createDataFrame([(1, url), (1, url), (None, "http://b.net/es/1")], "page_id long, url string")
