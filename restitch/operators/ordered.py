@@ -90,6 +90,46 @@ def in_scope(rows: DataFrame, by: list[str], order: list[str], indent: str, open
     return rows.withColumn(out, inside).drop("_opens", "_run", "_part", "_large", "_start", "_low")
 
 
+class Scope:
+    """The scope of the latest opener of a group's rows, which come in order: its indent, and the least since."""
+
+    def __init__(self):
+        self.opened, self.start, self.low = False, None, None
+
+    def add(self, indent, opens: bool) -> bool | None:
+        """Whether the row is in scope; null if the opener's indent isn't known."""
+        if opens:
+            self.opened, self.start, self.low = True, indent, indent
+        elif indent is not None and (self.low is None or indent < self.low):
+            self.low = indent
+        return (None if self.start is None else self.low >= self.start) if self.opened else False
+
+
+def in_scopes(rows: DataFrame, by: str, order: str, indent: str, opens: dict[str, str]) -> DataFrame:
+    """``in_scope`` for several kinds of openers at once, as columns by name: ``opens`` names the column that tells each.
+
+    Rows are sorted once and read in order, and of the group at hand a task holds two numbers a kind.  They are dealt by group to
+    as many tasks as Spark shuffles to, as the size of what is shuffled tells little of what a task holds.
+    """
+    told = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by, order)
+    given = rows.columns
+    schema = T.StructType([*told.schema.fields, *[T.StructField(out, T.BooleanType()) for out in opens]])
+    at = [given.index(c) for c in (by, indent, *opens.values())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, scopes = object(), []
+        for b in batches:
+            got = [[] for _ in opens]
+            for g, x, *each in zip(*(b.column(i).to_pylist() for i in at), strict=True):
+                if g != group:
+                    group, scopes = g, [Scope() for _ in opens]
+                for out, scope, opened in zip(got, scopes, each, strict=True):
+                    out.append(scope.add(x, opened))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x, pa.bool_()) for x in got]], names=schema.names)
+
+    return told.mapInArrow(run, schema)
+
+
 def seen_before(rows: DataFrame, by: list[str], order: list[str], name: str, most: int | None = None) -> DataFrame:
     """``rows`` with ``n_visible``, the distinct names in earlier rows of the group, and ``is_visible``, whether the row's own is one.
 

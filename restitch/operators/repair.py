@@ -1,7 +1,7 @@
 """Repair of code lines: rules choose how a line is read, dictionaries what its names are.
 
-Lines are classified each by itself, on distinct lattices.  Names that a document binds are gathered by windows
-over its lines, and every line is then written again with the names it can see.
+Lines are classified each by itself, where they lie.  Names that a document binds are gathered from its lines in
+order, and every line is then written again with the names it can see.
 """
 
 from __future__ import annotations
@@ -9,20 +9,20 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from restitch.functions.text import indented, naive_fix
 from restitch.operators.dictionary import matches
-from restitch.operators.ordered import in_scope, latest_before
-from restitch.operators.rules import Lattice, Match, Rule, classify, compiled, nearest, read_as, table
+from restitch.operators.ordered import Scope, in_scopes, latest_before
+from restitch.operators.rules import Lattice, Match, Rule, Table, classify, compiled, nearest, read_as, table
 from restitch.streaming.cache import work_dir
 
 #: The built-in functions that a call may mean.
@@ -123,39 +123,51 @@ MATCH = T.StructType(
 )
 
 
-def _classified(lines: DataFrame, language: str = "python3", modules: list[str] = MODULES) -> DataFrame:
-    """``classified`` with ``_of``, a lattice's JSON."""
-    told = table(language)
+_ARROW = {
+    "rule": pa.int32(), "template": pa.string(), "errors": pa.int32(), "reading": pa.int64(), "text": pa.string(), "groups": pa.list_(pa.string()), "module": pa.string(),
+    "spans": pa.list_(pa.int32()),
+}
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = compiled(told)
+
+@lru_cache(maxsize=4)
+def _matcher(told: Table, modules: tuple[str, ...]) -> Callable[[str], dict]:
+    """The match of a lattice's JSON.  Short ones are kept, 100,000 at most, for later tasks of a worker too."""
+    own = compiled(told)
+
+    def match(text: str) -> dict:
+        lattice = json.loads(text)
+        m = classify(lattice, own) if all(lattice) else None
+        if m is None:
+            return dict.fromkeys(_ARROW)
+        module = nearest(_slice(lattice, m.text, m.spans[0])[1], list(modules))[0] if "{1:module}" in m.rule.form else None
+        groups = [m.group(k + 1) for k in range(len(m.spans))]
+        return {"rule": m.rule.number, "template": m.rule.template, "errors": m.errors, "reading": m.number, "text": m.text, "groups": groups, "module": module, "spans": [x for span in m.spans for x in span]}
+
+    kept = lru_cache(maxsize=100_000)(match)
+    return lambda text: kept(text) if len(text) <= 1_000 else match(text)
+
+
+def _match(cand: Column, language: str, modules: list[str], *fields: str) -> Column:
+    """Some fields of the match of a lattice's JSON."""
+    told, known, kind = table(language), tuple(modules), pa.struct([(f, _ARROW[f]) for f in fields])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        match = _matcher(told, known)
         for texts in batches:
-            out = []
-            for text in texts:
-                lattice = json.loads(text)
-                m = classify(lattice, own) if all(lattice) else None
-                if m is None:
-                    out.append((None,) * len(MATCH.names))
-                else:
-                    module = nearest(_slice(lattice, m.text, m.spans[0])[1], modules)[0] if "{1:module}" in m.rule.form else None
-                    out.append((m.rule.number, m.rule.template, m.errors, m.number, m.text, [m.group(k + 1) for k in range(len(m.spans))], module, [x for span in m.spans for x in span]))
-            yield pd.DataFrame(out, columns=MATCH.names)
-
-    # few rows of heavy work: dealt out to as many tasks as rows are shuffled to
-    lines = lines.withColumn("_of", F.to_json("cand"))
-    each = lines.select("_of").distinct().repartition(_tasks(lines), "_of").where("_of is not null")
-    each = each.select("_of", F.xxhash64("_of").alias("_no"), F.pandas_udf(run, MATCH)("_of").alias("match"))
-    # as many lattices as there are lines at worst, which a small file's size doesn't tell: never broadcast
-    return lines.withColumn("_no", F.xxhash64("_of")).join(each.hint("merge"), ["_no", "_of"], "left").drop("_no")
+            each = texts.dictionary_encode()
+            yield pa.array([match(x) for x in each.dictionary.to_pylist()], kind).take(each.indices)
+
+    return F.arrow_udf(run, T.StructType([MATCH[f] for f in fields]))(cand)
 
 
 def classified(lines: DataFrame, language: str = "python3", modules: list[str] = MODULES) -> DataFrame:
     """``lines`` (with ``cand``, a lattice) with ``match``: rule, errors, reading and groups of the best rule.
 
-    An empty place makes a line unreadable: its match has no rule.  Each different lattice is matched once; lattices are told
-    apart and joined by their JSON, a number of it first.
+    An empty place makes a line unreadable: its match has no rule.  Lines are matched where they lie: a worker keeps the
+    matches that it found, so an equal lattice is matched once a worker while it is held, and however many lines have it, they don't
+    meet in one task.
     """
-    return _classified(lines, language, modules).drop("_of")
+    return lines.withColumn("match", _match(F.to_json("cand"), language, modules, *MATCH.names))
 
 
 def _tasks(rows: DataFrame) -> int:
@@ -168,18 +180,16 @@ def _by_document(rows: DataFrame) -> DataFrame:
 
 
 def bound_names() -> Column:
-    """What a matched line binds, as a (kind, terms) struct; null where it binds nothing.
+    """What a matched line binds, as a (kind, terms, free) struct; null where it binds nothing.
 
-    Variables count where they are bound outside any open def or class, so the line needs in_def and in_class.
+    ``free`` is whether it counts only outside any open def or class.
     """
     m = F.col("match")
     at = lambda k: F.get(m["groups"], F.lit(k))
-    told = lambda kind, terms: F.struct(F.lit(kind).alias("kind"), terms.alias("terms"))
+    told = lambda kind, terms, free=False: F.struct(F.lit(kind).alias("kind"), terms.alias("terms"), F.lit(free).alias("free"))
     form = m["template"]
-    free = ~F.col("in_def") & ~F.col("in_class")
-    binds = form.isin(r"for (VARIABLE) in (STATEMENT):", r"for (VARIABLE) in range\((STATEMENT)\):", r"(VARIABLE) = (STATEMENT)")
     return (
-        F.when(binds & free, told("variable", F.array(at(0))))
+        F.when(form.isin(r"for (VARIABLE) in (STATEMENT):", r"for (VARIABLE) in range\((STATEMENT)\):", r"(VARIABLE) = (STATEMENT)"), told("variable", F.array(at(0)), True))
         .when(form == r"class (VARIABLE):", told("class", F.array(at(0))))
         .when(form == r"import (.*)", told("import", F.array(m["module"])))
         .when(form == r"import (.*?) as (.*)", told("import", F.array(F.trim(at(1)))))
@@ -187,23 +197,26 @@ def bound_names() -> Column:
     )
 
 
-def with_scopes(matched: DataFrame) -> DataFrame:
-    """Matched Python lines with in_def and in_class."""
-    form = F.col("match.template")
-    matched = in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"def (VARIABLE)\((PARAMETERS)\):", F.lit(False)), "in_def")
-    return in_scope(matched, ["doc_id"], ["line_no"], "indent", F.coalesce(form == r"class (VARIABLE):", F.lit(False)), "in_class")
+def _opens(template: str) -> Column:
+    return F.coalesce(F.col("match.template") == template, F.lit(False))
+
+
+_DEF, _CLASS = r"def (VARIABLE)\((PARAMETERS)\):", r"class (VARIABLE):"
 
 
-def _scoped(lines: DataFrame, *fields: str) -> DataFrame:
-    """doc_id, line_no, indent, some fields of match, in_def and in_class of Python lines."""
-    matched = classified(lines).select("doc_id", "line_no", "indent", F.struct(*[f"match.{f}" for f in fields]).alias("match"))
-    return with_scopes(_by_document(matched))
+def _bound(lines: DataFrame, fields: tuple[str, ...], *more: Column) -> DataFrame:
+    """doc_id, line_no, kind and terms (null where a Python line binds nothing) and further columns of a line's match; only these are sorted by document."""
+    matched = lines.select("doc_id", "line_no", "indent", _match(F.to_json("cand"), "python3", MODULES, *fields).alias("match"))
+    told = matched.select("doc_id", "line_no", "indent", _opens(_DEF).alias("_def"), _opens(_CLASS).alias("_class"), bound_names().alias("s"), *more)
+    told = in_scopes(told, "doc_id", "line_no", "indent", {"in_def": "_def", "in_class": "_class"})
+    counts = ~F.col("s.free") | (~F.col("in_def") & ~F.col("in_class"))
+    told = told.withColumn("s", F.when(counts, F.col("s"))).drop("indent", "_def", "_class", "in_def", "in_class")
+    return told.select("*", "s.kind", "s.terms").drop("s")
 
 
 def symbols(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, kind, term) for each name that a line of Python code binds."""
-    told = _scoped(lines, "template", "groups", "module").select("doc_id", "line_no", bound_names().alias("s")).where("s is not null")
-    return told.select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
+    return _bound(lines, ("template", "groups", "module")).select("doc_id", "line_no", "kind", F.explode("terms").alias("term"))
 
 
 #: Lines that bind or open something: their names aren't uses.
@@ -215,11 +228,15 @@ def references(lines: DataFrame) -> DataFrame:
 
     A name that is bound again, as another kind too, refers to its last binding; what is bound inside an open def isn't seen.
     """
-    matched = _scoped(lines, "rule", "template", "text", "groups", "module")
-    bound = matched.select("doc_id", "line_no", bound_names().alias("s")).where("s is not null").select("doc_id", "line_no", "s.kind", F.explode("s.terms").alias("term"))
-    used = matched.where(F.col("match.rule").isNotNull() & ~F.col("match.template").isin(_BINDS))
-    used = used.select("doc_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("match.text", F.lit("[a-z_]+"), F.lit(0)))).alias("term"))
-    return latest_before(used, bound, ["doc_id"], ["line_no"], "term")
+    calls = F.col("match.rule").isNotNull() & ~F.col("match.template").isin(_BINDS)
+    used = F.when(calls, F.array_distinct(F.regexp_extract_all("match.text", F.lit("[a-z_]+"), F.lit(0)))).alias("used")
+    told = _bound(lines, ("rule", "template", "text", "groups", "module"), used)
+    # both from one reading of the lines, so these are matched once
+    named = lambda names, turn, kind: F.transform(F.coalesce(names, F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(turn).alias("turn"), kind.cast("string").alias("kind")))
+    rows = told.select("doc_id", "line_no", F.inline(F.concat(named(F.col("used"), 0, F.lit(None)), named(F.col("terms"), 1, F.col("kind")))))
+    before = Window.partitionBy("doc_id", "term").orderBy("line_no", "turn", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    bound = F.last(F.when(F.col("turn") == 1, F.struct("line_no", "kind")), True).over(before)
+    return _by_document(rows).withColumn("bound", bound).where("turn = 0").select("doc_id", "line_no", "term", "bound")
 
 
 #: A line in pieces: literals, names with what follows their dot, and single characters.
@@ -254,24 +271,31 @@ def with_exports(told: DataFrame, exports: DataFrame) -> DataFrame:
     return told.join(written, ["doc_id", "line_no"], "left").withColumn("fixed", F.when(F.col("_written").isNull(), F.col("fixed")).otherwise(again)).drop("_written")
 
 
+@lru_cache(maxsize=4)
+def _kept(told: Table, expressions: Table) -> tuple[dict[tuple, int], dict[tuple, str | None], dict[str | None, str]]:
+    """What a worker keeps for its later tasks too: each different set of names by number, what was written of a set and a lattice, and first readings."""
+    return {}, {}, {None: ""}
+
+
 def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, line_no, indent, raw and fixed of each line (doc_id, line_no, indent, cand), and the columns ``kept``.
 
-    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Each different lattice is classified
-    once; a document's rows are then read in order, first the names that its lines bind, then the lines, so that a task holds
-    the names of one document and nothing is repeated for every line.  ``exports`` (module, term, ord) tells the names of
+    ``raw`` is the first reading.  A line that can't be read stays null in ``fixed``.  Lines are classified
+    where they lie; a document's rows are then sorted once and read in order, first the names that its lines bind and the scopes
+    that they open, then the lines, so that a task holds the names of one document and nothing is repeated for every line.  ``exports`` (module, term, ord) tells the names of
     modules, which are data and never found by importing them.
     """
-    matched = _classified(lines, language)
-    given = [F.col("doc_id"), F.col("line_no").cast("int").alias("line_no"), F.col("indent").cast("int").alias("indent"), *map(F.col, kept)]
-    match = F.struct(*[f"match.{f}" for f in ("rule", "errors", "reading", "template", "groups", "module")])
-    matched = _by_document(matched.select(*given, F.col("_of").alias("cand"), match.alias("match")))
-    own = [f.name for f in matched.schema][: len(given)]
-    matched = with_scopes(matched).withColumn("s", bound_names()) if language == "python3" else matched.withColumn("s", F.lit(None).cast("struct<kind:string,terms:array<string>>"))
-    told = ("cand", "rule", "errors", "reading")
-    line = F.struct(F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("array<string>").alias("terms"), "cand", "match.rule", "match.errors", "match.reading")
-    name = F.struct(F.lit(0).alias("turn"), "s.kind", "s.terms", *[F.lit(None).cast(t).alias(n) for n, t in zip(told, ("string", "int", "int", "bigint"), strict=True)])
-    rows = matched.select(*own, F.explode(F.when(F.col("s").isNull(), F.array(line)).otherwise(F.array(line, name))).alias("_r")).select(*own, "_r.*")
+    fields = ("rule", "errors", "reading", "template", "groups", "module")
+    own = ["doc_id", "line_no", "indent", *kept]
+    matched = lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), F.col("indent").cast("int").alias("indent"), *kept, F.to_json("cand").alias("cand"))
+    matched = matched.withColumn("match", _match(F.col("cand"), language, MODULES, *fields))
+    none = lambda kind: F.lit(None).cast(kind)
+    line = F.struct(F.lit(1).alias("turn"), *[none(t).alias(n) for n, t in (("kind", "string"), ("terms", "array<string>"), ("opens", "string"))], "cand", "match.rule", "match.errors", "match.reading")
+    opens = F.when(_opens(_DEF), "def").when(_opens(_CLASS), "class")
+    name = F.struct(F.lit(0).alias("turn"), F.col("s.kind").alias("kind"), F.col("s.terms").alias("terms"), opens.alias("opens"), *[none(t).alias(n) for n, t in (("cand", "string"), ("rule", "int"), ("errors", "int"), ("reading", "bigint"))])
+    turns = F.array(name, line) if language == "python3" else F.array(line)
+    rows = matched.withColumn("s", bound_names()).select(*own, F.explode(turns).alias("_r"))
+    rows = rows.select("doc_id", "line_no", "indent", *[F.when(F.col("_r.turn") == 1, F.col(c)).alias(c) for c in kept], "_r.*")
     rows = _by_document(rows).sortWithinPartitions("doc_id", "turn", "line_no")
     catalogue = table(language), table(language, "expr")
     schema = T.StructType([*rows.schema.fields[: len(own)], T.StructField("raw", T.StringType()), T.StructField("fixed", T.StringType())])
@@ -279,20 +303,20 @@ def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_number, expressions = {r.number: r for r in compiled(catalogue[0])}, compiled(catalogue[1])
         at, bound = object(), {}
-        known: dict[tuple, int] = {}  # each different set of names by number
-        written: dict[tuple, str | None] = {}  # of a set of names and a lattice
-        first: dict[str | None, str] = {None: ""}
+        known, written, first = _kept(*catalogue)
         for b in batches:
             turns, raw, fixed = b.column(len(own)), [], []
-            docs, nos = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for doc, no, turn, kind, terms, cand, rule, errors, number_read in zip(docs, nos, *(b.column(i).to_pylist() for i in range(len(own), b.num_columns)), strict=True):
+            given = (b.column(i).to_pylist() for i in range(3))
+            for doc, no, indent, turn, kind, terms, opens, cand, rule, errors, number_read in zip(*given, *(b.column(i).to_pylist() for i in range(len(own), b.num_columns)), strict=True):
                 if doc != at:
                     at, names, imports, place, number = doc, Names(), [], 0, None
+                    in_def, in_class = Scope(), Scope()
                     bound = {"variable": names.variables, "class": names.classes}
                 if turn == 0:
+                    inside = in_def.add(indent, opens == "def"), in_class.add(indent, opens == "class")
                     if kind == "import":
                         imports.append((no, terms))
-                    else:
+                    elif kind == "class" or kind == "variable" and inside == (False, False):
                         bound[kind] += terms
                     continue
                 while place < len(imports) and imports[place][0] < no:
@@ -335,7 +359,7 @@ def repaired_lines(lines: DataFrame, language: str = "python3", exports: DataFra
 
 def repaired_code(lines: DataFrame, language: str = "python3", exports: DataFrame | None = None) -> DataFrame:
     """doc_id, code and fixed_code: the lines of each document in order, indented by two blanks a level."""
-    told = repaired_lines(lines, language, exports)
+    told = _by_document(repaired_lines(lines, language, exports))
     told = told.withColumns({"raw": indented(F.col("raw"), F.col("indent")), "fixed": indented(F.coalesce("fixed", "raw"), F.col("indent"))})
     both = told.select("doc_id", "line_no", F.struct("raw", "fixed").alias("t"))
     rows = F.array_sort(F.collect_list(F.struct("line_no", "t")))
